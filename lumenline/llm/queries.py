@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenline.llm import fingerprints
-from lumenline.llm.common import table, text_or_empty
+from lumenline.llm import bpe, fingerprints, simhash, token_counts
+from lumenline.llm.common import shared_folder, table, text_or_empty
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +34,36 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_bpe_encoding(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, "text", path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of near copies of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_token_counts(
+    spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.json"), cache: str | None = None
+) -> DataFrame:
+    """Token counts of every document; without ``cache``, one of this run's own in the shared folder."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = cache or f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    return token_counts.count_tokens(docs, "text", path, cache)
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_bpe_encoding": op2_bpe_encoding,
+    "op5_simhash_components": op5_simhash_components,
+    "op7_token_counts": op7_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
