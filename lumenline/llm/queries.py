@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenline.llm import bpe, fingerprints, simhash, token_counts
+from lumenline.llm import bpe, decontamination, fingerprints, html_extraction, license_scan, line_dedup, simhash, token_counts
 from lumenline.llm.common import shared_folder, table, text_or_empty
 
 
@@ -45,12 +45,23 @@ def op2_bpe_encoding(spark: SparkSession, sf_dir: str, path: str = public_tokeni
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that other sites share, and how many lines it had and lost."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.remove_spread_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of near copies of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item of which it holds a window."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(
     spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.json"), cache: str | None = None
 ) -> DataFrame:
@@ -60,10 +71,27 @@ def op7_token_counts(
     return token_counts.count_tokens(docs, "text", path, cache)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extraction.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each confirmed license notice of every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_bpe_encoding": op2_bpe_encoding,
+    "op3_line_dedup": op3_line_dedup,
     "op5_simhash_components": op5_simhash_components,
+    "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_license_scan": op10_license_scan,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.oracle_sql(),
 }
-ORACLE_SQL: dict[str, str] = {}
