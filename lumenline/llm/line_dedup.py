@@ -79,9 +79,10 @@ def remove_spread_lines(
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     out = df.select(*kept, ident.alias("_id")).join(gone, "_id", "left")
     lines = F.split(F.col(text), "\n")
-    out = out.withColumn("_keys", F.when(F.col("_gone").isNotNull(), _keys(F.col(text), min_words)))
-    stays = F.filter(lines, lambda _, i: ~F.coalesce(F.array_contains(F.col("_gone"), F.get("_keys", i)), F.lit(False)))
-    out = out.withColumn("_stays", F.when(F.col("_gone").isNull(), lines).otherwise(stays))
+    # zipped, so that keys are made once a document and not once a line
+    zipped = F.arrays_zip(lines.alias("line"), _keys(F.col(text), min_words).alias("key"))
+    kept_lines = F.transform(F.filter(zipped, lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), x["key"]), F.lit(False))), lambda x: x["line"])
+    out = out.withColumn("_stays", F.when(F.col("_gone").isNull(), lines).otherwise(kept_lines))
     new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join("_stays", "\n"))
     n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     return out.select(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenline.llm import bpe, decontamination, fingerprints, html_extraction, license_scan, line_dedup, simhash, token_counts
+from lumenline.llm import bpe, decontamination, fingerprints, html_extraction, language_model, license_scan, line_dedup, quality, simhash, token_counts
 from lumenline.llm.common import shared_folder, table, text_or_empty
 
 
@@ -51,6 +51,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_spread_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and recurrent-network log probabilities of every document."""
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of near copies of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -71,6 +76,12 @@ def op7_token_counts(
     return token_counts.count_tokens(docs, "text", path, cache)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document, its language's threshold, and whether it is accepted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.classify(docs, table(spark, sf_dir, "labels"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -86,9 +97,11 @@ QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_bpe_encoding": op2_bpe_encoding,
     "op3_line_dedup": op3_line_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_simhash_components": op5_simhash_components,
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
 }
