@@ -364,7 +364,7 @@ def _trained(docs: DataFrame, sent, weights: np.ndarray, round_: int) -> np.ndar
     while (rows := now.count()) > 16:
         group = F.pmod(F.xxhash64("n", "w"), F.lit(-(-rows // 16)))
         now = written(now.groupBy(group.alias("g")).applyInPandas(averaged, "n long, w binary"), "weights")
-    last = now.toPandas().sort_values(["n", "w"])
+    last = now.toArrow().to_pandas().sort_values(["n", "w"])
     return np.frombuffer(averaged(last)["w"][0], np.float32) if len(last) else None
 
 
@@ -376,7 +376,8 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     some = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum(F.when(F.col("token") == " ", F.col("c")))).first()
     total, different, ends = (int(x or 0) for x in some)
     words = counts.where(F.col("token") != " ")
-    rows = [tuple(r) for r in words.orderBy(F.col("c").desc(), F.col("a").desc(), "token").select("token", "c", "a", "bucket").limit(FREQUENT).collect()]
+    top = words.orderBy(F.col("c").desc(), F.col("a").desc(), "token").select("token", "c", "a", "bucket").limit(FREQUENT).toArrow()
+    rows = list(zip(*(top[c].to_pylist() for c in ("token", "c", "a", "bucket")), strict=True))
     held: dict[int, list[int]] = {}
     for _, c, _, b in rows[:SYMBOLS]:
         h = held.setdefault(b, [0, 0])
