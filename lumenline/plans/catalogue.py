@@ -536,7 +536,7 @@ def json_property_extract(spark: SparkSession, d: str) -> DataFrame:
     SELECT conv_id, turn, count(*) FILTER (WHERE trim(piece, ' ') <> '') AS n, max(length(trim(piece, ' '))) AS longest FROM t GROUP BY conv_id, turn
 """)
 def flatten_readings(spark: SparkSession, d: str) -> DataFrame:
-    pieces = F.transform(F.split("text", r"\."), F.trim)
+    pieces = F.transform(F.split("text", r"\."), lambda x: F.trim(x))
     c = read(spark, d, "conversations").select("conv_id", "turn", pieces.alias("p"))
     return c.select("conv_id", "turn", F.size(F.filter("p", lambda x: x != "")).cast("long").alias("n"), F.array_max(F.transform("p", F.length)).cast("long").alias("longest"))
 
