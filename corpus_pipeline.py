@@ -33,7 +33,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id; of repeated rows with that id, one."""
-    named = simhash.near_duplicates(docs, "doc_id", "text", SHINGLE)
+    named = simhash.similar_documents(docs, "doc_id", "text", SHINGLE)
     first = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
     return kept.dropDuplicates(["doc_id"]).select(*DOCUMENT_COLUMNS)

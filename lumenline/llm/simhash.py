@@ -12,13 +12,24 @@ near copies costs as many rows as it has members; node pairs that are already co
 places are then joined into connected components by alternating star contraction, each round written to the shared
 folder.  Documents with the same fingerprint are one node all the way; only their smallest id takes part.
 
+Similar documents (``similar_documents``) differ in more bits than that: with a similarity of 0.8 of their five-word
+shingles the angle between their shingle vectors is acos(8/9), so each bit differs with probability ``BIT_APART`` = 0.15.
+They get fingerprints of ``WIDE`` = 256 bits of their different shingles and meet in as many places as bring two of
+similarity 0.8 together with probability ``RECALL``; a place is keyed by bits drawn from the fingerprint by a fixed seed,
+more of them the more fingerprints there are.  There the same trie self-join walks the first 64 bits within the error
+budget ``NARROW`` (four standard deviations above the mean), and the pairs it leaves are linked within ``WIDE_RADIUS``
+of all 256 bits (nearly four above).  Per place only a spanning forest of the links leaves, the closest links first, so a large
+group costs as many rows as it has members.  Links within ``WIDE_SURE`` bits stand; those of more bits, unless sure ones
+connect their ends already, are verified by the exact Jaccard similarity of the shingle sets.
+
 Defined cases: a null text counts as empty; a text without words has fingerprint 0 and is linked like any other; repeated
 ids are allowed; a null id takes part with its fingerprint but is never a component's name unless all its ids are null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +43,13 @@ RADIUS, BITS, BLOCK = 3, 64, 16
 SEED = 42
 #: Node pairs in a slice of the walk, and fingerprints of whole tries joined at a time.
 SLICE, AT_ONCE = 1 << 20, 200_000
+#: Fingerprint pairs compared at a time.
+PAIRS = 1 << 21
+WIDE, WIDE_RADIUS, WIDE_SURE, NARROW, RECALL, SIMILARITY = 256, 60, 24, 21, 0.985, 0.8
+#: Share of differing bits at a similarity of 0.8.
+BIT_APART = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+#: Steps between the inputs of the mixes that widen a shingle's hash.
+_STEPS = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -62,6 +80,32 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def wide_fingerprint(text: str | None, size: int = 5) -> bytes:
+    """``WIDE`` bits as bytes: each set if it is set in more than half of the hashes of the different shingles."""
+    hashes = np.unique(shingle_hashes(text or "", size))
+    counts = np.zeros(WIDE, np.int64)
+    for at in range(0, len(hashes), 16_384):
+        x = hashes[at : at + 16_384, None] + _STEPS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(len(x), -1), axis=1)
+        counts += bits.sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
+
+
+def with_wide_fingerprint(df: DataFrame, id_col: str, text: str, size: int = 5) -> DataFrame:
+    """(``id_col``, ``fp`` binary of ``WIDE`` bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([wide_fingerprint(t.as_py(), size) for t in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), made], names=[id_col, "fp"])
+
+    kind = dict(df.dtypes)[id_col]
+    return df.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, fp binary")
+
+
 def with_fingerprint(df: DataFrame, id_col: str, text: str, size: int = 3) -> DataFrame:
     """(``id_col``, ``fp`` bigint): the fingerprint's 64 bits as a signed number."""
 
@@ -89,19 +133,56 @@ def _settle(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
-def trie_links(groups: np.ndarray, prints: np.ndarray, radius: int = RADIUS, skip: int = BLOCK) -> np.ndarray:
+def _pairs(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j) of the ranges a[k] + la[k] and b[k] + lb[k] for each k, at most ``PAIRS`` at a time."""
+    ends = np.cumsum(la * lb)
+    starts = ends - la * lb
+    for at in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        nth = np.arange(at, min(at + PAIRS, int(ends[-1])))
+        row = np.searchsorted(ends, nth, side="right")
+        nth -= starts[row]
+        yield a[row] + nth // lb[row], b[row] + nth % lb[row]
+
+
+def trie_links(
+    groups: np.ndarray,
+    prints: np.ndarray,
+    radius: int = RADIUS,
+    skip: int = BLOCK,
+    distance: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+    most: int = 0,
+    forest: list | None = None,
+) -> np.ndarray:
     """For each fingerprint the smallest place linked to it, directly or by others of its group.
 
-    ``groups`` and ``prints`` (uint64, different within a group) are sorted together; the first ``skip`` bits of all
-    prints in a group are the same.
+    ``groups`` and ``prints`` (uint64) are sorted together; the first ``skip`` bits of all prints in a group are the
+    same.  Where ``distance(i, j)`` is given, only pairs of at most ``most`` are links, and the
+    links (i, j, distance) of a spanning forest are added to ``forest``.
     """
     n = len(prints)
     labels = np.arange(n)
+
+    def link(i: np.ndarray, j: np.ndarray, most: int = most) -> None:
+        if distance is None:
+            return _settle(labels, i, j)
+        d = distance(i, j)
+        i, j, d = (x[d <= most] for x in (i, j, d))
+        while len(i):  # the closest link of each part, then again for the parts that these make
+            order = np.lexsort((j, i, d))
+            i, j, d = i[order], j[order], d[order]
+            ends = np.concatenate((labels[i], labels[j]))
+            _, at = np.unique(ends[np.arange(2 * len(i)).reshape(2, -1).T.ravel()], return_index=True)
+            at = np.unique(at // 2)
+            forest.append((i[at], j[at], d[at]))
+            _settle(labels, i[at], j[at])
+            apart = labels[i] != labels[j]
+            i, j, d = i[apart], j[apart], d[apart]
+
     if n < 2:
         return labels
     near = np.nonzero((groups[1:] == groups[:-1]) & (np.bitwise_count(prints[1:] ^ prints[:-1]) <= radius))[0]
     if len(near):
-        _settle(labels, near, near + 1)
+        link(near, near + 1, min(most, WIDE_SURE))  # the others wait for closer ones
     first = np.nonzero(np.r_[True, groups[1:] != groups[:-1]])[0]
     last = np.r_[first[1:], n]
     many = last - first > 1
@@ -131,12 +212,11 @@ def trie_links(groups: np.ndarray, prints: np.ndarray, radius: int = RADIUS, ski
         small = ((ah - al) * (bh - bl) <= 64) | (depth == BITS)
         if small.any():
             sa, sb, la, lb = al[small], bl[small], (ah - al)[small], (bh - bl)[small]
-            count = la * lb
-            row = np.repeat(np.arange(len(sa)), count)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            i, j = sa[row] + nth // lb[row], sb[row] + nth % lb[row]
-            hit = (i != j) & (np.bitwise_count(prints[i] ^ prints[j]) <= radius)
-            _settle(labels, i[hit], j[hit])
+            for i, j in _pairs(sa, sb, la, lb):
+                hit = (i != j) & (labels[i] != labels[j])
+                i, j = i[hit], j[hit]
+                hit = np.bitwise_count(prints[i] ^ prints[j]) <= radius
+                link(i[hit], j[hit])
         al, ah, bl, bh, err = (x[~small] for x in (al, ah, bl, bh, err))
         if not len(al):
             continue
@@ -164,6 +244,32 @@ def _stars(groups: np.ndarray, prints: np.ndarray, nodes: np.ndarray) -> tuple[n
     return nodes[away], to[away]
 
 
+def _edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _whole_places(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of about ``AT_ONCE`` rows at a time, cut where the first column, the place, changes."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        if size >= AT_ONCE:
+            other = np.nonzero(cols[0] != held[-1][0][-1])[0]
+            if len(other):
+                held.append([c[: other[0]] for c in cols])
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, size = [], 0
+                cols = [c[other[0] :] for c in cols]
+        held.append(cols)
+        size += len(cols[0])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): stars that connect what the trie self-joins link; ``prints`` has different fp and its node (bigint)."""
     places = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BITS // BLOCK - 1)), lambda b: F.struct(b.alias("block"), b.alias("turn"))))
@@ -173,38 +279,92 @@ def links(prints: DataFrame) -> DataFrame:
     dealt = at.select("place", "fp", "node").repartition(F.col("place")).sortWithinPartitions("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def joined() -> Iterator[pa.RecordBatch]:
-            place, fp, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        for place, fp, node in _whole_places(batches):
+            fp = fp.view(np.uint64)
             turn = (place >> BLOCK).astype(np.uint64) * np.uint64(BLOCK)
             turned = (fp << turn) | (fp >> ((np.uint64(BITS) - turn) % np.uint64(BITS)))
             turned = np.where(turn == 0, fp, turned)
             order = np.lexsort((turned, place))
-            a, b = _stars(place[order], turned[order], node[order])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield from _edges(*_stars(place[order], turned[order], node[order]))
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def key_draws(n: int) -> np.ndarray:
+    """For each place of a fingerprint the bits of its key, when there are ``n`` fingerprints.
+
+    A key has 16 bits, or 4 less than n's logarithm where that is more, so a place of unrelated fingerprints stays small;
+    the number of places follows from ``RECALL``.
+    """
+    bits = max(16, math.ceil(math.log2(max(n, 1) + 1)) - 4)
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - BIT_APART) ** bits))
+    random = np.random.default_rng(SEED)
+    return np.array([random.permutation(WIDE)[:bits] for _ in range(tables)])
 
-        size = 0
+
+def similar_links(nodes: DataFrame, n: int) -> DataFrame:
+    """(a, b, bits): each place's forest of links of ``n`` different fingerprints (fp binary of ``WIDE`` bits, node bigint)."""
+    draws = key_draws(n)
+    powers = np.int64(1) << np.arange(draws.shape[1], dtype=np.int64)
+    words = [f"w{k}" for k in range(WIDE // 64)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column(0).to_numpy(zero_copy_only=False)
-            fp = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            node = batch.column(2).to_numpy(zero_copy_only=False)
-            if size >= AT_ONCE and len(place) and (cut := int(np.argmax(place != held[-1][0][-1]))):
-                held.append((place[:cut], fp[:cut], node[:cut]))
-                yield from joined()
-                held, size = [], 0
-                place, fp, node = place[cut:], fp[cut:], node[cut:]
-            elif size >= AT_ONCE and len(place) and place[0] != held[-1][0][-1]:
-                yield from joined()
-                held, size = [], 0
-            if len(place):
-                held.append((place, fp, node))
-                size += len(place)
-        if held:
-            yield from joined()
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raw = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(-1, WIDE // 8)
+                bits, cols = np.unpackbits(raw, axis=1), raw.view(">u8").astype(np.uint64).view(np.int64)
+                place = np.stack([(t << draws.shape[1]) | (bits[:, d] @ powers) for t, d in enumerate(draws)])
+                node = part.column(1).to_numpy(zero_copy_only=False)
+                sent = [np.tile(x, len(draws)) for x in (node, *cols.T)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (place.ravel(), *sent)], names=["place", "node", *words])
+
+    dealt = nodes.select("fp", "node").mapInArrow(deal, "place long, node long, " + ", ".join(f"{w} long" for w in words))
+    dealt = dealt.repartition(F.col("place")).sortWithinPartitions("place")
 
-    return dealt.mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, node, *cols in _whole_places(batches):
+            prints = np.stack(cols, axis=1).view(np.uint64)
+            order = np.lexsort((prints[:, 0], place))
+            prints = prints[order]
+
+            def distance(i: np.ndarray, j: np.ndarray, prints=prints) -> np.ndarray:
+                return np.bitwise_count(prints[i] ^ prints[j]).sum(1, dtype=np.int32)
+
+            forest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            trie_links(place[order], prints[:, 0].copy(), NARROW, 0, distance, WIDE_RADIUS, forest)
+            if forest:
+                i, j, d = (np.concatenate(x) for x in zip(*forest, strict=True))
+                node = node[order]
+                a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["a", "b", "bits"])
+
+    return dealt.mapInArrow(run, "a long, b long, bits int")
+
+
+def shingle_sets(df: DataFrame, size: int) -> DataFrame:
+    """(node, shingles array<bigint>) of those rows (node, fp, text) whose text has the fingerprint; one row a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, fp, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if wide_fingerprint(text, size) == fp:
+                    made = np.unique(shingle_hashes(text or "", size)).view(np.int64)
+                    row = pa.ListArray.from_arrays(pa.array([0, len(made)], pa.int32()), pa.array(made))
+                    yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), row], names=["node", "shingles"])
+
+    return df.select("node", "fp", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def verified_links(df: DataFrame, id_col: str, text: str, size: int, nodes: DataFrame, unsure: DataFrame) -> DataFrame:
+    """The (a, b) of ``unsure`` whose texts have shingle sets of a Jaccard similarity of ``SIMILARITY`` or more."""
+    ends = unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text")).join(ends, "node")
+    sets = written(shingle_sets(texts, size), "sets")
+    pairs = unsure.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.where(both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,3 +401,23 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, size: int = 3) -> Dat
     found = components(links(nodes.where("node is not null")))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp", "left").select(id_col, "fp", "component_id")
+
+
+def similar_documents(df: DataFrame, id_col: str, text: str, size: int = 5) -> DataFrame:
+    """One row for each row of ``df``: ``id_col``, ``fp`` (binary) and ``component_id``, the smallest id reachable.
+
+    Links are Jaccard similarities of ``SIMILARITY`` or more of the sets of shingles of ``size`` words.
+    """
+    prints = written(with_wide_fingerprint(df, id_col, text, size), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("node")), "nodes")
+    known = nodes.where("node is not null")
+    forest = written(similar_links(known, known.count()).distinct(), "forest")
+    sure = forest.where(F.col("bits") <= WIDE_SURE).select("a", "b")
+    stars = written(components(sure).select(F.col("node").alias("a"), F.col("component").alias("b")), "stars")
+    unsure = forest.where(F.col("bits") > WIDE_SURE).select("a", "b")
+    for end in ("a", "b"):
+        unsure = unsure.join(stars.select(F.col("a").alias(end), F.col("b").alias("of_" + end)), end, "left")
+    unsure = written(unsure.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "unsure")
+    found = components(stars.union(verified_links(df, id_col, text, size, known, unsure)))
+    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, "fp", "left").select(id_col, "fp", "component_id")

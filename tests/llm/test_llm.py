@@ -211,6 +211,45 @@ def test_op5_components_of_a_long_path(spark):
     assert all(got[i] == 0 for i in range(61) if i in got and i) and got[101] == 100
 
 
+def test_similar_documents_against_brute_force(spark):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = [(-1, None, "x"), (-2, "", "x"), (-3, "  \n", "x"), (-4, "one two", "x"), (-5, "one two", "x"), (-6, "one three", "x")]
+    for base in range(60):
+        words = rng.choices(vocab, k=rng.choice((12, 60, 300, 2000)))
+        for _ in range(rng.choice((1, 3, 8))):
+            made = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 25))):
+                made[rng.randrange(len(made))] = rng.choice(vocab)
+            rows.append((len(rows) * 7 % 1009 + base * 2000, " ".join(made), "x"))
+    rows += [rows[-1], (None, rows[-1][1], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = simhash.similar_documents(df, "doc_id", "text").collect()
+    assert len(got) == len(rows)
+    sets = {r[0]: set(simhash.shingle_hashes(r[1] or "", 5).tolist()) for r in rows if r[0] is not None}
+    name = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if name[a] != name[b]:
+                name[a] = name[b] = min(name[a], name[b])
+                changed = True
+    told = {r.doc_id: r.component_id for r in got}
+    assert told[None] == told[rows[-2][0]]
+    found = sum(told[a] == told[b] for a, b in pairs)
+    assert len(pairs) > 50 and found >= 0.97 * len(pairs)
+    near = [(a, b) for a in sets for b in sets if a < b and told[a] == told[b]]
+    assert sum(name[a] != name[b] for a, b in near) <= 0.02 * len(near)
+    assert told[-1] == told[-2] == told[-3] == -3 and told[-4] == told[-5] == -5 and told[-6] == -6
+
+
+def test_similar_documents_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.similar_documents(df, "doc_id", "text").count() == 0
+
+
 def test_op6_multi_index_finds_all_within_the_radius():
     rng = random.Random(1)
     prints = np.array([rng.getrandbits(64) for _ in range(500)], np.uint64)
