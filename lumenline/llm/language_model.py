@@ -36,6 +36,8 @@ from lumenline.llm.common import written
 SYMBOLS, FREQUENT, BUCKETS = 4000, 200_000, 8
 EMBED, HIDDEN, CLASS = 16, 16, 64
 WINDOW, LANES, ROUNDS = 16, 256, 2
+#: Lanes of scoring, where their number has no say in the result.
+SCORED = 1024
 #: Tokens that a task holds at a time, and different tokens it counts before it hands them on.
 CHUNK, COUNTED = 4_000_000, 400_000
 RATE = 0.01
@@ -126,6 +128,7 @@ class Network:
         # symbols that only fill the last class up
         self.w["bo"].reshape(-1)[symbols:] = -30.0
         self.m, self.v, self.steps = np.zeros(size, np.float32), np.zeros(size, np.float32), 0
+        self.part = np.empty(size, np.float32)
 
     def states(self, x: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
         """States after each step of a window: x (T, k) symbols, start (T, k) whether a document starts."""
@@ -163,25 +166,29 @@ class Network:
             g["wc"] += hs.T @ e
             g["bc"] += e.sum(0)
             dh = e @ w["wc"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            at = order[ends[c] : ends[c + 1]]
-            if not len(at):
-                continue
-            h, p = hs[at], place[at]
-            logit = h @ w["wo"][c] + w["bo"][c]
-            logit -= logit.max(1, keepdims=True)
-            e = np.exp(logit)
-            total = e.sum(1)
-            rows = np.arange(len(at))
-            lp[at] += logit[rows, p] - np.log(total)
-            if weight is not None:
-                e *= (weight[at] / total)[:, None]
-                e[rows, p] -= weight[at]
-                g["wo"][c] += h.T @ e
-                g["bo"][c] += e.sum(0)
-                dh[at] += e @ w["wo"][c].T
+        # sorted by class, so that only the matrix products go class by class
+        order = np.argsort(cls.astype(np.min_scalar_type(self.classes)), kind="stable")
+        ends = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        spans = [(c, slice(ends[c], ends[c + 1])) for c in range(self.classes) if ends[c] < ends[c + 1]]
+        h, rows = hs[order], (every, place[order])
+        e = w["bo"][cls[order]]
+        for c, at in spans:
+            e[at] += h[at] @ w["wo"][c]
+        e -= e.max(1, keepdims=True)
+        chosen = e[rows]
+        np.exp(e, out=e)
+        total = e @ np.ones(CLASS, np.float32)
+        lp[order] += chosen - np.log(total)
+        if weight is not None:
+            weight = weight[order]
+            e *= (weight / total)[:, None]
+            e[rows] -= weight
+            back = np.empty_like(h)
+            for c, at in spans:
+                g["wo"][c] += h[at].T @ e[at]
+                np.matmul(e[at], w["wo"][c].T, out=back[at])
+            dh[order] += back
+            g["bo"][[c for c, _ in spans]] += np.add.reduceat(e, [at.start for _, at in spans], axis=0)
         return lp, dh
 
     def learn(self, x: np.ndarray, y: np.ndarray, start: np.ndarray, valid: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -192,43 +199,58 @@ class Network:
         weight = (valid / max(1, valid.sum())).astype(np.float32).ravel()
         _, dh = self.log_probs(hs.reshape(-1, HIDDEN), y.ravel(), weight)
         dh = dh.reshape(steps, k, HIDDEN)
+        before, ghn, r, z, n = (np.stack(v) for v in zip(*kept, strict=True))
+        # what each step's gradient is multiplied with, for all steps at once
+        by_n = (1 - z) * (1 - n * n)
+        by = np.stack([by_n * ghn * r * (1 - r), (before - n) * z * (1 - z), by_n * r], axis=2)
+        dgh = np.empty((steps, k, 3, HIDDEN), np.float32)
         dgx = np.empty((steps, k, 3 * HIDDEN), np.float32)
         back = np.zeros((k, HIDDEN), np.float32)
-        wh, gwh = self.w["wh"].T, self.g["wh"]
+        wh, going = self.w["wh"].T, (~start).astype(np.float32)[..., None]
         for t in range(steps - 1, -1, -1):
-            before, ghn, r, z, n = kept[t]
             d = dh[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * ghn * r * (1 - r)
-            dgh = np.concatenate([dr, dz, dn * r], axis=1)
-            dgx[t] = np.concatenate([dr, dz, dn], axis=1)
-            gwh += before.T @ dgh
-            back = (d * z + dgh @ wh) * ~start[t][:, None]
+            np.multiply(by[t], d[:, None], out=dgh[t])
+            np.multiply(by_n[t], d, out=dgx[t, :, 2 * HIDDEN :])
+            back = dgh[t].reshape(k, -1) @ wh
+            back += d * z[t]
+            back *= going[t]
+        dgx[..., : 2 * HIDDEN] = dgh.reshape(steps, k, -1)[..., : 2 * HIDDEN]
+        self.g["wh"] += before.reshape(-1, HIDDEN).T @ dgh.reshape(-1, 3 * HIDDEN)
         flat, symbols = dgx.reshape(-1, 3 * HIDDEN), x.ravel()
         self.g["b"] += flat.sum(0)
         embedded = self.w["embed"][symbols]
         self.g["wx"] += embedded.T @ flat
         dx = flat @ self.w["wx"].T
-        for j in range(EMBED):
-            self.g["embed"][:, j] += np.bincount(symbols, dx[:, j], self.symbols).astype(np.float32)
-        norm = float(np.sqrt((self.grad**2).sum()))
+        order = np.argsort(symbols.astype(np.min_scalar_type(self.symbols)), kind="stable")
+        seen, first = np.unique(symbols[order], return_index=True)
+        self.g["embed"][seen] = np.add.reduceat(dx[order], first, axis=0)
+        norm = math.sqrt(float(self.grad @ self.grad))
         if norm > 1:
-            self.grad /= norm
+            self.grad *= np.float32(1 / norm)
         self.steps += 1
-        self.m += 0.1 * (self.grad - self.m)
-        self.v += 0.01 * (self.grad**2 - self.v)
+        part = self.part
+        np.subtract(self.grad, self.m, out=part)
+        part *= np.float32(0.1)
+        self.m += part
+        np.multiply(self.grad, self.grad, out=part)
+        part -= self.v
+        part *= np.float32(0.01)
+        self.v += part
         scale = RATE / (1 + self.steps / 2000) * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-        self.flat -= np.float32(scale) * self.m / (np.sqrt(self.v) + 1e-8)
+        np.sqrt(self.v, out=part)
+        part += np.float32(1e-8)
+        np.divide(self.m, part, out=part)
+        part *= np.float32(scale)
+        self.flat -= part
         return hs[-1]
 
 
 class Lanes:
     """Documents packed into lanes that are read side by side, longest lane first; no document is cut."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], most: int = LANES):
         sizes = np.array([len(d) for d in docs])
-        heap = [(0, lane) for lane in range(min(LANES, len(docs)))]
+        heap = [(0, lane) for lane in range(min(most, len(docs)))]
         lanes: list[list[int]] = [[] for _ in heap]
         for i in np.argsort(-sizes, kind="stable").tolist():
             load, lane = heapq.heappop(heap)
@@ -263,7 +285,7 @@ def train_on(net: Network, docs: list[np.ndarray]) -> int:
 
 def score(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     """log10 of the probability of each document's symbols; the state is carried through the whole document."""
-    lanes = Lanes(docs)
+    lanes = Lanes(docs, SCORED)
     h = np.zeros((len(lanes.length), HIDDEN), np.float32)
     out = np.zeros(len(docs))
     for places, valid in lanes.windows():
