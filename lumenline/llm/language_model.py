@@ -39,7 +39,7 @@ WINDOW, LANES, ROUNDS = 16, 256, 2
 #: Lanes of scoring, where their number has no say in the result.
 SCORED = 1024
 #: Tokens that a task holds at a time, and different tokens it counts before it hands them on.
-CHUNK, COUNTED = 4_000_000, 400_000
+CHUNK, COUNTED = 1_500_000, 400_000
 RATE = 0.01
 #: The end symbol, and the end's name among counted tokens, which no token can have.
 END, END_TOKEN = 0, b" "
