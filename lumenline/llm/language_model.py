@@ -38,6 +38,8 @@ EMBED, HIDDEN, CLASS = 16, 16, 64
 WINDOW, LANES, ROUNDS = 16, 256, 2
 #: Lanes of scoring, where their number has no say in the result.
 SCORED = 1024
+#: Rows of the softmax taken at a time.
+BLOCK = 2048
 #: Tokens that a task holds at a time, and different tokens it counts before it hands them on.
 CHUNK, COUNTED = 1_500_000, 400_000
 RATE = 0.01
@@ -95,14 +97,17 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 class Network:
-    """Weights by name in one flat float32 array, forward and backward passes, Adam."""
+    """Weights by name in one flat float32 array, forward and backward passes, Adam.
+
+    The last row of ``wc`` and of each ``wo[c]`` is the bias.  The gates are reset, update and new, in this order.
+    """
 
     def __init__(self, symbols: int, flat: np.ndarray | None = None, logits: np.ndarray | None = None):
         self.symbols = symbols
         self.classes = -(-symbols // CLASS)
         shapes = {
             "embed": (symbols, EMBED), "wx": (EMBED, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
-            "wc": (HIDDEN, self.classes), "bc": (self.classes,), "wo": (self.classes, HIDDEN, CLASS), "bo": (self.classes, CLASS),
+            "wc": (HIDDEN + 1, self.classes), "wo": (self.classes, HIDDEN + 1, CLASS),
         }
         size = sum(int(np.prod(s)) for s in shapes.values())
         self.flat = np.zeros(size, np.float32) if flat is None else np.array(flat, np.float32)
@@ -118,110 +123,154 @@ class Network:
             rng = np.random.default_rng(1)
             for name in ("embed", "wx", "wh", "wc", "wo"):
                 self.w[name][...] = rng.normal(0, 0.1, self.w[name].shape)
+            self.w["wc"][HIDDEN], self.w["wo"][:, HIDDEN] = 0, 0
             if logits is not None:
                 padded = np.full(self.classes * CLASS, -30.0)
                 padded[:symbols] = logits
                 by_class = padded.reshape(self.classes, CLASS)
                 top = by_class.max(1)
-                self.w["bc"][...] = top + np.log(np.exp(by_class - top[:, None]).sum(1))
-                self.w["bo"][...] = by_class
+                self.w["wc"][HIDDEN] = top + np.log(np.exp(by_class - top[:, None]).sum(1))
+                self.w["wo"][:, HIDDEN] = by_class
         # symbols that only fill the last class up
-        self.w["bo"].reshape(-1)[symbols:] = -30.0
+        self.w["wo"][-1, HIDDEN, symbols - (self.classes - 1) * CLASS :] = -30.0
         self.m, self.v, self.steps = np.zeros(size, np.float32), np.zeros(size, np.float32), 0
         self.part = np.empty(size, np.float32)
 
-    def states(self, x: np.ndarray, start: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-        """States after each step of a window: x (T, k) symbols, start (T, k) whether a document starts."""
-        w, out, kept = self.w, np.empty((*x.shape, HIDDEN), np.float32), []
-        gx = (w["embed"] @ w["wx"] + w["b"])[x]
-        going = (~start).astype(np.float32)[..., None]
+    def gate_inputs(self) -> np.ndarray:
+        """(3, symbols, HIDDEN): what each symbol adds to each gate; halved for the sigmoids, which are taken by tanh."""
+        made = (self.w["embed"] @ self.w["wx"] + self.w["b"]).reshape(-1, 3, HIDDEN).transpose(1, 0, 2).copy()
+        made[:2] *= np.float32(0.5)
+        return made
+
+    def states(
+        self, x: np.ndarray, start: np.ndarray, h: np.ndarray, inputs: np.ndarray | None = None, keep: bool = False
+    ) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """States after each step of a window: x (T, k) symbols, start (T, k) whether a document starts.
+
+        With ``keep`` also what backpropagation needs, each (T, k, HIDDEN): the state before, its part in the new
+        gate, the reset, update and new gates.
+        """
+        gx = np.take(self.gate_inputs() if inputs is None else inputs, x, axis=1)
+        wh = self.w["wh"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2).copy()
+        wh[:2] *= np.float32(0.5)
+        out = np.empty((*x.shape, HIDDEN), np.float32)
+        kept = tuple(np.empty_like(out) for _ in range(5)) if keep else ()
+        going, any_start = (~start).astype(np.float32)[..., None], start.any(1).tolist()
+        gh = np.empty((3, x.shape[1], HIDDEN), np.float32)
+        rz, n = np.empty_like(gh[:2]), np.empty_like(gh[0])
         for t in range(len(x)):
-            before = h * going[t]
-            gh = before @ w["wh"]
-            rz = 1 / (1 + np.exp(-(gx[t][:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])))
-            r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-            n = np.tanh(gx[t][:, 2 * HIDDEN :] + r * gh[:, 2 * HIDDEN :])
-            h = n + z * (before - n)
-            out[t] = h
-            kept.append((before, gh[:, 2 * HIDDEN :], r, z, n))
+            before = h * going[t] if any_start[t] else h
+            np.matmul(before, wh, out=gh)
+            np.add(gx[:2, t], gh[:2], out=rz)
+            np.tanh(rz, out=rz)
+            rz *= np.float32(0.5)
+            rz += np.float32(0.5)
+            np.multiply(rz[0], gh[2], out=n)
+            n += gx[2, t]
+            np.tanh(n, out=n)
+            h = out[t]
+            np.subtract(before, n, out=h)
+            h *= rz[1]
+            h += n
+            if keep:
+                for to, value in zip(kept, (before, gh[2], rz[0], rz[1], n), strict=True):
+                    to[t] = value
         return out, kept
 
     def log_probs(self, hs: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of the probability of each symbol y (n,) after each state hs (n, HIDDEN).
 
         With ``weight`` (n,) also the gradient of the weighted negative sum by hs; the weights' own are added to ``grad``.
+        Rows are sorted by class, so that the products within classes are of runs of rows, and taken ``BLOCK`` at a time.
         """
-        w, g = self.w, self.g
-        cls, place = y // CLASS, y % CLASS
-        every = np.arange(len(y))
-        logit = hs @ w["wc"] + w["bc"]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(1)
-        lp = logit[every, cls] - np.log(total)
-        dh = None
-        if weight is not None:
-            e *= (weight / total)[:, None]
-            e[every, cls] -= weight
-            g["wc"] += hs.T @ e
-            g["bc"] += e.sum(0)
-            dh = e @ w["wc"].T
-        # sorted by class, so that only the matrix products go class by class
+        wc, wo, g = self.w["wc"], self.w["wo"], self.g
+        cls = y // CLASS
         order = np.argsort(cls.astype(np.min_scalar_type(self.classes)), kind="stable")
         ends = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
-        spans = [(c, slice(ends[c], ends[c + 1])) for c in range(self.classes) if ends[c] < ends[c + 1]]
-        h, rows = hs[order], (every, place[order])
-        e = w["bo"][cls[order]]
-        for c, at in spans:
-            e[at] += h[at] @ w["wo"][c]
-        e -= e.max(1, keepdims=True)
-        chosen = e[rows]
-        np.exp(e, out=e)
-        total = e @ np.ones(CLASS, np.float32)
-        lp[order] += chosen - np.log(total)
-        if weight is not None:
-            weight = weight[order]
-            e *= (weight / total)[:, None]
-            e[rows] -= weight
-            back = np.empty_like(h)
-            for c, at in spans:
-                g["wo"][c] += h[at].T @ e[at]
-                np.matmul(e[at], w["wo"][c].T, out=back[at])
-            dh[order] += back
-            g["bo"][[c for c, _ in spans]] += np.add.reduceat(e, [at.start for _, at in spans], axis=0)
-        return lp, dh
+        cls, place = cls[order], (y % CLASS)[order]
+        h = np.ones((len(y), HIDDEN + 1), np.float32)
+        h[:, :HIDDEN] = hs[order]
+        weight = None if weight is None else weight[order]
+        lp = np.empty(len(y), np.float32)
+        dh = None if weight is None else np.empty((len(y), HIDDEN), np.float32)
+        # while no logit can leave the range of exp, no row needs its largest one taken off
+        reach = max(1.0, float(np.abs(hs).max(initial=0))) * max(float(np.abs(wc).sum(0).max()), float(np.abs(wo).sum(1).max()))
+        within = np.empty((min(BLOCK, len(y)), CLASS), np.float32)
+        back = np.empty((len(within), HIDDEN), np.float32)
+
+        def softmax(e: np.ndarray, chosen: np.ndarray, rows: slice) -> np.ndarray:
+            """Turns logits into their exps or, with weights, their gradient; returns the log probability of the chosen."""
+            every = np.arange(len(e))
+            if reach > 80:
+                e -= e.max(1, keepdims=True)
+            picked = e[every, chosen]
+            np.exp(e, out=e)
+            total = e @ np.ones(e.shape[1], np.float32)
+            if weight is not None:
+                e *= (weight[rows] / total)[:, None]
+                e[every, chosen] -= weight[rows]
+            return picked - np.log(total)
+
+        for at in range(0, len(y), BLOCK):
+            rows = slice(at, min(at + BLOCK, len(y)))
+            hb, size = h[rows], rows.stop - at
+            e = hb @ wc
+            got = softmax(e, cls[rows], rows)
+            if weight is not None:
+                g["wc"] += hb.T @ e
+                np.matmul(e, wc[:HIDDEN].T, out=dh[rows])
+            e = within[:size]
+            first, last = int(cls[at]), int(cls[rows.stop - 1])
+            spans = [(c, slice(max(ends[c], at) - at, min(ends[c + 1], rows.stop) - at)) for c in range(first, last + 1) if ends[c] < ends[c + 1]]
+            for c, span in spans:
+                np.matmul(hb[span], wo[c], out=e[span])
+            lp[rows] = got + softmax(e, place[rows], rows)
+            if weight is not None:
+                for c, span in spans:
+                    g["wo"][c] += hb[span].T @ e[span]
+                    np.matmul(e[span], wo[c, :HIDDEN].T, out=back[span])
+                dh[rows] += back[:size]
+        unsorted = np.empty_like(lp)
+        unsorted[order] = lp
+        if dh is not None:
+            dh[order] = dh.copy()
+        return unsorted, dh
 
     def learn(self, x: np.ndarray, y: np.ndarray, start: np.ndarray, valid: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One step of truncated backpropagation; returns the state to carry on."""
-        hs, kept = self.states(x, start, h)
+        hs, (before, ghn, r, z, n) = self.states(x, start, h, keep=True)
         steps, k = x.shape
         self.grad[:] = 0
         weight = (valid / max(1, valid.sum())).astype(np.float32).ravel()
         _, dh = self.log_probs(hs.reshape(-1, HIDDEN), y.ravel(), weight)
         dh = dh.reshape(steps, k, HIDDEN)
-        before, ghn, r, z, n = (np.stack(v) for v in zip(*kept, strict=True))
-        # what each step's gradient is multiplied with, for all steps at once
-        by_n = (1 - z) * (1 - n * n)
-        by = np.stack([by_n * ghn * r * (1 - r), (before - n) * z * (1 - z), by_n * r], axis=2)
-        dgh = np.empty((steps, k, 3, HIDDEN), np.float32)
-        dgx = np.empty((steps, k, 3 * HIDDEN), np.float32)
+        # what each step's gradient is multiplied with, for all steps at once: for the gates' sums reset, update,
+        # the state's part in new, new
+        d = np.empty((4, steps, k, HIDDEN), np.float32)
+        np.multiply(1 - z, 1 - n * n, out=d[3])
+        np.multiply(d[3], r, out=d[2])
+        np.multiply(d[2], ghn * (1 - r), out=d[0])
+        np.multiply(before - n, z * (1 - z), out=d[1])
         back = np.zeros((k, HIDDEN), np.float32)
-        wh, going = self.w["wh"].T, (~start).astype(np.float32)[..., None]
+        wh = self.w["wh"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0).copy()
+        going, any_start = (~start).astype(np.float32)[..., None], start.any(1).tolist()
         for t in range(steps - 1, -1, -1):
-            d = dh[t] + back
-            np.multiply(by[t], d[:, None], out=dgh[t])
-            np.multiply(by_n[t], d, out=dgx[t, :, 2 * HIDDEN :])
-            back = dgh[t].reshape(k, -1) @ wh
-            back += d * z[t]
-            back *= going[t]
-        dgx[..., : 2 * HIDDEN] = dgh.reshape(steps, k, -1)[..., : 2 * HIDDEN]
-        self.g["wh"] += before.reshape(-1, HIDDEN).T @ dgh.reshape(-1, 3 * HIDDEN)
-        flat, symbols = dgx.reshape(-1, 3 * HIDDEN), x.ravel()
-        self.g["b"] += flat.sum(0)
-        embedded = self.w["embed"][symbols]
-        self.g["wx"] += embedded.T @ flat
-        dx = flat @ self.w["wx"].T
-        order = np.argsort(symbols.astype(np.min_scalar_type(self.symbols)), kind="stable")
+            back += dh[t]
+            d[:, t] *= back
+            back *= z[t]
+            for gate in range(3):
+                back += d[gate, t] @ wh[gate]
+            if any_start[t]:
+                back *= going[t]
+        d = d.reshape(4, -1, HIDDEN)
+        by_gate = {"wh": (before.reshape(-1, HIDDEN), (0, 1, 2)), "wx": (self.w["embed"][x.ravel()], (0, 1, 3))}
+        for name, (left, gates) in by_gate.items():
+            self.g[name] += np.concatenate([left.T @ d[i] for i in gates], axis=1)
+        self.g["b"] += np.concatenate([d[i].sum(0) for i in (0, 1, 3)])
+        wx = self.w["wx"].reshape(EMBED, 3, HIDDEN).transpose(1, 2, 0)
+        dx = d[0] @ wx[0] + d[1] @ wx[1] + d[3] @ wx[2]
+        symbols = x.ravel().astype(np.min_scalar_type(self.symbols))
+        order = np.argsort(symbols, kind="stable")
         seen, first = np.unique(symbols[order], return_index=True)
         self.g["embed"][seen] = np.add.reduceat(dx[order], first, axis=0)
         norm = math.sqrt(float(self.grad @ self.grad))
@@ -288,8 +337,9 @@ def score(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     lanes = Lanes(docs, SCORED)
     h = np.zeros((len(lanes.length), HIDDEN), np.float32)
     out = np.zeros(len(docs))
+    inputs = net.gate_inputs()
     for places, valid in lanes.windows():
-        hs, _ = net.states(lanes.x[places], lanes.first[places], h[: places.shape[1]])
+        hs, _ = net.states(lanes.x[places], lanes.first[places], h[: places.shape[1]], inputs)
         h = hs[-1]
         at = places[valid]
         lp, _ = net.log_probs(hs[valid], lanes.y[at])
