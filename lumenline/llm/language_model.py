@@ -9,7 +9,8 @@ times ``(c + 0.5) / (N_b + 0.5 * (V_b + 1))``, by its training count and the buc
 Counts cover all documents: every task counts its tokens, counts meet by token.  Training is truncated backpropagation
 through windows of ``WINDOW`` steps with the state carried from window to window; each task trains on all of its training
 documents from the same start, and the tasks' weights are averaged by their tokens, level by level, ``ROUNDS`` times over
-disjoint parts of the documents.  Scoring carries the state through the whole document.  Counts of frequent tokens go to
+disjoint parts of the documents.  Texts are read twice, for the counts and to write the documents' symbols as a table,
+from which training and scoring go on.  Scoring carries the state through the whole document.  Counts of frequent tokens go to
 the tasks as a table of at most ``FREQUENT`` rows; all other tokens are joined with the counts by 64-bit hash.
 
 Defined cases: null counts as the empty text, which is its end token; equal texts have equal scores; rows with the same id
@@ -40,8 +41,8 @@ WINDOW, LANES, ROUNDS = 16, 256, 2
 SCORED = 1024
 #: Rows of the softmax taken at a time.
 BLOCK = 2048
-#: Tokens that a task holds at a time, and different tokens it counts before it hands them on.
-CHUNK, COUNTED = 1_500_000, 400_000
+#: Tokens whose symbols a task holds at a time, and tokens it counts or encodes before it hands them on.
+CHUNK, COUNTED = 3_000_000, 400_000
 RATE = 0.01
 #: The end symbol, and the end's name among counted tokens, which no token can have.
 END, END_TOKEN = 0, b" "
@@ -398,32 +399,80 @@ class Table:
         return Network(self.symbols, logits=np.log(counts / counts.sum()))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[object], list[list[bytes]]]]:
-    ids: list[object] = []
-    docs: list[list[bytes]] = []
+def encoded_documents(docs: DataFrame, sent) -> DataFrame:
+    """Each row of ``docs`` (id, text) once in numbers: symbols, and what its tokens' counts give.
+
+    ``part`` is -1 for held-out documents, else the training round that takes the document.  ``n_known`` and ``base``
+    cover the frequent tokens, ``bucketed`` is their probability within buckets; ``h`` and ``v`` are the hashes of the
+    other tokens and how often they stand there, times ``BUCKETS``, plus the bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+
+        def out(rows: list[tuple], ids: pa.Array) -> pa.RecordBatch:
+            held, part, n, known, base, bucketed, symbols, hashes, packed = zip(*rows, strict=True)
+            lists = [
+                pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32), pa.array(np.concatenate(parts), kind))
+                for parts, kind in ((symbols, pa.int32()), (hashes, pa.int64()), (packed, pa.int64()))
+            ]
+            plain = [pa.array(held), pa.array(part, pa.int32()), pa.array(n, pa.int64()), pa.array(known, pa.int64())]
+            return pa.RecordBatch.from_arrays([ids, *plain, pa.array(base), pa.array(bucketed), *lists], names=names)
+
+        for b in batches:
+            rows, size, begun = [], 0, 0
+            for at, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+                tokens = tokens_of(t.as_py())
+                ids = table.ids(tokens)
+                here = ids[ids >= 0]
+                rare = Counter(tokens[k] for k in np.nonzero(ids < 0)[0].tolist())
+                held = is_held_out(i)
+                rows.append((
+                    held, -1 if held else crc32(b"%r" % (i,)) % ROUNDS, len(tokens) + 1, int((table.c[here] > 0).sum()),
+                    float(table.base[here].sum()), float(table.in_bucket[here].sum()), table.symbols_of(tokens, ids).astype(np.int32),
+                    np.array([xxhash.xxh64_intdigest(w, 42) for w in rare], np.uint64).view(np.int64),
+                    np.array([n * BUCKETS + bucket_of(w) for w, n in rare.items()], np.int64),
+                ))
+                size += len(tokens) + 1
+                if size >= COUNTED or at + 1 == b.num_rows:
+                    yield out(rows, b.column(0).slice(begun, len(rows)))
+                    rows, size, begun = [], 0, at + 1
+
+    names = ["id", "held_out", "part", "n_tokens", "n_known", "base", "bucketed", "symbols", "h", "v"]
+    schema = (
+        f"id {docs.dtypes[0][1]}, held_out boolean, part int, n_tokens long, n_known long, base double, bucketed double, "
+        "symbols array<int>, h array<long>, v array<long>"
+    )
+    return docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(rows, symbols) of about ``CHUNK`` tokens of documents at a time; the batches hold (row, symbols)."""
+    rows: list[int] = []
+    docs: list[np.ndarray] = []
     size = 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            ids.append(i)
-            docs.append(tokens_of(t.as_py()))
-            size += len(docs[-1]) + 1
+        rows_here, lists = b.column(0).to_pylist(), b.column(1)
+        ends = lists.offsets.to_numpy().tolist()
+        values = lists.values.to_numpy()
+        for row, begin, end in zip(rows_here, ends, ends[1:], strict=False):
+            rows.append(row)
+            docs.append(values[begin:end])
+            size += end - begin
             if size >= CHUNK:
-                yield ids, docs
-                ids, docs, size = [], [], 0
+                yield rows, docs
+                rows, docs, size = [], [], 0
     if docs:
-        yield ids, docs
+        yield rows, docs
 
 
-def _trained(docs: DataFrame, sent, weights: np.ndarray, round_: int) -> np.ndarray | None:
-    """The average of the weights that the tasks come to on their part of the training documents."""
+def _trained(docs: DataFrame, symbols: int, weights: np.ndarray) -> np.ndarray | None:
+    """The average of the weights that the tasks come to on their part of ``docs`` (row, symbols)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        net, n = Network(table.symbols, weights), 0
-        for ids, texts in _chunks(batches):
-            chosen = [t for i, t in zip(ids, texts, strict=True) if not is_held_out(i) and crc32(b"%r" % (i,)) % ROUNDS == round_]
-            if chosen:
-                n += train_on(net, [table.symbols_of(t, table.ids(t)) for t in chosen])
+        net, n = Network(symbols, weights), 0
+        for _, chosen in _chunks(batches):
+            n += train_on(net, chosen)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([net.flat.tobytes()], pa.binary())], names=["n", "w"])
 
@@ -461,42 +510,19 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     }
     table = Table(rows, total, different, buckets)
     sent = spark.sparkContext.broadcast(table)
-    weights = table.network(ends).flat
+    symbols, weights = table.symbols, table.network(ends).flat
+    encoded = written(encoded_documents(docs, sent), "encoded")
     for round_ in range(ROUNDS):
-        made = _trained(docs, sent, weights, round_)
+        made = _trained(encoded.where(F.col("part") == round_).select("row", "symbols"), symbols, weights)
         weights = weights if made is None else made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        net = Network(table.symbols, weights)
-        for ids, texts in _chunks(batches):
-            places = [table.ids(t) for t in texts]
-            scores = score(net, [table.symbols_of(t, p) for t, p in zip(texts, places, strict=True)])
-            base, known, hashes, packed = [], [], [], []
-            for k, (t, p) in enumerate(zip(texts, places, strict=True)):
-                at = p[p >= 0]
-                base.append(float(table.base[at].sum()))
-                known.append(int((table.c[at] > 0).sum()))
-                scores[k] += table.in_bucket[at].sum()
-                rare = Counter(t[i] for i in np.nonzero(p < 0)[0].tolist())
-                hashes.append([h - 2**64 if (h := xxhash.xxh64_intdigest(w, 42)) >= 2**63 else h for w in rare])
-                packed.append([n * BUCKETS + bucket_of(w) for w, n in rare.items()])
-            for at in range(0, len(ids), 2000):
-                cut = slice(at, at + 2000)
-                cols = [
-                    pa.array(ids[cut]), pa.array([is_held_out(i) for i in ids[cut]]), pa.array([len(t) + 1 for t in texts[cut]], pa.int64()),
-                    pa.array(known[cut], pa.int64()), pa.array(base[cut], pa.float64()), pa.array(scores[cut], pa.float64()),
-                    pa.array(hashes[cut], pa.list_(pa.int64())), pa.array(packed[cut], pa.list_(pa.int64())),
-                ]
-                if cols[0].type == pa.null():
-                    cols[0] = cols[0].cast(pa.int64())
-                names = ["id", "held_out", "n_tokens", "n_known", "base", "score", "h", "v"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    kind = dict(df.dtypes)[id_col]
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, h array<long>, v array<long>"
-    part = written(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = part.select("row", F.explode(F.arrays_zip("h", "v")).alias("x")).select("row", "x.h", "x.v")
+        net = Network(symbols, weights)
+        for rows, texts in _chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(score(net, texts))], names=["row", "score"])
+
+    scored = written(encoded.select("row", "symbols").mapInArrow(run, "row long, score double"), "scored")
+    rare = encoded.select("row", F.explode(F.arrays_zip("h", "v")).alias("x")).select("row", "x.h", "x.v")
     known = words.select(F.xxhash64("token").alias("h"), "c").where("c > 0")
     n_b = F.create_map(*(F.lit(x) for b in range(BUCKETS) for x in (b, float(sum(np.array(buckets.get(b, (0, 0))) * (1, 0.5)) + 0.5))))
     c = F.coalesce("c", F.lit(0)) + 0.5
@@ -507,7 +533,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
         F.sum(F.when(F.col("c") > 0, times).otherwise(0)).alias("rare_known"),
     )
     end = math.log10((ends + 0.5) / (total + 0.5 * (different + 1)))
-    out = part.drop("h", "v").join(joined, "row", "left")
+    out = encoded.drop("symbols", "h", "v").join(scored, "row").join(joined, "row", "left")
     zero = F.lit(0)
     return out.select(
         F.col("id").alias(id_col),
@@ -516,5 +542,5 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
         (F.col("n_known") + F.coalesce("rare_known", zero) + int(ends > 0)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", zero) + end).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", zero)).alias("score"),
+        (F.col("score") + F.col("bucketed") + F.coalesce("rare_score", zero)).alias("score"),
     )
