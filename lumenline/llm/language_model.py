@@ -489,6 +489,25 @@ def _trained(docs: DataFrame, symbols: int, weights: np.ndarray) -> np.ndarray |
     return np.frombuffer(averaged(last)["w"][0], np.float32) if len(last) else None
 
 
+def _level():
+    """Sixteenths of a doubling of a token's training count."""
+    return F.floor(F.log2(F.col("c") + 1) * 16)
+
+
+def frequent_level(words: DataFrame, most: int = FREQUENT) -> int:
+    """The highest level from which on there are ``most`` tokens; 0 if there are fewer.
+
+    No token below it is among the ``most`` first, and a level has few, so the sort that picks them reads little more
+    than it keeps. There are at most 16 * 64 levels.
+    """
+    found = 0
+    for level, n in sorted(((int(r.level), r["count"]) for r in words.groupBy(_level().alias("level")).count().collect()), reverse=True):
+        found += n
+        if found >= most:
+            return level
+    return 0
+
+
 def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = df.sparkSession
@@ -497,7 +516,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     some = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum(F.when(F.col("token") == " ", F.col("c")))).first()
     total, different, ends = (int(x or 0) for x in some)
     words = counts.where(F.col("token") != " ")
-    top = words.orderBy(F.col("c").desc(), F.col("a").desc(), "token").select("token", "c", "a", "bucket").limit(FREQUENT).toArrow()
+    top = words.where(_level() >= frequent_level(words)).orderBy(F.col("c").desc(), F.col("a").desc(), "token").select("token", "c", "a", "bucket").limit(FREQUENT).toArrow()
     rows = list(zip(*(top[c].to_pylist() for c in ("token", "c", "a", "bucket")), strict=True))
     held: dict[int, list[int]] = {}
     for _, c, _, b in rows[:SYMBOLS]:

@@ -131,6 +131,16 @@ def test_op4_counts_and_gain(spark, tables):
         assert r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 1) and r.score < 0
 
 
+def test_op4_level_keeps_the_most_frequent(spark):
+    words = spark.createDataFrame([(f"w{i}", 1000 // i, 0) for i in range(1, 900)], "token string, c long, a long")
+    want = words.orderBy(words.c.desc(), "token").limit(40).collect()
+    level = language_model.frequent_level(words, 40)
+    kept = words.where(language_model._level() >= level)
+    assert 40 <= kept.count() < 60
+    assert kept.orderBy(words.c.desc(), "token").limit(40).collect() == want
+    assert language_model.frequent_level(words, 5000) == 0
+
+
 def test_op4_gradient():
     rng = np.random.default_rng(0)
     net = language_model.Network(100, logits=np.log(rng.dirichlet(np.ones(100))))
