@@ -19,8 +19,8 @@ similarity 0.8 together with probability ``RECALL``; a place is keyed by bits dr
 more of them the more fingerprints there are.  There the same trie self-join walks the first 64 bits within the error
 budget ``NARROW`` (four standard deviations above the mean), and the pairs it leaves are linked within ``WIDE_RADIUS``
 of all 256 bits (nearly four above).  Per place only a spanning forest of the links leaves, the closest links first, so a large
-group costs as many rows as it has members.  Links within ``WIDE_SURE`` bits stand; those of more bits, unless sure ones
-connect their ends already, are verified by the exact Jaccard similarity of the shingle sets.
+group costs as many rows as it has members.  These links only say which documents can be similar at all: the shingle sets
+of each part that they join are then compared exactly, and components come from the exactly similar ones alone.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint 0 and is linked like any other; repeated
 ids are allowed; a null id takes part with its fingerprint but is never a component's name unless all its ids are null.
@@ -46,6 +46,8 @@ SLICE, AT_ONCE = 1 << 20, 200_000
 #: Fingerprint pairs compared at a time.
 PAIRS = 1 << 21
 WIDE, WIDE_RADIUS, WIDE_SURE, NARROW, RECALL, SIMILARITY = 256, 60, 24, 21, 0.985, 0.8
+#: Members of a part whose shingle sets one task compares, and members of many links that every piece of a larger part is given.
+PIECE, HUBS = 512, 16
 #: Share of differing bits at a similarity of 0.8.
 BIT_APART = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 #: Steps between the inputs of the mixes that widen a shingle's hash.
@@ -356,15 +358,106 @@ def shingle_sets(df: DataFrame, size: int) -> DataFrame:
     return df.select("node", "fp", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def verified_links(df: DataFrame, id_col: str, text: str, size: int, nodes: DataFrame, unsure: DataFrame) -> DataFrame:
-    """The (a, b) of ``unsure`` whose texts have shingle sets of a Jaccard similarity of ``SIMILARITY`` or more."""
-    ends = unsure.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text")).join(ends, "node")
-    sets = written(shingle_sets(texts, size), "sets")
-    pairs = unsure.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.where(both >= SIMILARITY * (F.size("x") + F.size("y") - both)).select("a", "b")
+def _linked(labels: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links that join all parts of the given sets: those of one label, and any of a Jaccard similarity of ``SIMILARITY``.
+
+    A search from set to set; each is compared exactly with all that no part holds yet.
+    """
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    left, flat = np.arange(len(sets)), ids
+    seen = np.zeros(len(values), bool)
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    front: list[int] = []
+
+    def take(out: np.ndarray) -> None:
+        nonlocal left, flat
+        front.extend(left[out].tolist())
+        flat = flat[np.repeat(~out, sizes[left])]
+        left = left[~out]
+
+    while len(left):
+        if not front:
+            take(labels[left] == labels[left[0]])
+            continue
+        x = front.pop()
+        seen[own[x]] = True
+        n = sizes[left]
+        both = np.add.reduceat(seen[flat], np.cumsum(n) - n, dtype=np.int64)
+        seen[own[x]] = False
+        hit = both >= SIMILARITY * (n + sizes[x] - both)
+        if hit.any():
+            yield from ((x, y) for y in left[hit].tolist())
+            take(np.isin(labels[left], labels[left[hit]]))
+
+
+def exact_links(dealt: DataFrame) -> DataFrame:
+    """(a, b): links that join the exactly similar of each piece; ``dealt`` has part, piece, node, label and shingles."""
+    dealt = dealt.select("part", "piece", "node", "label", "shingles").repartition("part", "piece").sortWithinPartitions("part", "piece")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple[int, int] | None = None
+        held: dict[int, tuple[int, np.ndarray]] = {}
+
+        def made() -> Iterator[pa.RecordBatch]:
+            nodes = list(held)
+            found = list(_linked(np.array([x for x, _ in held.values()]), [x for _, x in held.values()])) if len(held) > 1 else []
+            if found:
+                i, j = np.array(found).T
+                yield from _edges(np.array(nodes)[i], np.array(nodes)[j])
+
+        for batch in batches:
+            part, piece, node, label = (batch.column(k).to_pylist() for k in range(4))
+            for k, key in enumerate(zip(part, piece, strict=True)):
+                if key != now:
+                    yield from made()
+                    now, held = key, {}
+                held.setdefault(node[k], (label[k], batch.column(4)[k].values.to_numpy()))
+        yield from made()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def similar_parts(sets: DataFrame, forest: DataFrame) -> DataFrame:
+    """(node, component) of exactly similar sets; ``sets`` (node, part, shingles) has the parts that ``forest`` joins.
+
+    A part of up to ``PIECE`` members is one task's.  Larger ones are cut into pieces, each compared with itself and
+    ``HUBS`` members of many links; what the largest component so found lacks is then compared with all members.
+    """
+    key = F.xxhash64("node")
+    sizes = sets.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > PIECE)
+    large = written(sizes.select("part", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")), "large")
+    some = large.head(1)
+    cut = sets.join(F.broadcast(large), "part", "left") if some else sets.withColumn("pieces", F.lit(None).cast("int"))
+    rows = cut.withColumn("piece", F.pmod(key, F.coalesce("pieces", F.lit(1))).cast("long")).withColumn("label", F.col("node"))
+    if some:
+        degree = forest.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        ranked = sets.select("node", "part").join(F.broadcast(large), "part").join(degree, "node")
+        best = ranked.groupBy("part", "pieces", F.pmod(key, F.lit(HUBS)).alias("slot")).agg(F.max(F.struct("links", "node")).alias("best"))
+        hubs = best.select(F.col("best.node").alias("node"), "pieces").join(sets, "node")
+        hubs = hubs.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces").cast("long") - 1))).withColumn("label", F.col("node"))
+        rows = rows.unionByName(hubs.select(*rows.columns))
+    first = written(exact_links(rows), "exact")
+    found = components(first)
+    if not some:
+        return found
+    found = written(found, "found")
+    members = sets.select("node", "part").join(F.broadcast(large), "part").join(found, "node", "left")
+    members = members.select("node", "part", "pieces", F.coalesce("component", "node").alias("label"))
+    count = members.groupBy("part", "pieces", "label").agg(F.count("*").alias("n"))
+    rest = count.groupBy("part", "pieces").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
+    rest = rest.select("part", "pieces", F.col("most.label").alias("main"), (F.col("all") - F.col("most.n")).alias("n")).where("n > 0")
+    rest = written(rest.withColumn("others", F.ceil(F.col("n") / PIECE).cast("long")), "rest")
+    if not rest.head(1):
+        return found
+    held = members.drop("pieces").join(F.broadcast(rest), "part").join(sets.select("node", "shingles"), "node")
+    own, pieces = F.pmod(key, F.col("pieces")).cast("long"), F.col("pieces").cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    others = held.where("label <> main").withColumn("other", F.pmod(key, F.col("others"))).withColumn("piece", every(pieces))
+    all_of = held.withColumn("piece", own).withColumn("other", every(F.col("others")))
+    # the others first, so that each is compared before the main component is walked
+    met = others.unionByName(all_of.select(*others.columns)).withColumn("piece", F.col("piece") * F.col("others") + F.col("other"))
+    return components(first.union(exact_links(met)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -411,13 +504,11 @@ def similar_documents(df: DataFrame, id_col: str, text: str, size: int = 5) -> D
     prints = written(with_wide_fingerprint(df, id_col, text, size), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("node")), "nodes")
     known = nodes.where("node is not null")
-    forest = written(similar_links(known, known.count()).distinct(), "forest")
-    sure = forest.where(F.col("bits") <= WIDE_SURE).select("a", "b")
-    stars = written(components(sure).select(F.col("node").alias("a"), F.col("component").alias("b")), "stars")
-    unsure = forest.where(F.col("bits") > WIDE_SURE).select("a", "b")
-    for end in ("a", "b"):
-        unsure = unsure.join(stars.select(F.col("a").alias(end), F.col("b").alias("of_" + end)), end, "left")
-    unsure = written(unsure.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "unsure")
-    found = components(stars.union(verified_links(df, id_col, text, size, known, unsure)))
+    forest = written(similar_links(known, known.count()).select("a", "b").distinct(), "forest")
+    parts = components(forest).withColumnRenamed("component", "part")
+    parts = written(parts.union(parts.select("part", "part")).distinct(), "parts")
+    texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text")).join(known.join(parts, "node"), "node")
+    sets = written(shingle_sets(texts, size).where(F.size("shingles") > 0).join(parts, "node"), "sets")
+    found = similar_parts(sets, forest)
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp", "left").select(id_col, "fp", "component_id")

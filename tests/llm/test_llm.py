@@ -357,3 +357,32 @@ def test_pipeline_stages(spark, tables, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{i}")
     kept = {r.doc_id for r in docs.collect()}
     assert kept and not kept & {7, 8} and not {4, 5} <= kept
+
+
+@pytest.mark.parametrize("n", [30, 200, 1000])
+def test_similar_documents_finds_all_variants_of_a_base(spark, n):
+    rng = random.Random(n)
+    vocab = [f"w{i}" for i in range(5000)]
+    base = rng.choices(vocab, k=300)
+    rows = [(0, " ".join(base))]
+    for i in range(1, n + 1):  # about 0.82 to the base, about 0.67 to each other
+        made = list(base)
+        for at in rng.sample(range(4, 296, 6), 6):
+            made[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(made)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    alike = [i for i in range(1, n + 1) if len(sets[0] & sets[i]) >= 0.8 * len(sets[0] | sets[i])]
+    assert len(alike) == n and sum(len(sets[1] & x) >= 0.8 * len(sets[1] | x) for x in sets[2:]) < n / 20
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sum(r.component_id != 0 for r in got) <= 0.001 * n
+
+
+def test_similar_documents_verifies_links_of_few_bits(spark):
+    rng = random.Random(3)
+    sets = [np.sort(rng.sample(range(10**9), 40)) for _ in range(700)]
+    sets += [np.r_[s[:39], 10**9 + i] for i, s in enumerate(sets[:300])]
+    rows = [(i, 0, s.tolist()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, part long, shingles array<long>")
+    forest = spark.createDataFrame([(0, i) for i in range(1, 1000)], "a long, b long")
+    got = {(r.node, r.component) for r in simhash.similar_parts(df, forest).collect() if r.node != r.component}
+    assert got == {(700 + i, i) for i in range(300)}
