@@ -1,20 +1,25 @@
 """License scans by conditional compression.
 
-A candidate block (a run of lines with words of licenses) is compressed by zstandard alone and once more with each license
-template as a raw dictionary; templates are ranked by how much they shorten it.  Winners are confirmed by the exact
-differences in wording: nearly all words of the template stand in the block in order, and no number differs.
-
-Defined cases: null and empty texts have no blocks; of two templates with the same differences the better ranked wins, then
-the first by name; a block that no template is confirmed for has a row with a null license only if ``unconfirmed`` is set.
+Words within reach of a cue (a word of licenses) are a candidate region, whatever lines they stand on.  In it the spans that
+hold nearly all words of a template in order, and all its numbers, are found by an exact alignment; templates whose words
+the region lacks are passed over first, which loses none.  Each span is compressed by zstandard alone and once more with each
+template as a raw dictionary: of overlapping spans the one with the fewest differences in wording stands, then the longest
+template, then the one that shortens it most.
+
+Defined cases: null and empty texts have no regions; a row's block is the text from the span's first to its last word; a
+region that no template is confirmed in has a row with a null license only if ``unconfirmed`` is set.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -69,35 +74,41 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
-#: A line with one of these is a candidate; every template has one.
-CUES = re.compile(r"licen[sc]|copyright|©|permission|permitted|warrant|redistribut|public domain|released under|creative commons|merchantab|as is\b", re.I)
-WORDS = re.compile(r"\w+(?:[-.]\w+)*")
-#: The share of a template's words that must stand in the block, and the least reduction that is looked at closely.
-COVERAGE, REDUCTION = 0.9, 0.1
-#: Words of a block that are compared at a time: longer blocks are compared in overlapping parts.
-PART = 2000
+#: Words near one of these are candidates; every template has one.
+CUES = re.compile(r"licen[sc]|copyright|©|permission|permitted|warrant|redistribut|public\W+domain|released\W+under|creative\W+commons|merchantab|as\W+is\b", re.I)
+#: A word goes on after a hyphen at the end of a line, behind the next line's comment marks.
+WORDS = re.compile(r"\w+(?:(?:[-.]|-\s*\n\W*)\w+)*")
+BROKEN = re.compile(r"(?<=-)\W+")
+#: The share of a template's words that must stand in the span.
+COVERAGE = 0.9
 LEVEL = 3
 RESULT = "start_line int, n_lines int, block string, license string, template int, reduction double, n_missing int, n_extra int, differences string"
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    return [BROKEN.sub("", w) for w in WORDS.findall(text.lower())]
 
 
-def candidate_blocks(text: str | None) -> list[tuple[int, int, str]]:
-    """(first line, lines, text) of each run of lines with a cue."""
-    out: list[tuple[int, int, str]] = []
+def candidate_regions(text: str | None) -> list[list[re.Match]]:
+    """The words of each region: all within reach of a cue, twice the longest template, on both sides."""
     if not text or not CUES.search(text):
-        return out
-    run: list[str] = []
-    lines = text.split("\n")
-    for i, line in enumerate([*lines, ""]):
-        if CUES.search(line):
-            run.append(line)
-        elif run:
-            out.append((i - len(run), len(run), "\n".join(run)))
-            run = []
-    return out
+        return []
+    words = list(WORDS.finditer(text))
+    starts = [w.start() for w in words]
+    out: list[list[int]] = []
+    for cue in CUES.finditer(text):
+        at = bisect_right(starts, cue.start())
+        low, high = max(0, at - 2 * _longest()), min(len(words), at + 2 * _longest())
+        if out and low <= out[-1][1]:
+            out[-1][1] = high
+        else:
+            out.append([low, high])
+    return [words[a:b] for a, b in out if a < b]
+
+
+@lru_cache(1)
+def _longest() -> int:
+    return max(len(words_of(t)) for texts in TEMPLATES.values() for t in texts)
 
 
 @lru_cache(1)
@@ -130,35 +141,74 @@ def differences(template: list[str], block: list[str]) -> tuple[list[str], list[
     return missing, extra
 
 
-def _confirmed(template: list[str], block: list[str]) -> tuple[list[str], list[str]] | None:
-    best = None
-    for at in range(0, max(1, len(block)), PART):
-        missing, extra = differences(template, block[max(0, at - len(template)) : at + PART])
-        digits = any(c.isdigit() for w in missing for c in w)
-        if len(missing) <= (1 - COVERAGE) * len(template) and len(extra) <= len(template) and not digits:
-            if best is None or len(missing) + len(extra) < len(best[0]) + len(best[1]):
-                best = (missing, extra)
-    return best
-
-
-@lru_cache(20_000)
-def identify(block: str) -> tuple[str | None, int | None, float, int | None, int | None, str | None]:
-    """(license, template, reduction, n_missing, n_extra, differences) of a block; license is None if none is confirmed."""
-    ranked, words = rank(block), words_of(block)
-    best = None
-    for place, (reduction, name, i, template) in enumerate(ranked):
-        if reduction < REDUCTION:
-            break
-        if (d := _confirmed(template, words)) is not None:
-            key = (len(d[0]) + len(d[1]), -len(template), place)
-            if best is None or key < best[0]:
-                said = " ".join([*(f"-{w}" for w in d[0]), *(f"+{w}" for w in d[1])])
-                best = (key, (name, i, reduction, len(d[0]), len(d[1]), said))
-    return best[1] if best else (None, None, ranked[0][0], None, None, None)
+def _costs(template: list[int], region: np.ndarray) -> np.ndarray:
+    """For each end in the region the least cost of a span that the template stands in: len + 1 a missing word, 1 an extra one."""
+    missing, n = len(template) + 1, len(region) + 1
+    place = np.arange(n)
+    row = np.zeros(n, np.int64)
+    for w in template:
+        base = row + missing
+        base[1:] = np.minimum(base[1:], np.where(region == w, row[:-1], base[1:]))
+        row = np.minimum.accumulate(base - place) + place
+    return row
+
+
+def _spans(template: list[int], region: np.ndarray) -> list[tuple[int, int]]:
+    """Spans of the region that can hold the template, best first, none over another."""
+    n = len(template)
+    most = (n + 1) * int((1 - COVERAGE) * n + 1e-9) + n
+    costs = _costs(template, region)
+    ends = np.nonzero((costs[1:] <= most) & (costs[1:] <= costs[:-1]))[0] + 1
+    out: list[tuple[int, int]] = []
+    for end in ends[np.argsort(costs[ends], kind="stable")].tolist():
+        if any(a < end <= b for a, b in out):
+            continue
+        low = max(0, end - 2 * n)
+        back = _costs(template[::-1], region[low:end][::-1] if end > low else region[:0])
+        # the template's last word stands at the span's end, so the span is the shortest of the least cost
+        start = end - int(np.argmin(back))
+        if start < end and not any(a < end and start < b for a, b in out):
+            out.append((start, end))
+    return out
+
+
+@lru_cache(1)
+def _words_by_template() -> list[tuple[str, int, list[str], Counter[str]]]:
+    return [(name, i, w, Counter(w)) for name, i, w, _ in _compressors()]
+
+
+def notices(text: str, region: list[re.Match]) -> list[tuple[int, int, str, int, float, int, int, str]]:
+    """(start, end, license, template, reduction, n_missing, n_extra, differences) of each confirmed notice, by place."""
+    words = [BROKEN.sub("", w.group().lower()) for w in region]
+    counts = Counter(words)
+    ids = {w: k for k, w in enumerate(counts)}
+    coded = np.array([ids[w] for w in words])
+    found = []
+    for name, i, template, needed in _words_by_template():
+        n = len(template)
+        if sum(min(k, counts[w]) for w, k in needed.items()) < COVERAGE * n - 1e-9:
+            continue
+        for a, b in _spans([ids.get(w, -1) for w in template], coded):
+            missing, extra = differences(template, words[a:b])
+            digits = any(c.isdigit() for w in missing for c in w)
+            if len(missing) <= (1 - COVERAGE) * n + 1e-9 and len(extra) <= n and not digits:
+                found.append((len(missing) + len(extra), -n, a, b, name, i, missing, extra))
+    if not found:
+        return []
+    reductions: dict[tuple[int, int], dict[tuple[str, int], float]] = {}
+    for _, _, a, b, *_ in found:
+        if (a, b) not in reductions:
+            reductions[a, b] = {(name, i): r for r, name, i, _ in rank(text[region[a].start() : region[b - 1].end()])}
+    out = []
+    for _, _, a, b, name, i, missing, extra in sorted(found, key=lambda x: (*x[:2], -reductions[x[2:4]][x[4:6]], x[4], x[2])):
+        if not any(a < y and x < b for x, y, *_ in out):
+            said = " ".join([*(f"-{w}" for w in missing), *(f"+{w}" for w in extra)])
+            out.append((a, b, name, i, reductions[a, b][name, i], len(missing), len(extra), said))
+    return sorted((region[a].start(), region[b - 1].end(), *rest) for a, b, *rest in out)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", unconfirmed: bool = False) -> DataFrame:
-    """One row for each candidate block with a confirmed license: ``id_col`` and the columns of ``RESULT``."""
+    """One row for each confirmed notice: ``id_col`` and the columns of ``RESULT``."""
     kind = dict(df.dtypes)[id_col]
     types = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.string())
     names = [x.split(" ")[0] for x in RESULT.split(", ")]
@@ -167,11 +217,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", unconfirmed:
         for b in batches:
             places, rows = [], []
             for i, t in enumerate(b.column(1)):
-                for start, lines, block in candidate_blocks(t.as_py()):
-                    found = identify(block)
-                    if found[0] is not None or unconfirmed:
+                said = t.as_py()
+                for region in candidate_regions(said):
+                    found = notices(said, region)
+                    if not found and unconfirmed:
+                        start, end = region[0].start(), region[-1].end()
+                        found = [(start, end, None, None, rank(said[start:end])[0][0], None, None, None)]
+                    for start, end, *rest in found:
                         places.append(i)
-                        rows.append((start, lines, block, *found))
+                        rows.append((said.count("\n", 0, start), said.count("\n", start, end) + 1, said[start:end], *rest))
             if rows:
                 cols = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(places)), *cols], names=[id_col, *names])

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 from collections import Counter
 from zlib import crc32
 
@@ -386,3 +387,24 @@ def test_similar_documents_verifies_links_of_few_bits(spark):
     forest = spark.createDataFrame([(0, i) for i in range(1, 1000)], "a long, b long")
     got = {(r.node, r.component) for r in simhash.similar_parts(df, forest).collect() if r.node != r.component}
     assert got == {(700 + i, i) for i in range(300)}
+
+
+def licenses(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {i: [] for i in range(len(texts))}
+    for r in sorted(license_scan.scan(df).collect(), key=lambda r: (r.doc_id, r.start_line)):
+        out[r.doc_id].append((r.license, r.start_line, r.n_lines))
+    return list(out.values())
+
+
+def test_op10_wrapped_notices(spark):
+    rng = random.Random(4)
+    texts, want = [], []
+    for name, templates in license_scan.TEMPLATES.items():
+        for t in templates:
+            for width in (20, 70, 78, 80):
+                for prefix in ("", "# ", " * ", "// "):
+                    lines = textwrap.wrap(t, width, break_long_words=False)
+                    texts.append("\n".join([prose(rng, 12), "", *(prefix + x for x in lines), "", prose(rng, 12)]))
+                    want.append([(name, 2, len(lines))])
+    assert licenses(spark, texts) == want
