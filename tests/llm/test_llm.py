@@ -408,3 +408,10 @@ def test_op10_wrapped_notices(spark):
                     texts.append("\n".join([prose(rng, 12), "", *(prefix + x for x in lines), "", prose(rng, 12)]))
                     want.append([(name, 2, len(lines))])
     assert licenses(spark, texts) == want
+
+
+def test_op10_notice_in_a_long_line(spark):
+    rng = random.Random(5)
+    texts = [f"{prose(rng, n)} Released under the MIT License. {prose(rng, n)}" for n in (15, 60, 300, 3000)]
+    texts.append(f"{prose(rng, 400)} it was is {prose(rng, 400)}\nReleased under the MIT License.")
+    assert [[x[0] for x in found] for found in licenses(spark, texts)] == [["MIT"]] * 5
