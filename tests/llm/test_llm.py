@@ -415,3 +415,12 @@ def test_op10_notice_in_a_long_line(spark):
     texts = [f"{prose(rng, n)} Released under the MIT License. {prose(rng, n)}" for n in (15, 60, 300, 3000)]
     texts.append(f"{prose(rng, 400)} it was is {prose(rng, 400)}\nReleased under the MIT License.")
     assert [[x[0] for x in found] for found in licenses(spark, texts)] == [["MIT"]] * 5
+
+
+def test_op10_adjacent_notices(spark):
+    short = [(name, t) for name, ts in license_scan.TEMPLATES.items() for t in ts]
+    texts = ["Released under the MIT License.\nLicensed under CC BY 4.0.", "\n".join(t for _, t in short), " ".join(t for _, t in short * 3)]
+    got = licenses(spark, texts)
+    assert got[0] == [("MIT", 0, 1), ("CC-BY-4.0", 1, 1)]
+    assert [(n, i) for n, i, _ in got[1]] == [(n, i) for i, (n, _) in enumerate(short)]
+    assert Counter(n for n, _, _ in got[2]) == Counter(n for n, _ in short * 3)
