@@ -1,8 +1,8 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
 Trusted are documents with quality 1 and toxic 0 in ``labels``; of these the ``TRUSTED`` with the smallest hashed ids are
-taken (a bounded sample of labelled rows; all others, and all unlabelled ones, are only scored).  A quarter of the sample
-sets the thresholds, the rest trains the model.
+a bounded sample (all others, and all unlabelled ones, are only scored).  A quarter of the sample is held back, the rest
+trains the model; all trusted documents that do not train it set the thresholds.
 
 Counts are sharded by n-gram: trigram counts, continuation counts of bigrams and words, and the totals of each context
 come from aggregations by n-gram, and joins by n-gram turn them into probabilities.  A token's log probability is a sum
@@ -11,7 +11,8 @@ a document's perplexity is a join of its n-grams with the table of terms, summed
 cut into ``SHARDS`` by key; every task joins its documents' n-grams with one shard after the other.
 
 A document is accepted if its perplexity is at most its language's threshold: the ``QUANTILE`` of the perplexities of the
-sample's held-back documents in that language, or of all of them where fewer than ``LEAST`` have the language.
+trusted documents in that language that did not train the model, or of all of them where fewer than ``LEAST`` have the
+language.  The quantiles are exact: counts by narrow ranges of perplexity tell which values the driver needs to see.
 
 Defined cases: null counts as the empty text, scored by its end token alone; a null language is one of its own; without
 any trusted document every document is accepted with a null threshold and perplexity.
@@ -217,26 +218,67 @@ def perplexity(df: DataFrame, terms: Terms, text: str = "text") -> DataFrame:
 _START, _END = _hash(START), _hash(END)
 
 
+def quantiles(held: DataFrame) -> tuple[float | None, dict[str, float]]:
+    """The ``QUANTILE`` of ``perplexity`` in all of ``held``, and by ``_lang`` where ``LEAST`` or more have it; between ranks linear."""
+    cell = F.floor(F.log("perplexity") * 1000).cast("long")
+    counts = [(r["_lang"], r["cell"], r["count"]) for r in held.groupBy("_lang", cell.alias("cell")).count().collect()]
+    groups = {None: Counter(), **{k: Counter() for k, _, _ in counts}}
+    for k, c, n in counts:
+        groups[k][c] += n
+        groups[None][c] += n
+    wanted: dict[str | None, dict[int, int | None]] = {}
+    cells: set[int] = set()
+    for k, g in groups.items():
+        n = sum(g.values())
+        if n and (k is None or n >= LEAST):
+            at = QUANTILE * (n - 1)
+            wanted[k] = dict.fromkeys((math.floor(at), math.ceil(at)))
+            for rank in wanted[k]:
+                before = 0
+                for c in sorted(g):
+                    if rank < before + g[c]:
+                        wanted[k][rank] = (c, rank - before)
+                        cells.add(c)
+                        break
+                    before += g[c]
+    if not wanted:
+        return None, {}
+    rows = held.where(cell.isin(sorted(cells))).groupBy("_lang", cell.alias("cell"), "perplexity").count().collect()
+    made = {}
+    for k, ranks in wanted.items():
+        values = []
+        for c, nth in (ranks[r] for r in sorted(ranks)):
+            for value, n in sorted((r["perplexity"], r["count"]) for r in rows if r["cell"] == c and k in (None, r["_lang"])):
+                if nth < n:
+                    values.append(value)
+                    break
+                nth -= n
+        part = QUANTILE * (sum(groups[k].values()) - 1) % 1
+        made[k] = values[0] + (values[-1] - values[0]) * part
+    return made.pop(None), made
+
+
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", trusted: int = TRUSTED) -> DataFrame:
     """``df`` without ``text``, with n_tokens, perplexity, threshold and accepted."""
-    chosen = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("_chosen")).distinct()
-    order = F.xxhash64("_chosen")
-    chosen = chosen.orderBy(order, "_chosen").limit(trusted)
+    all_trusted = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("_chosen")).distinct()
+    chosen = written(all_trusted.orderBy(F.xxhash64("_chosen"), "_chosen").limit(trusted), "chosen")
+    is_back = F.pmod(F.xxhash64("_chosen", F.lit("part")), F.lit(4)) == 0
     sample = df.select(id_col, text, F.coalesce(F.col(lang), F.lit("")).alias("_lang")).join(F.broadcast(chosen), F.col(id_col) == F.col("_chosen"))
-    sample = written(sample.select(text, "_lang", (F.pmod(F.xxhash64("_chosen", F.lit("part")), F.lit(4)) == 0).alias("back")), "trusted")
+    sample = written(sample.select(text, "_lang", is_back.alias("back")), "trusted")
     kept = [c for c in df.columns if c not in ("n_tokens", "perplexity", "threshold", "accepted")]
     df = df.select(*kept)
     if not sample.where("not back").head(1):
         made = df.drop(text).withColumn("n_tokens", F.lit(None).cast("long"))
         return made.withColumns({"perplexity": F.lit(None).cast("double"), "threshold": F.lit(None).cast("double"), "accepted": F.lit(True)})
     terms = Terms(*model_terms(sample.where("not back")))
-    back = perplexity(sample.where("back"), terms, text).toArrow().to_pandas()
-    if not len(back):
-        back = perplexity(sample, terms, text).toArrow().to_pandas()
-    overall = float(back["perplexity"].quantile(QUANTILE))
-    limits = {k: float(g["perplexity"].quantile(QUANTILE)) for k, g in back.groupby("_lang") if len(g) >= LEAST}
-    scored = perplexity(df, terms, text)
+    scored = written(perplexity(df, terms, text), "scored")
+    others = all_trusted.join(F.broadcast(chosen.where(~is_back)), "_chosen", "left_anti")
     of_lang = F.coalesce(F.col(lang), F.lit(""))
+    values = scored.select(F.col(id_col).alias("_chosen"), of_lang.alias("_lang"), "perplexity")
+    held = written(values.join(others, "_chosen").select("_lang", "perplexity"), "held")
+    overall, limits = quantiles(held)
+    if overall is None:
+        overall, limits = quantiles(values.join(chosen, "_chosen").select("_lang", "perplexity"))
     limit = F.lit(overall)
     for k, v in limits.items():
         limit = F.when(of_lang == k, F.lit(v)).otherwise(limit)

@@ -424,3 +424,17 @@ def test_op10_adjacent_notices(spark):
     assert got[0] == [("MIT", 0, 1), ("CC-BY-4.0", 1, 1)]
     assert [(n, i) for n, i, _ in got[1]] == [(n, i) for i, (n, _) in enumerate(short)]
     assert Counter(n for n, _, _ in got[2]) == Counter(n for n, _ in short * 3)
+
+
+def test_op8_thresholds_from_all_trusted(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(5, 60)), "rare" if i % 20 == 0 else rng.choice(["en", "de"])) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1000)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels, trusted=80).collect()
+    order = labels.select("doc_id", F.xxhash64("doc_id").alias("h"), F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)).alias("p")).orderBy("h").limit(80)
+    trained = {r.doc_id for r in order.collect() if r.p != 0}
+    for lang in ("en", "de", "rare"):
+        values = [r.perplexity for r in got if r.lang == lang and r.doc_id < 1000 and r.doc_id not in trained]
+        said = {r.threshold for r in got if r.lang == lang}
+        assert len(said) == 1 and said.pop() == pytest.approx(float(np.quantile(values, quality.QUANTILE)))
