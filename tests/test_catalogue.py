@@ -1,6 +1,9 @@
 """Registered queries against DuckDB on the smallest tables."""
 
 import math
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -49,3 +52,14 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("kept", [(), ("corpus_pipeline.py",)])
+def test_entry_without_the_training_data_operators(tmp_path, kept):
+    root = Path(entry.__file__).resolve().parent
+    shutil.copytree(root / "lumenline", tmp_path / "lumenline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", *kept):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    said = "import __spark_entry__ as e; q = e.queries(); assert 'fuzzy_search_topk' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", said], cwd=tmp_path, check=True)
