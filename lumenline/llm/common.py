@@ -25,36 +25,37 @@ def text_or_empty(column: str = "text"):
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, one machine) a temporary folder is made and remembered in the session.
+    Where it is unset, one machine (tests) makes a temporary folder and remembers it in the session; a cluster is refused,
+    since its executors would write where no one else reads.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lumenline.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lumenline-")
         spark.conf.set("lumenline.shared.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: lineage ends there.
 
-    A lost executor then costs a read of the file, not a new run of all that came before.
+    A lost executor then costs a read of the file, not a new run of all that came before.  ``by`` names a column of few
+    values by which the files are kept apart, so that a filter on it reads only its own.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`written`, once nothing reads it any more."""
+def forget(spark: SparkSession, *done: DataFrame) -> None:
+    """Delete the files behind tables made by :func:`written`, once nothing reads them any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if not parent.startswith(shared_folder(spark).removeprefix("file://")) and shared_folder(spark) not in parent:
-            continue
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    system = folder.getFileSystem(conf)
+    root = system.makeQualified(folder).toUri().getPath().rstrip("/") + "/"
+    for df in done:
+        for f in {f.split(root, 1)[1].split("/", 1)[0] for f in df.inputFiles() if root in f}:
+            system.delete(jvm.org.apache.hadoop.fs.Path(folder, f), True)

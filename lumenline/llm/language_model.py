@@ -7,60 +7,85 @@ probability of a symbol is that of its class times that within its class.  A tok
 times ``(c + 0.5) / (N_b + 0.5 * (V_b + 1))``, by its training count and the bucket's totals.
 
 Counts cover all documents: every task counts its tokens, counts meet by token.  Training is truncated backpropagation
-through windows of ``WINDOW`` steps with the state carried from window to window; each task trains on all of its training
-documents from the same start, and the tasks' weights are averaged by their tokens, level by level, ``ROUNDS`` times over
-disjoint parts of the documents.  Texts are read twice, for the counts and to write the documents' symbols as a table,
-from which training and scoring go on.  Scoring carries the state through the whole document.  Counts of frequent tokens go to
-the tasks as a table of at most ``FREQUENT`` rows; all other tokens are joined with the counts by 64-bit hash.
+through windows of ``WINDOW`` steps with the state carried from window to window.  The training documents are dealt by a hash
+of their ids into ``ROUNDS`` rounds and, within a round, into groups of about ``GROUP`` tokens, so neither depends on how the
+table lies in files.  A group's documents are one stream, cut into ``LANES`` lanes of equal length, so every update has the
+same number of tokens, whatever the documents' lengths.  Groups start from the round's weights, and what they come to is
+averaged by their tokens, level by level; the next round goes on from there.  Up to the order in which float32 sums are taken
+(about 1e-4 of a score) the result does not depend on the number of files or tasks.  Texts are read twice, for the counts and
+to write the documents' symbols as a table, from which training and scoring go on; both passes split and look up whole
+batches of texts at once.  Scoring carries the state through the whole document.  Counts of frequent tokens go to
+the tasks as a table of at most ``FREQUENT`` rows; all other tokens are joined with the counts by the token itself.
 
 Defined cases: null counts as the empty text, which is its end token; equal texts have equal scores; rows with the same id
-are scored one by one; with no training documents at all every count is 0 and the untrained model scores.
+are scored one by one; a null id is not held out; with no training documents at all every count is 0 and the untrained model
+scores.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenline.llm.common import written
+from lumenline.llm.common import forget, written
 
 SYMBOLS, FREQUENT, BUCKETS = 4000, 200_000, 8
 EMBED, HIDDEN, CLASS = 16, 16, 64
-WINDOW, LANES, ROUNDS = 16, 256, 2
+WINDOW, LANES, ROUNDS = 16, 128, 4
+#: Training tokens of a group, and the most groups of a round; groups of a larger corpus hold more.
+GROUP, MOST_GROUPS = 1_000_000, 1 << 16
 #: Lanes of scoring, where their number has no say in the result.
 SCORED = 1024
 #: Rows of the softmax taken at a time.
 BLOCK = 2048
-#: Tokens whose symbols a task holds at a time, and tokens it counts or encodes before it hands them on.
-CHUNK, COUNTED = 3_000_000, 400_000
+#: Tokens whose symbols a task holds at a time, tokens it counts before it hands them on, and bytes of text that it splits at a time.
+CHUNK, COUNTED, SPLIT = 3_000_000, 4_000_000, 16 << 20
 RATE = 0.01
 #: The end symbol, and the end's name among counted tokens, which no token can have.
-END, END_TOKEN = 0, b" "
+END, END_TOKEN = 0, " "
 LOG10 = np.log(10.0)
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def split_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(first row, tokens, how many each row has) of about ``SPLIT`` bytes of the texts (column 1) at a time."""
+    texts = pc.fill_null(batch.column(1), "")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(sizes[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + SPLIT, side="right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, to - at)))
+        ends = lists.offsets.to_numpy()
+        words = lists.flatten()
+        real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at the ends of a text makes empty ones
+        counts = np.diff(np.r_[0, np.cumsum(real)][ends - ends[0]])
+        yield at, words.filter(pa.array(real)), counts
+        at = to
 
 
 def is_held_out(doc_id: object) -> bool:
     return doc_id is not None and crc32(str(doc_id).encode()) % 5 == 1
 
 
-def bucket_of(token: bytes) -> int:
-    last = token[-1]
-    stop = last < 128 and not (48 <= last < 58 or 97 <= last < 123)
-    return 4 * stop + 2 * (not token.isascii()) + (len(token) > 8)
+def buckets_of(tokens: pa.Array) -> np.ndarray:
+    """The bucket of each token (none is empty): by length, script and last character."""
+    if not len(tokens):
+        return np.zeros(0, np.int64)
+    sizes = pc.binary_length(tokens).to_numpy(zero_copy_only=False)
+    ends = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset + 1 : tokens.offset + len(tokens) + 1]
+    last = np.frombuffer(tokens.buffers()[2], np.uint8)[ends - 1]
+    stop = (last < 128) & ~(((48 <= last) & (last < 58)) | ((97 <= last) & (last < 123)))
+    other = pc.utf8_length(tokens).to_numpy(zero_copy_only=False) != sizes
+    return (4 * stop + 2 * other + (sizes > 8)).astype(np.int64)
 
 
 # --- counting ----------------------------------------------------------------------------------------------------
@@ -68,27 +93,36 @@ def bucket_of(token: bytes) -> int:
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(token, c, a, bucket): how often each token stands in training documents and in all; ``docs``: (id, text)."""
+    names = ["token", "c", "a", "bucket"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train: Counter[bytes] = Counter()
-        rest: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            words = list(train.keys() | rest.keys())
-            c = pa.array([train[w] for w in words], pa.int64())
-            a = pa.array([train[w] + rest[w] for w in words], pa.int64())
-            b = pa.array([bucket_of(w) for w in words], pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), c, a, b], names=["token", "c", "a", "bucket"])
-
+        held: dict[bool, list[pa.Array]] = {True: [], False: []}
+        rows = {True: 0, False: 0}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for back, parts in held.items():
+                if rows[back]:
+                    found = pc.value_counts(pa.concat_arrays([*parts, pa.array([END_TOKEN] * rows[back], pa.string())]))
+                    words, n = found.field(0), found.field(1)
+                    c = pa.array(np.zeros(len(n), np.int64)) if back else n
+                    yield pa.RecordBatch.from_arrays([words, c, n, pa.array(buckets_of(words).astype(np.int32))], names=names)
+                    rows[back] = 0
+                    parts.clear()
+
+        size = 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                (rest if is_held_out(i) else train).update([*tokens_of(t.as_py()), END_TOKEN])
-                if len(train) + len(rest) > COUNTED:
-                    yield out()
-                    train.clear()
-                    rest.clear()
-        if train or rest:
-            yield out()
+            back = np.array([is_held_out(i) for i in batch.column(0).to_pylist()], bool)
+            for at, words, counts in split_texts(batch):
+                here = back[at : at + len(counts)]
+                mask = np.repeat(here, counts)
+                for side in (True, False):
+                    rows[side] += int((here == side).sum())
+                    held[side].append(words.filter(pa.array(mask == side)))
+                size += len(words) + len(counts)
+                if size >= COUNTED:
+                    yield from out()
+                    size = 0
+        yield from out()
 
     made = docs.mapInArrow(run, "token string, c long, a long, bucket int")
     return made.groupBy("token").agg(F.sum("c").alias("c"), F.sum("a").alias("a"), F.first("bucket").alias("bucket"))
@@ -325,12 +359,26 @@ class Lanes:
 
 
 def train_on(net: Network, docs: list[np.ndarray]) -> int:
-    lanes = Lanes(docs)
-    h = np.zeros((len(lanes.length), HIDDEN), np.float32)
-    for places, valid in lanes.windows():
-        k = places.shape[1]
-        h = net.learn(lanes.x[places], lanes.y[places], lanes.first[places], valid, h[:k])
-    return len(lanes.y)
+    """Trains on the documents as one stream in up to ``LANES`` lanes of equal length; returns the number of symbols.
+
+    A document that is cut at the end of a lane goes on in the next lane from the zero state.
+    """
+    y = np.concatenate(docs)
+    n = len(y)
+    first = np.zeros(n, bool)
+    first[np.r_[0, np.cumsum([len(d) for d in docs])[:-1]]] = True
+    x = np.where(first, END, np.r_[END, y[:-1]])
+    lanes = max(1, min(LANES, n // (4 * WINDOW)))
+    steps = -(-n // (lanes * WINDOW)) * WINDOW
+    x, y, first, valid = (
+        np.concatenate([a, np.full(steps * lanes - n, rest, a.dtype)]).reshape(lanes, steps).T
+        for a, rest in ((x, END), (y, END), (first, True), (np.ones(n, bool), False))
+    )
+    h = np.zeros((lanes, HIDDEN), np.float32)
+    for at in range(0, steps, WINDOW):
+        rows = slice(at, at + WINDOW)
+        h = net.learn(x[rows], y[rows], first[rows], valid[rows], h)
+    return n
 
 
 def score(net: Network, docs: list[np.ndarray]) -> np.ndarray:
@@ -356,8 +404,7 @@ class Table:
 
     def __init__(self, rows: list[tuple[str, int, int, int]], total: int, different: int, buckets: dict[int, tuple[int, int]]):
         self.total, self.different = total, different
-        self.words = [r[0].encode() for r in rows]
-        self.place = {w: i for i, w in enumerate(self.words)}
+        self.words = pa.array([r[0] for r in rows], pa.string())
         self.c = np.array([r[1] for r in rows], np.int64)
         bucket = np.array([r[3] for r in rows], np.int64)
         top = np.arange(len(rows)) < SYMBOLS
@@ -379,18 +426,16 @@ class Table:
         n_b = np.array([buckets.get(b, (0, 0)) for b in range(BUCKETS)], float).reshape(BUCKETS, 2)
         self.in_bucket = np.where(top, 0.0, np.log10((self.c + 0.5) / (n_b[bucket, 0] + 0.5 * (n_b[bucket, 1] + 1)))) if len(rows) else np.zeros(0)
 
-    def ids(self, tokens: list[bytes]) -> np.ndarray:
-        get = self.place.get
-        return np.fromiter([get(t, -1) for t in tokens], np.int64, len(tokens))
-
-    def symbols_of(self, tokens: list[bytes], ids: np.ndarray) -> np.ndarray:
-        """The symbols of a document, its end included."""
-        out = np.empty(len(ids) + 1, np.int64)
-        out[-1] = END
-        if len(self.symbol):
-            out[:-1] = self.symbol[ids]
-        for i in np.nonzero(ids < 0)[0].tolist():
-            out[i] = self.bucket_symbol[bucket_of(tokens[i])]
+    def ids(self, tokens: pa.Array) -> np.ndarray:
+        """The place of each token among the frequent ones, -1 for all others."""
+        return pc.fill_null(pc.index_in(tokens, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def symbols_of(self, tokens: pa.Array, ids: np.ndarray) -> np.ndarray:
+        """The symbol of each token."""
+        out = np.empty(len(ids), np.int32)
+        rare = ids < 0
+        out[~rare] = self.symbol[ids[~rare]]
+        out[rare] = self.bucket_symbol[buckets_of(tokens.filter(pa.array(rare)))]
         return out
 
     def network(self, documents: int) -> Network:
@@ -403,45 +448,38 @@ def encoded_documents(docs: DataFrame, sent) -> DataFrame:
     """Each row of ``docs`` (id, text) once in numbers: symbols, and what its tokens' counts give.
 
     ``part`` is -1 for held-out documents, else the training round that takes the document.  ``n_known`` and ``base``
-    cover the frequent tokens, ``bucketed`` is their probability within buckets; ``h`` and ``v`` are the hashes of the
-    other tokens and how often they stand there, times ``BUCKETS``, plus the bucket.
+    cover the frequent tokens, ``bucketed`` is their probability within buckets; ``rare`` has the other tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-
-        def out(rows: list[tuple], ids: pa.Array) -> pa.RecordBatch:
-            held, part, n, known, base, bucketed, symbols, hashes, packed = zip(*rows, strict=True)
-            lists = [
-                pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int32), pa.array(np.concatenate(parts), kind))
-                for parts, kind in ((symbols, pa.int32()), (hashes, pa.int64()), (packed, pa.int64()))
-            ]
-            plain = [pa.array(held), pa.array(part, pa.int32()), pa.array(n, pa.int64()), pa.array(known, pa.int64())]
-            return pa.RecordBatch.from_arrays([ids, *plain, pa.array(base), pa.array(bucketed), *lists], names=names)
-
         for b in batches:
-            rows, size, begun = [], 0, 0
-            for at, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
-                tokens = tokens_of(t.as_py())
-                ids = table.ids(tokens)
-                here = ids[ids >= 0]
-                rare = Counter(tokens[k] for k in np.nonzero(ids < 0)[0].tolist())
-                held = is_held_out(i)
-                rows.append((
-                    held, -1 if held else crc32(b"%r" % (i,)) % ROUNDS, len(tokens) + 1, int((table.c[here] > 0).sum()),
-                    float(table.base[here].sum()), float(table.in_bucket[here].sum()), table.symbols_of(tokens, ids).astype(np.int32),
-                    np.array([xxhash.xxh64_intdigest(w, 42) for w in rare], np.uint64).view(np.int64),
-                    np.array([n * BUCKETS + bucket_of(w) for w, n in rare.items()], np.int64),
-                ))
-                size += len(tokens) + 1
-                if size >= COUNTED or at + 1 == b.num_rows:
-                    yield out(rows, b.column(0).slice(begun, len(rows)))
-                    rows, size, begun = [], 0, at + 1
-
-    names = ["id", "held_out", "part", "n_tokens", "n_known", "base", "bucketed", "symbols", "h", "v"]
+            for at, words, counts in split_texts(b):
+                ids = table.ids(words)
+                rows = len(counts)
+                doc = np.repeat(np.arange(rows), counts)
+                known = ids >= 0
+                here, which = ids[known], doc[known]
+                add = lambda values: np.bincount(which, values, rows)  # noqa: B023, E731
+                i = b.column(0).slice(at, rows)
+                held = np.array([is_held_out(x) for x in i.to_pylist()], bool)
+                part = np.where(held, -1, [crc32(b"%r" % (x,)) % ROUNDS for x in i.to_pylist()])
+                # each document's symbols, its end after them
+                ends = np.cumsum(counts + 1)
+                symbols = np.full(int(ends[-1]), END, np.int32)
+                symbols[np.arange(len(ids)) + doc] = table.symbols_of(words, ids)
+                rare = np.r_[0, np.cumsum(np.bincount(doc[~known], minlength=rows))]
+                yield pa.RecordBatch.from_arrays([
+                    i, pa.array(held), pa.array(part, pa.int32()), pa.array(counts + 1, pa.int64()), pa.array(add(table.c[here] > 0).astype(np.int64)),
+                    pa.array(add(table.base[here])), pa.array(add(table.in_bucket[here])),
+                    pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), pa.array(symbols)),
+                    pa.ListArray.from_arrays(rare.astype(np.int32), words.filter(pa.array(~known))),
+                ], names=names)
+
+    names = ["id", "held_out", "part", "n_tokens", "n_known", "base", "bucketed", "symbols", "rare"]
     schema = (
         f"id {docs.dtypes[0][1]}, held_out boolean, part int, n_tokens long, n_known long, base double, bucketed double, "
-        "symbols array<int>, h array<long>, v array<long>"
+        "symbols array<int>, rare array<string>"
     )
     return docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
@@ -466,26 +504,52 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list
         yield rows, docs
 
 
-def _trained(docs: DataFrame, symbols: int, weights: np.ndarray) -> np.ndarray | None:
-    """The average of the weights that the tasks come to on their part of ``docs`` (row, symbols)."""
+def _trained(docs: DataFrame, groups: int, symbols: int, weights: np.ndarray) -> np.ndarray | None:
+    """The average of the weights that the groups of ``docs`` (id, n_tokens, row, symbols) come to."""
+    order = F.xxhash64("id", "n_tokens")
+    dealt = docs.select(F.pmod(order, F.lit(groups)).cast("int").alias("group"), F.xxhash64(order).alias("order"), "symbols")
+    dealt = dealt.repartitionById(groups, F.col("group")).sortWithinPartitions("group", "order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, n = Network(symbols, weights), 0
-        for _, chosen in _chunks(batches):
-            n += train_on(net, chosen)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([net.flat.tobytes()], pa.binary())], names=["n", "w"])
+        now, net, n, held, size = None, None, 0, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal n, held, size
+            if held:
+                n += train_on(net, held)
+                held, size = [], 0
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([net.flat.tobytes()], pa.binary())], names=["n", "w"])
+            n = 0
+
+        for b in batches:
+            lists = b.column(2)
+            ends, values = lists.offsets.to_numpy().tolist(), lists.values.to_numpy()
+            for group, begin, end in zip(b.column(0).to_pylist(), ends, ends[1:], strict=False):
+                if group != now:
+                    yield from out()
+                    now, net = group, Network(symbols, weights)
+                held.append(values[begin:end])
+                size += end - begin
+                if size >= CHUNK:
+                    n += train_on(net, held)
+                    held, size = [], 0
+        yield from out()
 
     def averaged(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "w"])
         total = int(pdf["n"].sum())
         mean = sum(np.frombuffer(w, np.float32) * np.float32(n / total) for n, w in zip(pdf["n"], pdf["w"], strict=True))
         return pd.DataFrame({"n": [total], "w": [mean.astype(np.float32).tobytes()]})
 
-    now = written(docs.mapInArrow(run, "n long, w binary"), "weights")
+    now = written(dealt.mapInArrow(run, "n long, w binary"), "weights")
     while (rows := now.count()) > 16:
         group = F.pmod(F.xxhash64("n", "w"), F.lit(-(-rows // 16)))
-        now = written(now.groupBy(group.alias("g")).applyInPandas(averaged, "n long, w binary"), "weights")
-    last = now.toArrow().to_pandas().sort_values(["n", "w"])
+        fewer = written(now.groupBy(group.alias("g")).applyInPandas(averaged, "n long, w binary"), "weights")
+        forget(docs.sparkSession, now)
+        now = fewer
+    last = now.toArrow().to_pandas()
+    forget(docs.sparkSession, now)
     return np.frombuffer(averaged(last)["w"][0], np.float32) if len(last) else None
 
 
@@ -530,9 +594,10 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     table = Table(rows, total, different, buckets)
     sent = spark.sparkContext.broadcast(table)
     symbols, weights = table.symbols, table.network(ends).flat
-    encoded = written(encoded_documents(docs, sent), "encoded")
+    encoded = written(encoded_documents(docs, sent), "encoded", by="part")
+    groups = max(1, min(MOST_GROUPS, -(-total // (ROUNDS * GROUP))))
     for round_ in range(ROUNDS):
-        made = _trained(encoded.where(F.col("part") == round_).select("row", "symbols"), symbols, weights)
+        made = _trained(encoded.where(F.col("part") == round_), groups, symbols, weights)
         weights = weights if made is None else made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -541,25 +606,30 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(score(net, texts))], names=["row", "score"])
 
     scored = written(encoded.select("row", "symbols").mapInArrow(run, "row long, score double"), "scored")
-    rare = encoded.select("row", F.explode(F.arrays_zip("h", "v")).alias("x")).select("row", "x.h", "x.v")
-    known = words.select(F.xxhash64("token").alias("h"), "c").where("c > 0")
+    rare = encoded.select("row", F.explode("rare").alias("token"))
     n_b = F.create_map(*(F.lit(x) for b in range(BUCKETS) for x in (b, float(sum(np.array(buckets.get(b, (0, 0))) * (1, 0.5)) + 0.5))))
-    c = F.coalesce("c", F.lit(0)) + 0.5
-    times = F.floor(F.col("v") / BUCKETS)
-    joined = rare.join(known, "h", "left").groupBy("row").agg(
-        F.sum(times * F.log10(c / F.lit(total + 0.5 * (different + 1)))).alias("rare_base"),
-        F.sum(times * F.log10(c / F.element_at(n_b, F.pmod("v", F.lit(BUCKETS)).cast("int")))).alias("rare_score"),
-        F.sum(F.when(F.col("c") > 0, times).otherwise(0)).alias("rare_known"),
+    c = F.col("c") + 0.5
+    known = words.select(
+        "token",
+        F.log10(c / F.lit(total + 0.5 * (different + 1))).alias("b"),
+        F.log10(c / F.element_at(n_b, F.col("bucket"))).alias("s"),
+        (F.col("c") > 0).cast("int").alias("k"),
     )
+    joined = rare.join(known, "token").groupBy("row").agg(F.sum("b").alias("rare_base"), F.sum("s").alias("rare_score"), F.sum("k").alias("rare_known"))
     end = math.log10((ends + 0.5) / (total + 0.5 * (different + 1)))
-    out = encoded.drop("symbols", "h", "v").join(scored, "row").join(joined, "row", "left")
     zero = F.lit(0)
-    return out.select(
-        F.col("id").alias(id_col),
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", zero) + int(ends > 0)).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", zero) + end).alias("base_score"),
-        (F.col("score") + F.col("bucketed") + F.coalesce("rare_score", zero)).alias("score"),
+    out = written(
+        encoded.drop("symbols", "rare").join(scored, "row").join(joined, "row", "left").select(
+            F.col("id").alias(id_col),
+            "held_out",
+            "n_tokens",
+            (F.col("n_known") + F.coalesce("rare_known", zero) + int(ends > 0)).cast("long").alias("n_known"),
+            F.lit(total).cast("long").alias("train_tokens"),
+            (F.col("base") + F.coalesce("rare_base", zero) + end).alias("base_score"),
+            (F.col("score") + F.col("bucketed") + F.coalesce("rare_score", zero)).alias("score"),
+        ),
+        "scores",
     )
+    for done in (counts, encoded, scored):
+        forget(spark, done)
+    return out

@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -132,6 +133,42 @@ def test_op4_counts_and_gain(spark, tables):
         assert r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 1) and r.score < 0
 
 
+def test_op4_learns_and_does_not_depend_on_the_layout(spark):
+    rng = random.Random(8)
+    after = {f"w{i}": rng.sample(range(400), 3) for i in range(400)}
+
+    def text(n):
+        out = [f"w{rng.randrange(400)}"]
+        for _ in range(n):
+            out.append(f"w{rng.choice(after[out[-1]])}")
+        return " ".join(out)
+
+    rows = [(i, text(rng.choice((5, 40, 200, 3000 if i % 50 == 0 else 100)))) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    one = {r.doc_id: r for r in language_model.score_documents(docs).collect()}
+    many = {r.doc_id: r for r in language_model.score_documents(docs.orderBy(F.desc("doc_id")).repartition(5)).collect()}
+    held = [r for r in one.values() if r.held_out]
+    assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.3
+    assert all(one[i].score == pytest.approx(many[i].score, rel=1e-4) and one[i].base_score == pytest.approx(many[i].base_score) for i in one)
+
+
+def test_op4_splits_and_buckets_like_bytes():
+    texts = [None, "", "  a\x0bB\x1cc\x85 d\xa0e  ", "É x. long-words-here é", "\n"]
+    batch = pa.record_batch({"id": pa.array(range(5)), "text": pa.array(texts)})
+    for size in (1, 1 << 20):
+        language_model.SPLIT, before = size, language_model.SPLIT
+        found = [w.as_py() for _, words, _ in language_model.split_texts(batch) for w in words]
+        counts = [n for _, _, k in language_model.split_texts(batch) for n in k.tolist()]
+        language_model.SPLIT = before
+        want = [(t or "").encode().lower().split() for t in texts]
+        assert counts == [len(w) for w in want] and [w.encode() for w in found] == [x for w in want for x in w]
+    words = pa.array(["skip", *found]).slice(1)
+    for w, b in zip(found, language_model.buckets_of(words).tolist(), strict=True):
+        raw = w.encode()
+        stop = raw[-1] < 128 and not (48 <= raw[-1] < 58 or 97 <= raw[-1] < 123)
+        assert b == 4 * stop + 2 * (not raw.isascii()) + (len(raw) > 8)
+
+
 def test_op4_level_keeps_the_most_frequent(spark):
     words = spark.createDataFrame([(f"w{i}", 1000 // i, 0) for i in range(1, 900)], "token string, c long, a long")
     want = words.orderBy(words.c.desc(), "token").limit(40).collect()
