@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,9 @@ from pyspark.sql import functions as F
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the input folder; only Spark's reader opens it, so the folder can be in any store."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -44,18 +50,41 @@ def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     values by which the files are kept apart, so that a filter on it reads only its own.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    name = f"{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    if (scratch := _SCRATCH.get()) is not None:
+        scratch.append(name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, *done: DataFrame) -> None:
-    """Delete the files behind tables made by :func:`written`, once nothing reads them any more."""
+def _folder(spark: SparkSession):
+    """The shared folder as a path of the JVM, and its file system."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    system = folder.getFileSystem(conf)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, names: set[str]) -> None:
+    folder, system = _folder(spark)
+    for name in names:
+        system.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, name), True)
+
+
+def forget(spark: SparkSession, *done: DataFrame) -> None:
+    """Delete the files behind tables made by :func:`written`, once nothing reads them any more."""
+    folder, system = _folder(spark)
     root = system.makeQualified(folder).toUri().getPath().rstrip("/") + "/"
-    for df in done:
-        for f in {f.split(root, 1)[1].split("/", 1)[0] for f in df.inputFiles() if root in f}:
-            system.delete(jvm.org.apache.hadoop.fs.Path(folder, f), True)
+    _delete(spark, {f.split(root, 1)[1].split("/", 1)[0] for df in done for f in df.inputFiles() if root in f})
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what :func:`written` made inside it, but for names taken out of the list it gives."""
+    names: list[str] = []
+    token = _SCRATCH.set(names)
+    try:
+        yield names
+    finally:
+        _SCRATCH.reset(token)
+        _delete(spark, set(names))

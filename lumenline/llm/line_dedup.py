@@ -1,13 +1,15 @@
 """Removal of lines that are spread over many sites.
 
-Per line hash a HyperLogLog sketch of its sites says on how many different sites the line stands; sketches merge by
-aggregation, so a line on a third of all pages costs no more than any other.  Only lines that stand in at least
-``min_sites`` documents get one (fewer documents can't be on more sites).  Lines whose estimate is near the threshold get
-an exact distinct count; the others are clear of it by more than four standard errors.
+Per line hash a HyperLogLog sketch of its sites says on how many different sites the line stands.  Sketches are made where
+the lines are read and merge by aggregation, so a line on a third of all pages sends one sketch a task and costs no more
+than any other.  Only lines whose estimate is near the threshold get rows of (line, site) and an exact distinct count; the
+others are clear of it by more than four standard errors.
 
 A spread line is kept in the document with the smallest id that has it and removed from all others, so that a document
 copied to many sites keeps one whole copy.  Lines are compared after white space is trimmed and reduced to single spaces;
-lines under ``min_words`` words (headings, single words) are left alone.
+empty lines stay, and ``min_words`` can be raised to leave lines under so many words alone.
+
+The lines' keys are written once, and counted, checked and looked up from there; the texts are read twice.
 
 Defined cases: a null text stays null and counts as no lines; an empty text stays empty; a null site is a site of its own;
 rows with the same id are treated alike; a null id is the smallest.  Documents are never dropped: one whose lines all go
@@ -19,9 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenline.llm.common import written
+from lumenline.llm.common import forget, written
 
-MIN_SITES, MIN_WORDS = 3, 5
+MIN_SITES, MIN_WORDS = 3, 1
 #: log2 of the sketch's registers, and its relative standard error.
 LG_K = 12
 ERROR = 1.04 / 2 ** (LG_K / 2)
@@ -45,37 +47,41 @@ def _keys(text: Column, min_words: int) -> Column:
     )
 
 
-def spread_lines(df: DataFrame, id_col: str, text: str, site: str, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(h, g, keeper): keys of the lines on at least ``min_sites`` sites, and the smallest id that has each."""
-    base = df.select(
+def line_keys(df: DataFrame, id_col: str, text: str, site: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, site, h, g): the keys of each document's different lines."""
+    return df.select(
         F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("id"),
         F.coalesce(F.col(site), F.lit("\0")).alias("site"),
         F.explode(F.array_distinct(F.array_compact(_keys(F.col(text), min_words)))).alias("k"),
     ).select("id", "site", "k.h", "k.g")
-    often = base.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("id").alias("keeper")).where(F.col("n") >= min_sites)
-    often = written(often.select("h", "g", "keeper"), "often")
-    seen = base.select("h", "g", "site").join(often, ["h", "g"], "left_semi")
-    # one row a line, site and task before the rows of a line meet
-    seen = written(seen.groupBy("h", "g", "site").agg(F.count("*").alias("n")), "sites")
-    sketched = seen.groupBy("h", "g").agg(F.hll_sketch_agg("site", LG_K).alias("s"))
-    estimate = sketched.select("h", "g", F.hll_sketch_estimate("s").alias("est"))
+
+
+def spread_lines(keys: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """(h, g, keeper): keys of the lines on at least ``min_sites`` sites, and the smallest id that has each."""
+    sketched = keys.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("id").alias("keeper"), F.hll_sketch_agg("site", LG_K).alias("s"))
     band = 4 * ERROR * min_sites + 1
-    estimate = estimate.withColumn("near", F.abs(F.col("est") - min_sites) <= band)
-    exact = seen.join(estimate.where("near").select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g")
+    # a line of fewer documents can't be on more sites
+    estimate = sketched.where(F.col("n") >= min_sites).select("h", "g", "keeper", F.hll_sketch_estimate("s").alias("est"))
+    estimate = written(estimate.where(F.col("est") >= min_sites - band), "estimates")
+    near = estimate.where(F.col("est") <= min_sites + band)
+    exact = keys.select("h", "g", "site").join(near.select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g")
     exact = exact.agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
-    clear = estimate.where(~F.col("near") & (F.col("est") >= min_sites))
-    return clear.select("h", "g").union(exact.select("h", "g")).join(often, ["h", "g"])
+    spread = estimate.where(F.col("est") > min_sites + band).select("h", "g", "keeper")
+    spread = written(spread.union(near.join(exact, ["h", "g"]).select("h", "g", "keeper")), "spread")
+    forget(keys.sparkSession, estimate)
+    return spread
 
 
 def remove_spread_lines(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS
 ) -> DataFrame:
     """``df`` with ``text`` without its spread lines, and with n_lines and n_removed (both bigint)."""
-    spread = written(spread_lines(df, id_col, text, site, min_sites, min_words), "spread")
+    lines_of = written(line_keys(df, id_col, text, site, min_words), "lines")
+    spread = spread_lines(lines_of, min_sites)
     ident = F.coalesce(F.col(id_col), F.lit(-(2**63)))
-    keys = F.array_distinct(F.array_compact(_keys(F.col(text), min_words)))
-    held = df.select(ident.alias("_id"), F.explode(keys).alias("k")).select("_id", "k.h", "k.g")
-    gone = held.join(spread, ["h", "g"]).where("_id <> keeper").groupBy("_id").agg(F.collect_set(F.struct("h", "g")).alias("_gone"))
+    held = lines_of.select(F.col("id").alias("_id"), "h", "g").join(spread, ["h", "g"]).where("_id <> keeper")
+    gone = written(held.groupBy("_id").agg(F.collect_set(F.struct("h", "g")).alias("_gone")), "gone")
+    forget(df.sparkSession, lines_of, spread)
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     out = df.select(*kept, ident.alias("_id")).join(gone, "_id", "left")
     lines = F.split(F.col(text), "\n")
