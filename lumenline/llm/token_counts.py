@@ -1,10 +1,13 @@
 """Token counts with a digest cache.
 
-The cache is a Parquet table (version, digest, n_tokens): the digest of a text and that of the tokenizer file name a
+The cache is a Parquet table (version, digest, n_tokens), a folder a version, so that others are never read: the digest of a text and that of the tokenizer file name a
 count for good.  Texts are joined with it by both digests; of those without a count, one of each digest is encoded and
 appended to the cache; then every text gets its count by its digest.  A text is normalised only as the count allows: null
 becomes the empty text.  (Any other change, such as of white space, could change a byte-level count.)
 
+Digests that have at least one in ``HOT`` of all rows, so at most ``HOT`` of them, get their counts from a broadcast of that
+bound; all other rows meet the counts by digest.  No task gets all rows of a text that very many documents share.
+
 The cache only ever gains rows, and a row written twice says the same, so a run that dies half-way leaves it valid: the
 next run reads what was committed and encodes the rest.
 
@@ -22,8 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenline.llm.bpe import version_digest
+from lumenline.llm.common import written
 
 CACHE_SCHEMA = "version string, digest string, n_tokens long"
+#: A digest is hot if it has at least one in so many rows; there are at most as many hot digests.
+HOT = 10_000
 #: Texts given to the library at a time: at most so many, and about so many characters.
 BATCH_ROWS, BATCH_CHARS = 256, 4_000_000
 _LOADED: dict[str, object] = {}
@@ -92,11 +98,15 @@ def count_tokens(df: DataFrame, text: str, path: str, cache: str, limit: int = 5
     Columns of ``df`` with these names give way to the new ones.
     """
     version = version_digest(path)
-    kept = [c for c in df.columns if c not in (text, "n_bytes", "n_tokens", "over_limit", "digest")]
+    kept = [c for c in df.columns if c not in (text, "n_bytes", "n_tokens", "over_limit", "_digest")]
     body = F.coalesce(F.col(text), F.lit(""))
     texts = df.select(F.sha2(body, 256).alias("digest"), body.alias("text"))
     misses = texts.join(read_cache(df, cache, version).select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
-    encode_misses(misses, path, version).write.mode("append").parquet(cache)
-    counts = read_cache(df, cache, version)
-    keyed = df.select(*kept, F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("digest"))
-    return keyed.join(counts, "digest").drop("digest").withColumn("over_limit", F.col("n_tokens") > limit)
+    encode_misses(misses, path, version).write.mode("append").partitionBy("version").parquet(cache)
+    counts = read_cache(df, cache, version).withColumnRenamed("digest", "_digest")
+    keyed = written(df.select(*kept, F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("_digest")), "digests")
+    often = keyed.groupBy("_digest").agg(F.count("*").alias("n")).where(F.col("n") > max(1, keyed.count() // HOT))
+    hot = written(often.select("_digest").join(counts, "_digest"), "hot")
+    light = keyed.join(F.broadcast(hot.select("_digest")), "_digest", "left_anti").join(counts, "_digest")
+    heavy = keyed.join(F.broadcast(hot), "_digest")
+    return light.unionByName(heavy).drop("_digest").withColumn("over_limit", F.col("n_tokens") > limit)
