@@ -5,7 +5,9 @@ is sent to four places, one for each block, keyed by the block and its value; th
 is the first 16 levels of a trie.  In each place the trie is joined with itself: pairs of nodes are walked down together,
 each differing bit is added up, and a pair is pruned once it has more than 3.  A sorted array is the trie: a node is a
 range of it, its children are the two halves of the range by the next bit.  All tries of a partition go down one level at
-a time as numpy arrays, in slices of bounded size.
+a time as numpy arrays, in slices of bounded size.  A place with over ``HELD`` fingerprints is cut into node pairs ``DEEPER``
+levels further down: each of them goes to the pairs of its own node with any that the error budget still allows, so a block
+value that most fingerprints share is many tasks'.
 
 What leaves a place is not each link but a star of each connected part (its members and its smallest), so a group of many
 near copies costs as many rows as it has members; node pairs that are already connected are pruned too.  Stars of all
@@ -43,6 +45,8 @@ RADIUS, BITS, BLOCK = 3, 64, 16
 SEED = 42
 #: Node pairs in a slice of the walk, and fingerprints of whole tries joined at a time.
 SLICE, AT_ONCE = 1 << 20, 200_000
+#: Fingerprints of a place from which on it is cut into pairs of nodes, and the levels of these.
+HELD, DEEPER = 200_000, 6
 #: Fingerprint pairs compared at a time.
 PAIRS = 1 << 21
 WIDE, WIDE_RADIUS, WIDE_SURE, NARROW, RECALL, SIMILARITY = 256, 60, 24, 21, 0.985, 0.8
@@ -272,22 +276,33 @@ def _whole_places(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b): stars that connect what the trie self-joins link; ``prints`` has different fp and its node (bigint)."""
-    places = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BITS // BLOCK - 1)), lambda b: F.struct(b.alias("block"), b.alias("turn"))))
-    at = prints.select("fp", "node", places.alias("p")).select("fp", "node", F.col("p.block").alias("block"))
-    value = F.expr(f"(shiftrightunsigned(fp, {BITS - BLOCK} - {BLOCK} * block)) & {2**BLOCK - 1}")
-    at = at.withColumn("place", (F.col("block") * 2**BLOCK + value).cast("int"))
-    dealt = at.select("place", "fp", "node").repartition(F.col("place")).sortWithinPartitions("place")
+def links(prints: DataFrame, held: int = HELD) -> DataFrame:
+    """(a, b): stars that connect what the trie self-joins link; ``prints`` has different fp and its node (bigint).
+
+    Places that are cut are counted first: with N fingerprints at most 4 * N / ``held`` of the 4 * 2**16 places there are.
+    """
+    blocks = F.explode(F.array(*(F.lit(b) for b in range(BITS // BLOCK))))
+    at = prints.select("fp", "node", blocks.alias("block"))
+    turned = F.expr(f"shiftleft(fp, {BLOCK} * block) | IF(block = 0, 0L, shiftrightunsigned(fp, {BITS} - {BLOCK} * block))")
+    at = at.withColumn("turned", turned)
+    value = F.expr(f"CAST(shiftrightunsigned(turned, {BITS - BLOCK}) AS INT)")
+    at = at.select("turned", "node", (F.col("block") * 2**BLOCK + value).alias("at"))
+    large = written(at.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > held).select("at"), "large")
+    # a whole place has part 0, a pair of nodes (low, high) has one that names both
+    wide = 2 * DEEPER + 1
+    rows = at.join(F.broadcast(large), "at", "left_anti").select((F.col("at").cast("long") * 2**wide).alias("place"), "turned", "node")
+    own = F.expr(f"CAST(shiftrightunsigned(turned, {BITS - BLOCK - DEEPER}) AS INT) & {2**DEEPER - 1}")
+    near = F.array(*(F.lit(x) for x in range(2**DEEPER) if x.bit_count() <= RADIUS))
+    cut = at.join(F.broadcast(large), "at").withColumn("own", own).withColumn("other", F.explode(F.transform(near, lambda x: x.bitwiseXOR(F.col("own")))))
+    pair = F.least("own", "other") * 2**DEEPER + F.greatest("own", "other")
+    cut = cut.select((F.col("at").cast("long") * 2**wide + 2 ** (2 * DEEPER) + pair).alias("place"), "turned", "node")
+    dealt = rows.union(cut).repartition(F.col("place")).sortWithinPartitions("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place, fp, node in _whole_places(batches):
             fp = fp.view(np.uint64)
-            turn = (place >> BLOCK).astype(np.uint64) * np.uint64(BLOCK)
-            turned = (fp << turn) | (fp >> ((np.uint64(BITS) - turn) % np.uint64(BITS)))
-            turned = np.where(turn == 0, fp, turned)
-            order = np.lexsort((turned, place))
-            yield from _edges(*_stars(place[order], turned[order], node[order]))
+            order = np.lexsort((fp, place))
+            yield from _edges(*_stars(place[order], fp[order], node[order]))
 
     return dealt.mapInArrow(run, "a long, b long")
 
