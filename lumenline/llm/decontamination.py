@@ -3,17 +3,18 @@
 A benchmark item and every window of a document with as many words are compared by the weighted Jaccard similarity of
 their five-word shingles (weight: how often a shingle occurs).  A pair with similarity 0.8 shares a shingle, so windows
 are made only where a shingle of the benchmark stands: at each such place, all windows of the item's size around it.
-They are hashed to 64-bit SimHash fingerprints and looked up in the multi-index: 64 bits cut into ``RADIUS + 1`` blocks,
-so that any two fingerprints within ``RADIUS`` bits agree in at least one block; every item within the radius is found.
-Those found are verified by their exact similarity.  (Similarity 0.8 puts about 10 of 64 bits apart; the radius of 21 is
-four standard deviations more.)
+They are hashed to 64-bit SimHash fingerprints and looked up in the multi-index of the items with as many words: 64 bits cut
+into ``RADIUS + 1`` blocks, so that any two fingerprints within ``RADIUS`` bits agree in at least one block; every item of the
+length within the radius is found.  Those found are verified by their exact similarity.  (Similarity 0.8 puts about 10 of 64
+bits apart; the radius of 21 is four standard deviations more.  Blocks that short select little among items of one length,
+about all of them; the length and the shared shingle are what keeps the candidates few.)
 
 The benchmark is given to the tasks whole where its texts are within ``ITEM_BYTES``, else in as many blocks as that takes,
 one scan of the documents each.  Words are runs of letters, digits and underscores in lower case.
 
 Defined cases: null and empty documents have no windows; items without words match nothing; an item under five words is
 one shingle of its own length; repeated items and documents are each compared; of the windows of a document that match an
-item, the most similar counts, then the first.
+item, the most similar counts, then the first.  ``least_words`` leaves out shorter items, which many texts hold by chance.
 """
 
 from __future__ import annotations
@@ -96,14 +97,20 @@ class MultiIndex:
 class Benchmark:
     """The items of one block, ready to be looked for."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], least_words: int = 1):
         self.ids, self.words = [], []
         for i, t in items:
-            if w := words_of(t):
+            if len(w := words_of(t)) >= least_words:
                 self.ids.append(i)
                 self.words.append(w)
         self.counts = [Counter(shingles(w)) for w in self.words]
-        self.index = MultiIndex(np.array([simhash(shingles(w)) for w in self.words], np.uint64))
+        by_size: dict[int, list[int]] = {}
+        for n, w in enumerate(self.words):
+            by_size.setdefault(len(w), []).append(n)
+        #: by length in words: the items and their index
+        self.index = {k: (of, MultiIndex(np.array([simhash(shingles(self.words[n])) for n in of], np.uint64))) for k, of in by_size.items()}
+        #: pairs of a window and an item that the index was asked about, that it found, and that were similar
+        self.asked = self.found = self.similar = 0
         self.vocab: dict[str, int] = {}
         for w in self.words:
             for x in w:
@@ -154,13 +161,16 @@ class Benchmark:
                     windows.setdefault(length, set()).update(range(first, max(first, last) + 1))
         best: dict[int, tuple[float, int, int, int]] = {}
         for length, starts in windows.items():
+            of, index = self.index[length]
             for s, f in self._prints(words, length, sorted(starts)):
                 part = None
-                for n, apart in self.index.within(f):
-                    if len(self.words[n]) != length:
-                        continue
+                self.asked += len(of)
+                for k, apart in index.within(f):
+                    n = of[k]
+                    self.found += 1
                     part = part or Counter(shingles(words[s : s + length]))
                     similarity = weighted_similarity(part, self.counts[n])
+                    self.similar += similarity >= SIMILARITY
                     if similarity >= SIMILARITY and (n not in best or (-similarity, s) < (-best[n][0], best[n][1])):
                         best[n] = (similarity, s, length, apart)
         return [(self.ids[n], s, length, apart, sim) for n, (sim, s, length, apart) in sorted(best.items())]
@@ -187,17 +197,21 @@ class Benchmark:
             at = to
 
 
-def find_leaks(docs: DataFrame, id_col: str, text: str, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """(``id_col``, item_id, start_word, n_words, hamming, similarity): one row for each document and item it holds."""
-    spark = docs.sparkSession
+def benchmark_blocks(benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> Iterator[list[tuple[int, str | None]]]:
+    """The benchmark's (item_id, text) in blocks of about ``item_bytes`` of text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // item_bytes))
+    for b in range(blocks):
+        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+
+
+def find_leaks(docs: DataFrame, id_col: str, text: str, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """(``id_col``, item_id, start_word, n_words, hamming, similarity): one row for each document and item it holds."""
     kind = dict(docs.dtypes)[id_col]
     out = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
+    for items in benchmark_blocks(benchmark, item_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             looked_for = Benchmark(sent.value)
@@ -216,3 +230,20 @@ def find_leaks(docs: DataFrame, id_col: str, text: str, benchmark: DataFrame, it
         part = docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, {COLUMNS}")
         out = part if out is None else out.union(part)
     return out
+
+
+def without_leaks(docs: DataFrame, text: str, benchmark: DataFrame, least_words: int = SHINGLE, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item of ``least_words`` words or more, whatever their ids; no shuffle."""
+    at = docs.columns.index(text)
+    schema = docs.schema
+    for items in benchmark_blocks(benchmark, item_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            looked_for = Benchmark(sent.value, least_words)
+            for batch in batches:
+                clean = [not (looked_for.ids and looked_for.scan(t.as_py())) for t in batch.column(at)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
