@@ -1,14 +1,18 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Trusted are documents with quality 1 and toxic 0 in ``labels``; of these the ``TRUSTED`` with the smallest hashed ids are
-a bounded sample (all others, and all unlabelled ones, are only scored).  A quarter of the sample is held back, the rest
+Trusted are documents with quality 1 and toxic 0 in ``labels``; of these the ``TRUSTED`` with the smallest hashed ids, up to
+``MOST_WORDS`` words in all, are a bounded sample of whole texts, without those of over a tenth of that (all others, and all
+unlabelled ones, are only scored).  Of rows with the same id the smallest text stands for them in the sample.  A quarter of the sample is held back, the rest
 trains the model; all trusted documents that do not train it set the thresholds.
 
 Counts are sharded by n-gram: trigram counts, continuation counts of bigrams and words, and the totals of each context
 come from aggregations by n-gram, and joins by n-gram turn them into probabilities.  A token's log probability is a sum
 of terms, each of one n-gram: its word's, the weights of the contexts seen, and the gain of the bigram and trigram seen.  So
-a document's perplexity is a join of its n-grams with the table of terms, summed.  The table is bounded by the sample and
-cut into ``SHARDS`` by key; every task joins its documents' n-grams with one shard after the other.
+a document's perplexity is a join of its n-grams with the table of terms, summed.  A training word makes at most five terms of
+12 bytes, so the table has at most 60 * (``MOST_WORDS`` + 3 * ``TRUSTED``) bytes, 240 MB, however large the corpus is; it is
+checked against that before it is broadcast.  It is cut into ``SHARDS`` by key; every task joins its documents' n-grams with
+one shard after the other.  N-grams are 64-bit mixes: with 4 million terms an unseen n-gram is taken for another with a
+probability of 2e-13.
 
 A document is accepted if its perplexity is at most its language's threshold: the ``QUANTILE`` of the perplexities of the
 trusted documents in that language that did not train the model, or of all of them where fewer than ``LEAST`` have the
@@ -29,10 +33,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenline.llm.common import written
 
-TRUSTED, SHARDS, QUANTILE, LEAST = 4000, 16, 0.99, 20
+TRUSTED, MOST_WORDS, SHARDS, QUANTILE, LEAST = 4000, 4_000_000, 16, 0.99, 20
 START, END = "\x02", "\x03"
 KINDS = {"word": 1, "context1": 2, "pair": 3, "context2": 4, "triple": 5}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -150,6 +155,9 @@ class Terms:
 
     def __init__(self, terms: DataFrame, unknown: float):
         spark = terms.sparkSession
+        most = 5 * (MOST_WORDS + 3 * TRUSTED)
+        if terms.count() > most:
+            raise ValueError(f"over {most} terms: the model was not trained on the bounded sample")
         found = terms.toArrow()  # as arrays: row objects of the whole table would fill the driver
         key, value = found["key"].to_numpy().view(np.uint64), found["value"].to_numpy()
         order = np.argsort(key)
@@ -264,7 +272,13 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     chosen = written(all_trusted.orderBy(F.xxhash64("_chosen"), "_chosen").limit(trusted), "chosen")
     is_back = F.pmod(F.xxhash64("_chosen", F.lit("part")), F.lit(4)) == 0
     sample = df.select(id_col, text, F.coalesce(F.col(lang), F.lit("")).alias("_lang")).join(F.broadcast(chosen), F.col(id_col) == F.col("_chosen"))
-    sample = written(sample.select(text, "_lang", is_back.alias("back")), "trusted")
+    sample = sample.groupBy("_chosen").agg(F.min(F.struct(text, "_lang")).alias("r")).select("_chosen", F.col(f"r.{text}").alias(text), "r._lang")
+    # whole texts in the order of the hash, as long as their words fit; at most ``trusted`` rows
+    words = F.size(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"\s+"))
+    sample = sample.withColumn("_words", words).where(F.col("_words") <= MOST_WORDS // 10)
+    sample = sample.withColumn("_words", F.sum("_words").over(Window.orderBy(F.xxhash64("_chosen"), "_chosen"))).where(F.col("_words") <= MOST_WORDS)
+    sample = written(sample.select("_chosen", text, "_lang", is_back.alias("back")), "trusted")
+    chosen = sample.select("_chosen")
     kept = [c for c in df.columns if c not in ("n_tokens", "perplexity", "threshold", "accepted")]
     df = df.select(*kept)
     if not sample.where("not back").head(1):
