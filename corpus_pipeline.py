@@ -3,7 +3,10 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``.  All but the last return the columns of ``documents``.  No stage can be
 checked by one SQL statement (a trained model, sketches of fingerprints), so ``ORACLE_SQL`` is None; ``tests/llm`` compares
-every stage with a plain version of itself.
+each stage's rows with a plain version of it.
+
+Rows are taken one by one: a null ``doc_id`` is an id like any other, and rows that share one are told apart, so no stage
+drops a row but for its own text.  Null texts are empty ones and stay null; empty tables pass through.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenline.llm import bpe, decontamination, line_dedup, quality, simhash
-from lumenline.llm.common import DOCUMENT_COLUMNS, table, written
+from lumenline.llm.common import DOCUMENT_COLUMNS, forget, scratch, table, written
 
 #: Words in a shingle of the near-duplicate stage.
 SHINGLE = 5
@@ -32,18 +35,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id; of repeated rows with that id, one."""
-    named = simhash.similar_documents(docs, "doc_id", "text", SHINGLE)
-    first = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*DOCUMENT_COLUMNS)
+    """One row of each group of near copies, that with the smallest id (null ids last); all rows without words are one group."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    named = simhash.similar_documents(rows, "_row", "text", SHINGLE).select("_row", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))["_row"]
+    kept = written(named.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("_row")), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*DOCUMENT_COLUMNS)
 
 
 def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontamination.find_leaks(docs, "doc_id", "text", table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    leaks = written(found, "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    """Documents that hold no window of a benchmark item of a shingle's words or more; shorter items stand in texts by chance."""
+    return decontamination.without_leaks(docs.select(*DOCUMENT_COLUMNS), "text", table(spark, sf_dir, "benchmark"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again."""
+    """All stages over ``documents``; each stage's rows are written and read again, and what it wrote on the way is deleted."""
     docs = table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS)
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as made:
+            after = written(stage(spark, docs, sf_dir), name)
+            made.pop()  # the stage's own rows, written last
+        if i:
+            forget(spark, docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
