@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenline.llm import common, decontamination, line_dedup, quality, simhash, token_counts
+from lumenline.llm import common, decontamination, license_scan, line_dedup, quality, simhash, token_counts
 from lumenline.llm.bpe import version_digest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -194,3 +195,57 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         common.shared_folder(Session())
+
+
+# --- licenses -----------------------------------------------------------------------------------------------------
+
+
+def plain_license(text):
+    """The license whose template's words are changed least by the words of the text, from all whole alignments."""
+    import difflib
+
+    said = license_scan.words_of(text)
+    best = None
+    for name, templates in license_scan.TEMPLATES.items():
+        for t in templates:
+            want = license_scan.words_of(t)
+            ops = [o for o in difflib.SequenceMatcher(None, want, said, autojunk=False).get_opcodes()]
+            while ops and ops[0][0] == "insert":
+                ops = ops[1:]
+            while ops and ops[-1][0] == "insert":
+                ops = ops[:-1]
+            lost = [w for o, a, b, _, _ in ops if o in ("delete", "replace") for w in want[a:b]]
+            more = sum(b - a for o, _, _, a, b in ops if o in ("insert", "replace"))
+            if len(lost) <= 0.1 * len(want) and more <= len(want) and not any(c.isdigit() for w in lost for c in w):
+                best = min(best or (10**9,), (len(lost) + more, -len(want), name))
+    return best and best[2]
+
+
+def test_op10_altered_bodies_equal_a_plain_matcher(spark):
+    rng = random.Random(12)
+    texts = []
+    for templates in license_scan.TEMPLATES.values():
+        for t in templates:
+            said = t.split()
+            for share in (0, 0.02, 0.05):
+                made = list(said)
+                for _ in range(int(share * len(made))):
+                    at = rng.randrange(1, len(made) - 1)
+                    if rng.random() < 0.5:
+                        made[at] = "changed"
+                    else:
+                        made.insert(at, "added")
+                texts.append("Copyright 2020 Someone\n\n" + textwrap.fill(" ".join(made), 72) + "\n\nint main;")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.license for r in license_scan.scan(df).collect()}
+    want = {i: plain_license(t) for i, t in enumerate(texts)}
+    assert got == {i: name for i, name in want.items() if name}
+    assert {name for name in got.values()} == set(license_scan.TEMPLATES)
+
+
+def test_op10_odd_rows(spark):
+    text = "Released under the MIT License."
+    rows = [(None, text, 1), (4, text, 2), (4, text, 3), (5, None, 4), (6, "", 5), (7, "license " * 20_000, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license int")
+    got = license_scan.scan(df).collect()
+    assert sorted((str(r.doc_id), r.license, r.n_missing) for r in got) == [("4", "MIT", 0), ("4", "MIT", 0), ("None", "MIT", 0)]
