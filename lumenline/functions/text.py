@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import difflib
 import re
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,21 +49,34 @@ def lcs_length(query: str, text: Column) -> Column:
         return F.lit(0)
     full = F.lit((1 << len(query)) - 1).cast("long")
     table = F.create_map(*(F.lit(x) for c, m in _masks(query).items() for x in (c, m)))
-    mask = lambda c: F.coalesce(F.try_element_at(table, c), F.lit(0)).cast("long")
-    left = F.aggregate(F.split(text, ""), full, lambda v, c: _lcs_step(v, mask(c), full))
+    # characters that the query lacks change nothing, so all that are left have a mask
+    own = F.regexp_replace(text, f"[^{_class(query)}]+", "")
+    chars = F.when(own == "", F.array().cast("array<string>")).otherwise(F.split(own, ""))
+    left = F.aggregate(F.transform(chars, lambda c: F.element_at(table, c).cast("long")), full, lambda v, m: _lcs_step(v, m, full))
     return F.lit(len(query)) - F.bit_count(left)
 
 
+def _class(chars: str) -> str:
+    """The characters as code points, for use between brackets of a pattern."""
+    return "".join(f"\\x{{{ord(c):x}}}" for c in dict.fromkeys(chars))
+
+
 def lcs_ratio(query: str, text: Column) -> Column:
     """Percent of the query that is a subsequence of the text, both in lower case; 0 where either is empty."""
     q = query.lower()
     if not q:
         return F.lit(0.0)
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(lcs_length(q, F.lower(text)) * 100.0 / len(q))
+    low = F.lower(text)
+    # whole query in order: one pass without backtracking, and no fold
+    whole = low.rlike("^" + "".join(f"[^{_class(c)}]*+[{_class(c)}]" for c in q))
+    return F.when(F.length(text) == 0, F.lit(0.0)).when(whole, F.lit(100.0)).otherwise(lcs_length(q, low) * 100.0 / len(q))
 
 
 def lcs_columns(a: Column, b: Column) -> Column:
-    """Share of ``a`` (at most 62 characters, case kept) that is a subsequence of ``b``; 0 where either is empty."""
+    """Share of ``a`` (case kept) that is a subsequence of ``b``; 0 where either is empty.
+
+    An ``a`` of over 62 characters raises, as its bits have no place in a number.
+    """
     n = F.length(a)
     chars = F.split(a, "")
     full = F.shiftleft(F.lit(1).cast("long"), 1) * 0 + (F.pow(F.lit(2.0), n).cast("long") - 1)
@@ -73,7 +85,8 @@ def lcs_columns(a: Column, b: Column) -> Column:
         F.transform(chars, lambda x, i: F.when(x == c, power(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x
     )
     left = F.aggregate(F.split(b, ""), full, lambda v, c: _lcs_step(v, mask(c), full))
-    return F.when((n == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise((n - F.bit_count(left)) / n)
+    long = F.raise_error(F.lit(f"a text of over {MAX_BITS} characters")).cast("double")
+    return F.when((n == 0) | (F.length(b) == 0), F.lit(0.0)).when(n > MAX_BITS, long).otherwise((n - F.bit_count(left)) / n)
 
 
 def multiword_ratio(words: list[str], text: Column) -> Column:
@@ -167,10 +180,6 @@ def format_ts(seconds: Column) -> Column:
     return F.format_string("%dm%02ds", minutes, F.pmod(seconds, F.lit(60)).cast("int"))
 
 
-def episode_of(title: Column) -> Column:
-    return F.regexp_extract(title, r"^\[P(\d{2})\]", 1)
-
-
 def display_title(title: Column) -> Column:
     """``[P07] rest name.json`` as ``P07 name``: brackets and what follows up to white space go, and the suffix."""
     return F.trim(F.replace(F.regexp_replace(title, r"^\[P(\d+)\].*?\s+", "P$1 "), F.lit(".json"), F.lit("")))
@@ -186,28 +195,35 @@ def to_simplified(text: Column, pairs: dict[str, str] | None = None) -> Column:
     return F.translate(text, "".join(pairs), "".join(pairs.values())) if pairs else text
 
 
-def edit_kind_of(old: str, new: str) -> tuple[str, str]:
-    """(same, add, del, replace or mixed; the changed parts) of the normed texts."""
+def edit_kind_of(old: str, new: str) -> tuple[str, str, int, int, int]:
+    """(kind, description, inserted, deleted, replaced characters) of the normed texts, by matching blocks.
+
+    The kind is same, add, del, replace or mixed.  The description has each change as ``operation:old->new``, joined by
+    semicolons, after a sign and the sum where there is one kind of change only.
+    """
     keep = lambda s: re.sub(r"[^一-鿿0-9A-Za-z]", "", s or "")
     a, b = keep(old), keep(new)
-    kinds, said = {"insert": 0, "delete": 0, "replace": 0}, []
+    sums, said = {"insert": 0, "delete": 0, "replace": 0}, []
     for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if op != "equal":
-            kinds[op] += max(j - i, m - k)
-            said.append(f"{'+' if op == 'insert' else '-' if op == 'delete' else '~'}{a[i:j]}{'>' if op == 'replace' else ''}{b[k:m]}")
-    used = [k for k, n in kinds.items() if n]
-    name = "same" if not used else {"insert": "add", "delete": "del", "replace": "replace"}[used[0]] if len(used) == 1 else "mixed"
-    return name, " ".join(said)
+            sums[op] += max(j - i, m - k)
+            said.append(f"{op}:{a[i:j]}->{b[k:m]}")
+    used = [op for op, n in sums.items() if n]
+    if len(used) != 1:
+        return ("mixed" if used else "same"), ";".join(said), *sums.values()
+    name, sign = {"insert": ("add", "+"), "delete": ("del", "-"), "replace": ("replace", "~")}[used[0]]
+    return name, f"{sign}{sums[used[0]]} {';'.join(said)}", *sums.values()
 
 
 def _edit_kinds(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([edit_kind_of(a, b) for a, b in zip(old, new, strict=True)], columns=["kind", "description"])
+    return pd.DataFrame([edit_kind_of(a, b) for a, b in zip(old, new, strict=True)], columns=["kind", "description", "inserted", "deleted", "replaced"])
 
 
 def edit_kind(old: Column | str, new: Column | str) -> Column:
-    """Struct (kind, description) of an edit, by matching blocks; no built-in function aligns texts that way."""
-    return F.pandas_udf(_edit_kinds, "kind string, description string")(old, new)
+    """Struct (kind, description, inserted, deleted, replaced) of an edit; no built-in function aligns texts that way."""
+    return F.pandas_udf(_edit_kinds, "kind string, description string, inserted int, deleted int, replaced int")(old, new)
 
 
-def is_wide(char: str) -> bool:
-    return unicodedata.east_asian_width(char) in "WF"
+def fixed(value: Column, digits: int = 1) -> Column:
+    """A number with so many digits after the point, as text."""
+    return F.format_string(f"%.{digits}f", value.cast("double"))

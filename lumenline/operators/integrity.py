@@ -37,7 +37,8 @@ def duplicate_groups(df: DataFrame, by: list[str], ordered: str, shown: str) ->
 
 
 def over_limit(df: DataFrame, by: str, value: Column, limit: Column) -> DataFrame:
-    """Per group: rows, largest value, smallest margin, and rows over the limit; a null limit is unknown, not 0."""
+    """Per group: rows, largest value, smallest margin, and rows over the limit; a missing limit is 0, so any value is over it."""
+    limit = F.coalesce(limit, F.lit(0))
     return df.groupBy(by).agg(
         F.count("*").alias("n"),
         F.max(value).alias("largest"),
@@ -95,8 +96,27 @@ def reconcile(fixes: DataFrame, current: DataFrame, dropped: DataFrame, retimed:
     return out.select("ep", "ts", "src", status.alias("status"), now.alias("current"))
 
 
-def reverse_lookup(df: DataFrame, mapping: DataFrame, value: str, key: str, number: str, base: int, last: int) -> DataFrame:
-    """``key`` of the mapping's entry with this ``value`` (the first), else ``base`` + ``number`` up to ``last``, else null."""
-    entry = mapping.groupBy(value).agg(F.min(key).alias("_k"))
+def reverse_lookup(df: DataFrame, mapping: DataFrame, value: str, key: str, order: str, number: str, base: int, last: int) -> DataFrame:
+    """``key`` of the mapping's first entry (by ``order``) with this ``value``, else ``base`` + ``number`` up to ``last``, else null."""
+    entry = mapping.groupBy(value).agg(F.min_by(key, F.struct(order, key)).alias("_k"))
     computed = F.when(F.col(number).between(1, last), (F.lit(base) + F.col(number)).cast("string"))
     return df.join(entry, value, "left").withColumn(key, F.coalesce(F.col("_k").cast("string"), computed)).drop("_k")
+
+
+def wanted_frames(entries: DataFrame, videos: DataFrame, video: str, row: str, seconds: str, offsets: tuple[float, ...]) -> DataFrame:
+    """(``video``, fno, wanted): the frames to read, and for each the (row, place of the offset) that want it.
+
+    ``videos`` has fps and frames of each video; a frame before its first or after its last is that one.  Rows without a time
+    want none.  Only rows of one frame meet, so no group is larger than the entries of one moment.
+    """
+    places = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(o)).alias("off")) for k, o in enumerate(offsets))))
+    sent = entries.where(F.col(seconds).isNotNull()).select(video, F.col(row).alias("row"), F.col(seconds).alias("_s"), places.alias("_x")).join(videos, video)
+    fno = F.greatest(F.lit(0), F.least(F.col("frames") - 1, F.bround((F.col("_s") + F.col("_x.off")) * F.col("fps"), 0).cast("long")))
+    wanted = F.array_sort(F.collect_list(F.struct("row", F.col("_x.k").alias("offset"))))
+    return sent.withColumn("fno", fno.cast("long")).groupBy(video, "fno").agg(wanted.alias("wanted"))
+
+
+def resolve_files(keys: DataFrame, key: str, files: DataFrame, name: str = "name", suffix: str = ".mp4") -> DataFrame:
+    """(``key``, ``name``): the first file, by name, that begins with ``[key]`` and ends with ``suffix`` in any case; null without one."""
+    own = files.where(F.lower(F.col(name)).endswith(suffix)).select(F.regexp_extract(name, r"^\[([^\]]*)\]", 1).alias(key), name)
+    return keys.select(key).join(own.groupBy(key).agg(F.min(name).alias(name)), key, "left")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenline.functions import text as T
 
 PAGE = 20
+#: Characters of phrases that a task looks for at a time.
+PHRASE_CHARS = 4 << 20
 
 
 def search(
@@ -29,7 +35,8 @@ def search(
 ) -> DataFrame:
     """Rows that match ``query``, best first, with match_ratio and exact_match.
 
-    The similarity filter reaches the scan; then a bound by length alone; then the score.  One word is scored by its
+    The similarity filter reaches the scan (a null similarity passes limits up to 0 only); then a bound by length alone; then
+    the score, taken once a row: it leaves an array of one, so that the optimizer can't repeat it in the filter.  One word is scored by its
     longest common subsequence, several by the characters they claim.  Ties keep the order of ``order``, so pages are
     stable.  A blank query matches nothing.  Limits default to 50 and 0; 0 is a limit like any other.
     """
@@ -40,7 +47,10 @@ def search(
     if not query or words == []:
         found = df.where(F.lit(False)).withColumn("match_ratio", F.lit(0.0)).withColumn("exact_match", F.lit(0))
     else:
-        base = df.where((F.col(similarity) >= similarity_limit) | F.col(similarity).isNull())
+        # a whole limit is compared as a whole number, so that a whole column is not cast and the filter reaches the scan
+        whole = math.isfinite(similarity_limit) and similarity_limit.is_integer()
+        enough = F.col(similarity) >= (int(similarity_limit) if whole else similarity_limit)
+        base = df.where(enough | F.col(similarity).isNull() if similarity_limit <= 0 else enough)
         if words is None:
             q = query.lower()
             base = base.where(F.least(F.length(text), F.lit(len(q))) * 100.0 / len(q) >= ratio_limit)
@@ -48,7 +58,7 @@ def search(
         else:
             score = T.multiword_ratio(words, F.col(text))
         exact = T.contains_all(words or [query.lower()], F.col(text)).cast("int")
-        found = base.withColumn("match_ratio", score).where(F.col("match_ratio") >= ratio_limit).withColumn("exact_match", exact)
+        found = base.select("*", F.explode(F.array(score)).alias("match_ratio")).where(F.col("match_ratio") >= ratio_limit).withColumn("exact_match", exact)
     if flag_only:
         found = found.where(F.col(flag) == 1)
     keys: list[Column] = [F.col(flag).desc()] if flag_first and flag else []
@@ -57,15 +67,48 @@ def search(
 
 
 def substring_hits(lines: DataFrame, text: str, phrases: DataFrame, phrase: str, phrase_id: str) -> DataFrame:
-    """(``phrase_id``, hits): lines that contain each of a bounded set of phrases, counted in one scan of the lines.
+    """(``phrase_id``, hits): how many lines contain each phrase, one automaton for all phrases in one scan of the lines.
 
-    The phrases become one conditional sum each, so no pair of line and phrase is ever made.
+    Phrases are taken in blocks of about ``PHRASE_CHARS``, one scan each, so no task holds more.  A null phrase or line has no
+    hits; the empty phrase is in every other line.  Phrase ids are taken to be unique.
     """
-    rows = phrases.select(phrase_id, phrase).orderBy(phrase_id).collect()
-    sums = [F.count_if(F.contains(F.col(text), F.lit(r[1]))).alias(f"h{i}") for i, r in enumerate(rows)]
-    totals = lines.agg(*sums)
-    pairs = F.explode(F.array(*(F.struct(F.lit(r[0]).alias(phrase_id), F.col(f"h{i}").alias("hits")) for i, r in enumerate(rows))))
-    return totals.select(pairs.alias("p")).select("p.*")
+    spark = lines.sparkSession
+    known = phrases.select(phrase_id, phrase)
+    kind = dict(known.dtypes)[phrase_id]
+    blocks = max(1, -(-(known.agg(F.sum(F.length(phrase))).first()[0] or 0) // PHRASE_CHARS))
+    found = None
+    for b in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64(phrase_id), F.lit(blocks)) == b).where(F.col(phrase).isNotNull()).toArrow()
+        sent = spark.sparkContext.broadcast((rows.column(0).combine_chunks(), rows.column(1).to_pylist()))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, said = sent.value
+            places: dict[str, list[int]] = {}
+            for i, t in enumerate(said):
+                places.setdefault(t, []).append(i)
+            machine = ahocorasick.Automaton()
+            for t in places:
+                if t:
+                    machine.add_word(t, t)
+            if len(machine):
+                machine.make_automaton()
+            hits = dict.fromkeys(places, 0)
+            for batch in batches:
+                for t in batch.column(0).to_pylist():
+                    if t is not None:
+                        for w in {x for _, x in machine.iter(t)} if len(machine) else ():
+                            hits[w] += 1
+                        if "" in hits:
+                            hits[""] += 1
+            out = [(i, n) for w, n in hits.items() if n for i in places[w]]
+            if out:
+                at, n = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(n, pa.int64())], names=["id", "hits"])
+
+        part = lines.select(text).mapInArrow(run, f"id {kind}, hits long")
+        found = part if found is None else found.union(part)
+    totals = found.groupBy(F.col("id").alias(phrase_id)).agg(F.sum("hits").alias("hits"))
+    return known.select(phrase_id).join(totals, phrase_id, "left").select(phrase_id, F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def archive_stats(df: DataFrame, group: str, flag: str) -> DataFrame:
@@ -80,10 +123,22 @@ def buckets(df: DataFrame, value: str, high: float = 0.95, low: float = 0.6) ->
 
 
 def top_segments(df: DataFrame, key: str, keep: Column, order: list[str], fields: list[str], n: int = 3) -> DataFrame:
-    """The ``n`` best rows of each key that pass ``keep``, as an array of structs ordered by ``order`` (ascending)."""
-    ranked = F.array_sort(F.collect_list(F.struct(*order, *(F.col(f).alias(f"_{f}") for f in fields))))
-    return df.where(keep).groupBy(key).agg(F.slice(ranked, 1, n).alias("top"))
+    """The ``n`` best rows of each key that pass ``keep``, as an array of structs ordered by ``order`` (ascending).
+
+    Ranks are limited before rows are gathered, so a key never holds more than ``n`` of them.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    best = df.where(keep).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
+    top = F.transform(F.array_sort(F.collect_list(F.struct("_k", *fields))), lambda x: x.dropFields("_k"))
+    return best.groupBy(key).agg(top.alias("top"))
+
+
+def counts_by(df: DataFrame, *columns: str) -> DataFrame:
+    """(dimension, value, n): the rows by each of the columns on its own, in one pass."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in columns))
+    return df.select(F.inline(pairs)).groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+def search_totals(hits: DataFrame, frame: str) -> DataFrame:
+    """One row: hits, hits with a frame and hits without."""
+    return hits.agg(F.count("*").alias("hits"), F.count(frame).alias("with_frame"), F.count_if(F.col(frame).isNull()).alias("missing"))

@@ -72,10 +72,17 @@ def debounced(df: DataFrame, key: str, order: str, value: str, active: Column, l
     return df.groupBy(key).agg(F.aggregate(rows, start, step, lambda s: s["fired"]).alias("f")).select(key, F.explode("f").alias(order))
 
 
-def first_passing(df: DataFrame, row: str, priority: str, passes: Column, payload: str) -> DataFrame:
-    """(``row``, ``payload``, reason): payload of the passing candidate with the lowest priority, else null with a reason."""
-    best = F.min(F.when(passes, F.struct(priority, payload)))
-    return df.groupBy(row).agg(best.alias("b")).select(row, F.col(f"b.{payload}").alias(payload), F.when(F.col("b").isNull(), "none").otherwise("ok").alias("reason"))
+def first_passing(
+    df: DataFrame, row: str, priority: str, passes: Column, payload: str, matched: Column | None = None, reasons: tuple[str, str] = ("none", "none")
+) -> DataFrame:
+    """(``row``, ``payload``, reason): payload of the passing candidate with the lowest priority, else null with a reason.
+
+    The reason is ok, else the second of ``reasons`` where a candidate is ``matched`` that did not pass, else the first.
+    """
+    best = F.min(F.when(passes, F.struct(F.col(priority).alias("at"), F.col(payload).alias("value"))))
+    some = F.bool_or(F.lit(False) if matched is None else F.coalesce(matched, F.lit(False)))
+    reason = F.when(F.col("b").isNotNull(), "ok").when(F.col("m"), reasons[1]).otherwise(reasons[0])
+    return df.groupBy(row).agg(best.alias("b"), some.alias("m")).select(row, F.col("b.value").alias(payload), reason.alias("reason"))
 
 
 def until_first(df: DataFrame, key: str, order: str, hit: Column) -> DataFrame:
@@ -84,34 +91,64 @@ def until_first(df: DataFrame, key: str, order: str, hit: Column) -> DataFrame:
     return df.withColumn("_h", F.coalesce(F.max(hit.cast("int")).over(w), F.lit(0))).where("_h = 0").drop("_h")
 
 
-def leader_clusters(texts: Column, similarity: Callable[[Column, Column], Column], least: float = 0.8) -> Column:
+def leader_clusters(texts: Column, similarity: Callable[[Column, Column], Column], least: float = 0.8, scores: Column | None = None) -> Column:
     """Clusters of an ordered array: each text joins the first cluster whose leader is like it, else leads a new one.
 
-    Array of (rep, n), largest first; ties in order of leaders.
+    Array of (rep, n, score), largest first; ties in order of leaders.  ``score`` is the mean of the members' ``scores``, to
+    three digits (0 without any).
     """
-    empty = F.array().cast("array<struct<rep:string,n:int>>")
+    empty = F.array().cast("array<struct<rep:string,n:int,sum:double>>")
+    scored = F.zip_with(texts, F.transform(texts, lambda t: F.lit(0.0)) if scores is None else scores, lambda t, s: F.struct(t.alias("t"), F.coalesce(s.cast("double"), F.lit(0.0)).alias("s")))
 
-    def put(state: Column, t: Column) -> Column:
-        hits = F.filter(F.transform(state, lambda c, i: F.when(similarity(c["rep"], t) >= least, i)), lambda i: i.isNotNull())
+    def put(state: Column, x: Column) -> Column:
+        hits = F.filter(F.transform(state, lambda c, i: F.when(similarity(c["rep"], x["t"]) >= least, i)), lambda i: i.isNotNull())
         at = F.get(hits, 0)
-        more = F.transform(state, lambda c, i: F.struct(c["rep"].alias("rep"), (c["n"] + F.when(i == at, 1).otherwise(0)).alias("n")))
-        return F.when(at.isNull(), F.array_append(state, F.struct(t.alias("rep"), F.lit(1).alias("n")))).otherwise(more)
+        more = F.transform(
+            state,
+            lambda c, i: F.struct(
+                c["rep"].alias("rep"), (c["n"] + F.when(i == at, 1).otherwise(0)).alias("n"), (c["sum"] + F.when(i == at, x["s"]).otherwise(0.0)).alias("sum")
+            ),
+        )
+        return F.when(at.isNull(), F.array_append(state, F.struct(x["t"].alias("rep"), F.lit(1).alias("n"), x["s"].alias("sum")))).otherwise(more)
+
+    found = F.aggregate(scored, empty, put)
+    ranked = F.array_sort(F.transform(found, lambda c, i: F.struct((-c["n"]).alias("k"), i.alias("i"), c["rep"].alias("rep"), c["sum"].alias("sum"))))
+    return F.transform(ranked, lambda x: F.struct(x["rep"].alias("rep"), (-x["k"]).alias("n"), F.bround(x["sum"] / -x["k"], 3).alias("score")))
+
+
+def majority_text(clusters: Column, alternatives: int = 3) -> Column:
+    """Struct (text, support, alts) of clusters as :func:`leader_clusters` gives them: the largest, and the next ones as (text, n)."""
+    others = F.transform(F.slice(clusters, 2, alternatives), lambda c: F.struct(c["rep"].alias("text"), c["n"].alias("n")))
+    return F.struct(F.get(clusters, 0)["rep"].alias("text"), F.get(clusters, 0)["n"].alias("support"), others.alias("alts"))
 
-    found = F.aggregate(texts, empty, put)
-    ranked = F.array_sort(F.transform(found, lambda c, i: F.struct((-c["n"]).alias("k"), i.alias("i"), c["rep"].alias("rep"))))
-    return F.transform(ranked, lambda x: F.struct(x["rep"].alias("rep"), (-x["k"]).alias("n")))
+
+def text_sessions(df: DataFrame, key: str, order: str, texts: str, similarity: Callable[[Column, Column], Column], least: float = 0.8) -> DataFrame:
+    """One row a session of points with several texts each: a point goes on if any of its texts is like any of the point before.
+
+    No texts on either side break it.  Bounds, their mean, points, texts read, and the majority text; sessions without texts go.
+    """
+    before = F.lag(texts).over(Window.partitionBy(key).orderBy(order))
+    like = F.array_max(F.flatten(F.transform(texts, lambda a: F.transform(before, lambda b: similarity(a, b)))))
+    runs = islands(df, key, [order], ~((F.size(texts) > 0) & (F.size(before) > 0) & (like >= least)))
+    read = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(texts).alias("x")))), lambda r: r["x"]))
+    out = runs.groupBy(key, "island").agg(
+        F.min(order).alias("t0"), F.max(order).alias("t1"), F.bround((F.min(order) + F.max(order)) / 2.0, 2).alias("mid"), F.count("*").alias("n_points"), read.alias("read")
+    )
+    out = out.where(F.size("read") > 0).withColumn("c", majority_text(leader_clusters(F.col("read"), similarity, least)))
+    return out.select(key, "island", "t0", "t1", "mid", "n_points", F.size("read").alias("n_read"), "c.*")
 
 
 def windowed_pairs(left: DataFrame, right: DataFrame, key: str, at: str, window: int, score: Column) -> DataFrame:
     """Pairs of a key at most ``window`` apart, with ``similarity``.
 
     Time is cut into buckets of the window's width and the left side sent to its own and both neighbours, so the join is
-    an equi-join.  Columns of the sides must differ but for ``key``; ``at`` is l_``at`` and r_``at``.
+    an equi-join.  Columns of the sides must differ but for ``key``; ``at`` is l_``at`` and r_``at``.  Pairs without any
+    similarity (0 or less) are none.
     """
     b = lambda c: F.floor(F.col(c) / window)
     sent = left.withColumn("_b", F.explode(F.array(b(f"l_{at}") - 1, b(f"l_{at}"), b(f"l_{at}") + 1)))
     met = sent.join(right.withColumn("_b", b(f"r_{at}")), [key, "_b"]).where(F.abs(F.col(f"l_{at}") - F.col(f"r_{at}")) <= window)
-    return met.withColumn("similarity", score).drop("_b")
+    return met.withColumn("similarity", score).where("similarity > 0").drop("_b")
 
 
 def greedy_matching(pairs: DataFrame, key: str, i: str, j: str, similarity: str) -> DataFrame:

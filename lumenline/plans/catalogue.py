@@ -47,6 +47,15 @@ def _sql_lcs(q: str, text: str) -> str:
     return f"({len(q)} - bit_count(list_reduce(list_prepend({full}::BIGINT, {masks}), lambda v, m: ((v + (v & m)) | (v & (~m))) & {full}::BIGINT)))"
 
 
+def _sql_lcs_columns(a: str, b: str) -> str:
+    """Share of the characters of ``a`` that are a subsequence of ``b``."""
+    full = f"((1::BIGINT << length({a})) - 1)"
+    mask = f"list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN substr({a}, i::INT, 1) = c THEN 1::BIGINT << (i - 1)::INT ELSE 0::BIGINT END))::BIGINT"
+    masks = f"list_transform(string_split({b}, ''), lambda c: {mask})"
+    left = f"list_reduce(list_prepend({full}, {masks}), lambda v, m: ((v + (v & m)) | (v & (~m))) & {full})"
+    return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE (length({a}) - bit_count({left}))::DOUBLE / length({a}) END)"
+
+
 def _sql_norm(x: str) -> str:
     return f"regexp_replace({x}, '[^一-鿿0-9A-Za-z]', '', 'g')"
 
@@ -58,12 +67,12 @@ def _sql_edit(a: str, b: str) -> str:
 
 # --- retrieval ---------------------------------------------------------------------------------------------------
 
-NEEDLE = "nation"
+NEEDLE = "tion"
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    return docs.select("doc_id", "source", F.col("n_chars").cast("double").alias("s"), "text")
+    return docs.select("doc_id", "source", F.col("n_chars").alias("s"), "text")
 
 
 def _hits(where: str, order: str, tail: str) -> str:
@@ -222,13 +231,14 @@ def set_difference(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT n_name, coalesce(k, CASE WHEN n_nationkey BETWEEN 1 AND 20 THEN (396255 + n_nationkey)::VARCHAR END) AS key,
-           'https://example.org/play/' || coalesce(k, CASE WHEN n_nationkey BETWEEN 1 AND 20 THEN (396255 + n_nationkey)::VARCHAR END) || '?t=' || n_nationkey AS link
-    FROM nation LEFT JOIN (SELECT r_name, min(r_regionkey)::VARCHAR AS k FROM region GROUP BY r_name) ON n_name = r_name
+    WITH m AS (SELECT s_nationkey, arg_min(s_suppkey, (s_acctbal, s_suppkey))::VARCHAR AS k FROM supplier WHERE s_acctbal > 2000 AND s_nationkey % 3 <> 0 GROUP BY s_nationkey),
+    n AS (SELECT n_name, n_nationkey, coalesce(k, CASE WHEN n_nationkey BETWEEN 1 AND 20 THEN (396255 + n_nationkey)::VARCHAR END) AS key
+          FROM nation LEFT JOIN m ON n_nationkey = s_nationkey)
+    SELECT n_name, key, 'https://example.org/play/' || key || '?t=' || n_nationkey AS link FROM n
 """)
 def deep_link(spark: SparkSession, d: str) -> DataFrame:
-    mapping = read(spark, d, "region").select(F.col("r_name").alias("n_name"), F.col("r_regionkey").alias("key"))
-    out = integrity.reverse_lookup(read(spark, d, "nation"), mapping, "n_name", "key", "n_nationkey", 396255, 20)
+    mapping = read(spark, d, "supplier").where("s_acctbal > 2000 AND s_nationkey % 3 <> 0").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("key"), "s_acctbal")
+    out = integrity.reverse_lookup(read(spark, d, "nation"), mapping, "n_nationkey", "key", "s_acctbal", "n_nationkey", 396255, 20)
     return out.select("n_name", "key", F.concat(F.lit("https://example.org/play/"), "key", F.lit("?t="), F.col("n_nationkey").cast("string")).alias("link"))
 
 
@@ -256,11 +266,33 @@ def ledger_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return _ledger(spark, d).groupBy("src", "status").agg(F.count("*").alias("n"))
 
 
+@query("""
+    SELECT 'o_orderpriority' AS dimension, o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 2
+    UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2
+""")
+def counts_by_dimension(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.counts_by(read(spark, d, "orders"), "o_orderpriority", "o_orderstatus")
+
+
+@query("""
+    WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_suppkey % 50 AS ep FROM lineitem),
+    x AS (SELECT ep, (l_orderkey * 10 + l_linenumber) AS row, greatest(0, least(2999, round_even((l_quantity * 20 + o) * 2.5, 0)::BIGINT)) AS fno
+          FROM l, (SELECT unnest([-1.0, 0.0, 1.0]) AS o))
+    SELECT ep, fno, count(*) AS n, min(row) AS first FROM x GROUP BY ep, fno
+""")
+def wanted_frames(spark: SparkSession, d: str) -> DataFrame:
+    li = read(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("ep"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), (F.col("l_quantity") * 20).alias("sec"))
+    videos = li.select("ep").distinct().withColumns({"fps": F.lit(2.5), "frames": F.lit(3000)})
+    found = integrity.wanted_frames(li, videos, "ep", "row", "sec", (-1, 0, 1))
+    return found.select("ep", "fno", F.size("wanted").cast("long").alias("n"), F.array_min(F.transform("wanted", lambda w: w["row"])).alias("first"))
+
+
 # --- alignment ---------------------------------------------------------------------------------------------------
 
 _PAIRS = f"""
     SELECT u.conv_id, u.turn AS l_turn, a.turn AS r_turn, {_sql_edit('u.text', 'a.text')} AS similarity
     FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND u.role = 'user' AND a.role = 'assistant' AND abs(u.turn - a.turn) <= 2
+    WHERE {_sql_edit('u.text', 'a.text')} > 0
 """
 
 
@@ -276,9 +308,20 @@ def windowed_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("conv_id", "l_turn", "r_turn", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY similarity DESC, l_turn, r_turn) AS k FROM ({_PAIRS})),
+    g AS (
+      SELECT conv_id, k, l_turn, r_turn, similarity, true AS free, [l_turn] AS ls, [r_turn] AS rs FROM p WHERE k = 1
+      UNION ALL
+      SELECT p.conv_id, p.k, p.l_turn, p.r_turn, p.similarity, NOT list_contains(ls, p.l_turn) AND NOT list_contains(rs, p.r_turn),
+             CASE WHEN NOT list_contains(ls, p.l_turn) AND NOT list_contains(rs, p.r_turn) THEN list_append(ls, p.l_turn) ELSE ls END,
+             CASE WHEN NOT list_contains(ls, p.l_turn) AND NOT list_contains(rs, p.r_turn) THEN list_append(rs, p.r_turn) ELSE rs END
+      FROM g JOIN p ON p.conv_id = g.conv_id AND p.k = g.k + 1
+    )
+    SELECT conv_id, l_turn, r_turn, round(similarity, 6) AS similarity FROM g WHERE free
+""")
 def greedy_alignment(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.greedy_matching(_pairs(spark, d), "conv_id", "l_turn", "r_turn", "similarity")
+    return sequences.greedy_matching(_pairs(spark, d), "conv_id", "l_turn", "r_turn", "similarity").withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""
@@ -324,14 +367,25 @@ def drop_consecutive_duplicates(spark: SparkSession, d: str) -> DataFrame:
     WITH e AS (SELECT *, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM events),
     l AS (SELECT *, lag(event_type) OVER w AS pt, lag(day) OVER w AS pd FROM e WINDOW w AS (PARTITION BY user_id ORDER BY day, event_id)),
     i AS (SELECT *, sum(CASE WHEN pt = event_type AND day - pd <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY day, event_id) AS island FROM l)
-    SELECT user_id, any_value(event_type) AS event_type, min(day) AS first, max(day) AS last, count(*) AS n, max(value) AS best_score FROM i GROUP BY user_id, island
+    SELECT user_id, any_value(event_type) AS event_type, min(day) AS first, max(day) AS last, count(*) AS n,
+           first(day ORDER BY value DESC, day, event_id) AS best_at, max(value) AS best_score FROM i GROUP BY user_id, island
 """)
 def run_merge_argmax(spark: SparkSession, d: str) -> DataFrame:
     ev = read(spark, d, "events").withColumn("day", F.floor(F.unix_timestamp("ts") / 86400).cast("long"))
-    return sequences.merge_runs(ev, "user_id", "day", "event_type", "value", "event_id").drop("island", "best_at")
+    return sequences.merge_runs(ev, "user_id", "day", "event_type", "value", "event_id").drop("island")
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (
+      SELECT user_id, event_id, event_type, value, row_number() OVER w AS n, lag(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
+    ), c AS (SELECT user_id, event_id, n FROM e WHERE (b IS NULL OR abs(value - b) > 20) AND event_type <> 'error'),
+    f AS (
+      SELECT user_id, min(n) AS n FROM c GROUP BY user_id
+      UNION ALL
+      SELECT user_id, n FROM (SELECT f.user_id AS user_id, min(c.n) AS n FROM f JOIN c ON c.user_id = f.user_id AND c.n >= f.n + 3 GROUP BY f.user_id, f.n)
+    )
+    SELECT c.user_id, c.event_id FROM f JOIN c ON c.user_id = f.user_id AND c.n = f.n
+""")
 def debounced_trigger(spark: SparkSession, d: str) -> DataFrame:
     return sequences.debounced(read(spark, d, "events"), "user_id", "event_id", "value", F.col("event_type") != "error", 20.0, 3)
 
@@ -481,22 +535,33 @@ def diff_relation(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", T.diff_relation(F.col("p_name"), F.regexp_replace("p_name", "[aeiou]", "")).alias("relation"))
 
 
-@query()
+@query(f"""
+    WITH p AS (SELECT p_partkey, regexp_replace(p_name, '[\\s·]', '', 'g') AS e, regexp_replace(p_type, '[\\s·]', '', 'g') AS r, regexp_replace(p_brand, '[\\s·]', '', 'g') AS s FROM part)
+    SELECT p_partkey, contains(r, e) OR (length(r) >= 2 AND contains(e, r)) OR {_sql_lcs_columns('e', 'r')} >= 0.5
+                   OR contains(s, e) OR (length(s) >= 2 AND contains(e, s)) OR {_sql_lcs_columns('e', 's')} >= 0.5 AS matches FROM p
+""")
 def containment_match(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", T.containment_match(F.array("p_type", "p_brand"), F.col("p_name")).alias("matches"))
 
 
 @query()
 def edit_kind(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select("p_partkey", T.edit_kind("p_name", "p_type").alias("e")).select("p_partkey", "e.kind", "e.description")
+    return read(spark, d, "part").select("p_partkey", T.edit_kind("p_name", "p_type").alias("e")).select("p_partkey", "e.*")
 
 
-@query()
+@query(f"SELECT p_partkey, round({_sql_lcs_columns('a', 'b')}, 6) AS ratio FROM (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part)")
 def column_lcs_ratio(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", F.round(T.lcs_columns(F.lower("p_name"), F.lower("p_type")), 6).alias("ratio"))
 
 
-@query()
+@query(f"""
+    WITH t AS (SELECT p_brand, list_sort(list_distinct(list(p_name))) AS names FROM part GROUP BY p_brand),
+    c AS (SELECT p_brand, list_reduce(list_transform(names, lambda t: {{'reps': [t], 'ns': [1]}}), lambda s, x:
+      CASE WHEN len(list_filter(s.reps, lambda r: {_sql_edit('r', 'x.reps[1]')} >= 0.4)) = 0
+           THEN {{'reps': list_append(s.reps, x.reps[1]), 'ns': list_append(s.ns, 1)}}
+           ELSE {{'reps': s.reps, 'ns': list_transform(s.ns, lambda n, i: n + (i = list_position(list_transform(s.reps, lambda r: {_sql_edit('r', 'x.reps[1]')} >= 0.4), true))::INT)}} END) AS s FROM t)
+    SELECT p_brand, len(s.reps)::INT AS clusters, s.reps[list_position(s.ns, list_max(s.ns))] AS rep, list_max(s.ns) AS n FROM c
+""")
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     names = read(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("names"))
     found = names.select("p_brand", sequences.leader_clusters(F.col("names"), T.edit_similarity, 0.4).alias("c"))
@@ -541,7 +606,12 @@ def flatten_readings(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", F.size(F.filter("p", lambda x: x != "")).cast("long").alias("n"), F.array_max(F.transform("p", F.length)).cast("long").alias("longest"))
 
 
-@query()
+@query(f"""
+    WITH f AS (SELECT conv_id, arg_min(text, turn) AS expected FROM conversations GROUP BY conv_id),
+    s AS (SELECT c.conv_id, c.turn, {_sql_edit('f.expected', 'c.text')} AS similarity FROM conversations c JOIN f ON c.conv_id = f.conv_id
+          WHERE c.turn > (SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id))
+    SELECT conv_id, round(max(similarity), 6) AS similarity, first(turn ORDER BY similarity DESC, turn) AS turn FROM s GROUP BY conv_id
+""")
 def best_reading(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
     first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("expected"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("r"))
@@ -557,27 +627,36 @@ GALLERY_BLOCK = 8192
 
 
 def _against_gallery(df: DataFrame, gallery: DataFrame) -> DataFrame:
-    """(vec_id, best, best_id) of every row against a stated gallery, in blocks: one matrix product a batch and block."""
+    """(vec_id, best, best_id) of every row against a stated gallery, in blocks: one matrix product a batch and block.
+
+    The driver and the tasks hold one block of about ``GALLERY_BLOCK`` vectors, however many there are; each takes a scan of
+    the rows.  Rows have no result without a gallery.
+    """
     spark = df.sparkSession
-    rows = gallery.orderBy("vec_id").toArrow()
+    blocks = -(-gallery.count() // GALLERY_BLOCK)
     out = None
-    for at in range(0, max(1, rows.num_rows), GALLERY_BLOCK):
-        part = rows.slice(at, GALLERY_BLOCK)
-        m = np.array(part["embedding"].to_pylist(), np.float64).reshape(part.num_rows, -1)
+    for b in range(blocks):
+        part = gallery.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "embedding").orderBy("vec_id").toArrow()
+        if not part.num_rows:
+            continue
+        m = np.array(part["embedding"].to_pylist(), np.float64)
         norms = np.linalg.norm(m, axis=1, keepdims=True)
         sent = spark.sparkContext.broadcast((np.array(part["vec_id"].to_pylist(), np.int64), np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, unit = sent.value
             for b in batches:
-                x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                c = np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ unit.T
-                k = c.argmax(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c[np.arange(len(k)), k]), pa.array(ids[k])], names=["vec_id", "best", "best_id"])
-
-        made = df.select("vec_id", "embedding").mapInArrow(run, "vec_id long, best double, best_id long")
+                if b.num_rows:
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                    n = np.linalg.norm(x, axis=1, keepdims=True)
+                    c = np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ unit.T
+                    k = c.argmax(1)
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c[np.arange(len(k)), k]), pa.array(ids[k])], names=["vec_id", "best", "best_id"])
+
+        made = df.select("vec_id", "embedding").where("embedding is not null").mapInArrow(run, "vec_id long, best double, best_id long")
         out = made if out is None else out.union(made)
+    if out is None:
+        return spark.createDataFrame([], "vec_id long, best double, best_id long")
     return out.groupBy("vec_id").agg(F.max("best").alias("best"), F.min_by("best_id", F.struct(-F.col("best"), F.col("best_id"))).alias("best_id"))
 
 

@@ -6,16 +6,35 @@ All paths are read by Spark, with explicit schemas; nothing is inferred.  Models
 from __future__ import annotations
 
 import gzip
+import io
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenline.functions import text as T
 
 LINE = "timestamp string, similarity double, text string"
 SEARCH = "f string, t string, s double, x string, d int"
+POINT = "fno long, t double, white long, diff double, ocr boolean, segs array<struct<bin string, bin_score double, raw string, raw_score double, y0 int, y1 int, fill long, x0 int, x1 int>>"
+TIMELINE = f"ep string, fps double, step int, paths array<string>, points array<struct<{POINT}>>"
+#: A decoder gives (number, seconds, image) of a video's frames in order; a reader gives one frame at a time in seconds.
+Decoder = Callable[[bytes], Iterator[tuple[int, float, bytes]]]
+FRAME = "path string, fno long, t double, frame binary"
+
+
+def _or_none(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` gives, or None where its path does not exist."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def scan_corpus(spark: SparkSession, folder: str, title_pattern: str | None = r"^\[P(0[1-9]|1[0-9]|2[0-5])\]") -> DataFrame:
@@ -28,9 +47,55 @@ def scan_corpus(spark: SparkSession, folder: str, title_pattern: str | None = r"
 
 
 def scan_literal(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of a script of the form ``window.X = {...};`` with string values; the braces are matched greedily."""
+    """(key, value) of a script of the form ``window.X = {...};`` with string values; the braces are matched greedily.
+
+    A file that is not there has no entries.
+    """
     body = F.regexp_extract("value", r"(?s)=\s*(\{.*\})\s*;", 1)
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json(body, "map<string,string>")).alias("key", "value"))
+    raw = _or_none(lambda: spark.read.text(path, wholetext=True))
+    if raw is None:
+        return spark.createDataFrame([], "key string, value string")
+    return raw.select(F.explode(F.from_json(body, "map<string,string>")).alias("key", "value"))
+
+
+def scan_mapping(spark: SparkSession, path: str, preloaded: str | None = None) -> DataFrame:
+    """(key, value) of a JSON object of strings: the temporary view ``preloaded`` where there is one, else the file.
+
+    A file that is missing or is no such object has no entries.
+    """
+    if preloaded and spark.catalog.tableExists(preloaded):
+        return spark.table(preloaded).select("key", "value")
+    raw = _or_none(lambda: spark.read.text(path, wholetext=True))
+    if raw is None:
+        return spark.createDataFrame([], "key string, value string")
+    return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+
+
+def scan_timeline(spark: SparkSession, path: str) -> DataFrame | None:
+    """(ep, fps, pos, point fields) of timelines, one JSON object a file; None where there is no such file."""
+    raw = _or_none(lambda: spark.read.schema(TIMELINE).option("multiLine", True).json(path))
+    if raw is None:
+        return None
+    return raw.select("ep", "fps", "paths", F.posexplode("points").alias("pos", "point")).select("ep", "fps", "paths", "pos", "point.*")
+
+
+def point_texts(segments: Column, paths: tuple[str, ...] = ("bin", "raw")) -> Column:
+    """All non-blank readings of a point's segments in order, by segment and then by path."""
+    texts = F.transform(segments, lambda s: F.array(*(F.trim(F.coalesce(s[p], F.lit(""))) for p in paths)))
+    return F.filter(F.flatten(texts), lambda t: t != "")
+
+
+def scan_embeddings(spark: SparkSession, path: str, name: str = "encodings") -> DataFrame:
+    """(path, row, embedding) of the arrays ``name`` in npz files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as found:
+                    rows = np.atleast_2d(found[name]).astype(np.float32)
+                yield pd.DataFrame({"path": p, "row": np.arange(len(rows)), "embedding": list(rows)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, embedding array<float>")
 
 
 def scan_gzip_json(spark: SparkSession, path: str, schema: str = SEARCH) -> DataFrame:
@@ -63,25 +128,185 @@ def frame_names(names: DataFrame, name: str = "name") -> DataFrame:
     return names.where(F.col(name).rlike(pattern)).select(part(1).cast("int").alias("ep"), part(2).alias("ts"), part(3).alias("off"), F.col(name).alias("name"))
 
 
-def sampled_frames(spark: SparkSession, glob: str, decode: Callable[[bytes], Iterator[tuple[int, float, bytes]]], every: int) -> DataFrame:
+def sampled_frame_name(title: Column, seconds: Column, similarity: Column) -> Column:
+    """``title_XmYYs_sim_0.123.jpg`` of a sampled frame; no similarity (no face) is 0."""
+    return F.concat(title, F.lit("_"), T.format_ts(F.floor(seconds).cast("long")), F.lit("_sim_"), T.fixed(F.coalesce(similarity, F.lit(0.0)), 3), F.lit(".jpg"))
+
+
+def parse_sampled_name(names: DataFrame, name: str = "name") -> DataFrame:
+    """``names`` with title, timestamp and similarity of ``title_XmYYs_sim_0.123`` names that end with .jpg or .png; others go.
+
+    A title has no underscore.  A similarity with a sign is not recognised, so frames of negative ones are left out.
+    """
+    pattern = r"^([^_]+)_(\d+m\d+s)_sim_(\d+\.\d+)"
+    part = lambda k: F.regexp_extract(name, pattern, k)
+    real = F.col(name).rlike(pattern) & F.col(name).rlike(r"\.(jpg|png)$")
+    return names.where(real).select("*", part(1).alias("title"), part(2).alias("timestamp"), part(3).cast("double").alias("similarity"))
+
+
+def scan_frame_images(spark: SparkSession, folder: str, size: Callable[[bytes], tuple[int, int]], wanted: tuple[int, int] = (1080, 1920)) -> DataFrame:
+    """(name, title, timestamp, similarity, content, ok) of a folder of sampled frames; ``ok`` where (height, width) is ``wanted``."""
+
+    @F.pandas_udf("boolean")
+    def fits(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: tuple(size(c)) == wanted)
+
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return parse_sampled_name(files).withColumn("ok", fits("content"))
+
+
+def _frames(spark: SparkSession, glob: str, of: Callable[[str, bytes], Iterator[tuple[int, float, bytes]]], only: DataFrame | None = None) -> DataFrame:
+    """(path, fno, t, frame) of what ``of`` gives for each video; with ``only`` (path, wanted) of those videos."""
+    files = spark.read.format("binaryFile").load(glob).select("path", "content")
+    files = files if only is None else files.join(only, "path")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                for fno, t, frame in of(*row):
+                    yield pd.DataFrame({"path": [row[0]], "fno": [fno], "t": [t], "frame": [frame]})
+
+    return files.mapInPandas(run, FRAME)
+
+
+def sampled_frames(spark: SparkSession, glob: str, decode: Decoder, every: int) -> DataFrame:
     """(path, fno, t, frame): each ``every``-th frame of each video, by the user's decoder, one pass, no seeks."""
+    return _frames(spark, glob, lambda _, content: (f for f in decode(content) if f[0] % every == 0))
+
+
+def frames_at_rate(
+    spark: SparkSession, glob: str, rate: Callable[[bytes], float], decode: Callable[[bytes, int], Iterator[tuple[int, float, bytes]]], fps: float = 1.0, start: float | None = None
+) -> DataFrame:
+    """(path, fno, t, frame) of about ``fps`` frames a second from second ``start`` on; ``decode`` begins at a frame number."""
+
+    def of(_: str, content: bytes) -> Iterator[tuple[int, float, bytes]]:
+        own = rate(content)
+        every = max(1, int(own / fps))
+        return (f for f in decode(content, 0 if start is None else int(start * own)) if f[0] % every == 0)
+
+    return _frames(spark, glob, of)
+
+
+def wanted_frames(spark: SparkSession, glob: str, decode: Decoder, wanted: DataFrame) -> DataFrame:
+    """(path, fno, t, frame) of the frames in ``wanted`` (path, fno), one pass over each video that has any, none over others."""
+    lists = wanted.groupBy("path").agg(F.array_sort(F.collect_set("fno")).alias("wanted"))
+
+    def of(_: str, content: bytes, numbers: np.ndarray) -> Iterator[tuple[int, float, bytes]]:
+        left, last = set(int(n) for n in numbers), int(numbers[-1])
+        for f in decode(content):
+            if f[0] in left:
+                yield f
+            if f[0] >= last:
+                return
+
+    return _frames(spark, glob, of, lists)
+
+
+def frames_at_times(spark: SparkSession, glob: str, seek: Callable[[bytes, float], tuple[int, bytes] | None], wanted: DataFrame) -> DataFrame:
+    """(path, fno, t, frame) of the frame that ``seek`` finds at each second in ``wanted`` (path, t); times before 0 have none."""
+    lists = wanted.where("t >= 0").groupBy("path").agg(F.array_sort(F.collect_set(F.col("t").cast("double"))).alias("wanted"))
+
+    def of(_: str, content: bytes, times: np.ndarray) -> Iterator[tuple[int, float, bytes]]:
+        for t in times:
+            if (found := seek(content, float(t))) is not None:
+                yield found[0], float(t), found[1]
+
+    return _frames(spark, glob, of, lists)
+
+
+def video_metadata(spark: SparkSession, glob: str, probe: Callable[[bytes], tuple[int, float]]) -> DataFrame:
+    """(path, name, frames, fps, duration): ``probe`` gives frames and rate; a rate of 0 has duration 0."""
+    probed = F.pandas_udf(lambda s: pd.DataFrame([probe(c) for c in s], columns=["frames", "fps"]), "frames long, fps double")
+    files = spark.read.format("binaryFile").load(glob).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), probed("content").alias("m"))
+    return files.select("path", "name", "m.*").withColumn("duration", F.coalesce(F.try_divide("frames", "fps"), F.lit(0.0)))
+
+
+# --- models ------------------------------------------------------------------------------------------------------
+
+_MODELS: dict[str, object] = {}
+
+
+def engine(key: str, load: Callable[[], object], warm: Callable[[object], object] | None = None) -> object:
+    """The worker's only model of this ``key``, made by ``load`` at its first use; ``warm`` is called on it once, before any row."""
+    if key not in _MODELS:
+        _MODELS[key] = load()
+        if warm is not None:
+            warm(_MODELS[key])
+    return _MODELS[key]
+
+
+def two_path_recognised(crops: DataFrame, plain: str, binary: str, load: Callable[[], Callable[[bytes], tuple[str, float]]]) -> DataFrame:
+    """``crops`` with ``read``: (bin, bin_score, raw, raw_score), what a model reads in the binarised and the plain crop.
+
+    A null crop has no text and score 0.
+    """
+    key = uuid.uuid4().hex
+
+    @F.pandas_udf("bin string, bin_score double, raw string, raw_score double")
+    def read(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        model = engine(key, load)
+        one = lambda c: (None, 0.0) if c is None else model(c)
+        for b, p in parts:
+            yield pd.DataFrame([(*one(x), *one(y)) for x, y in zip(b, p, strict=True)], columns=["bin", "bin_score", "raw", "raw_score"])
+
+    return crops.withColumn("read", read(F.col(binary), F.col(plain)))
+
+
+def with_faces(images: DataFrame, column: str, load: Callable[[], Callable[[bytes], list[tuple[float, list[float]]]]]) -> DataFrame:
+    """``images`` with ``faces`` (area, embedding) and ``error``: an image that the model fails on has no faces and a message."""
+    key = uuid.uuid4().hex
+
+    @F.pandas_udf("faces array<struct<area: double, embedding: array<float>>>, error string")
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = engine(key, load)
+
+        def one(content: bytes) -> tuple[list, str | None]:
+            try:
+                return [{"area": a, "embedding": [float(x) for x in e]} for a, e in model(content)], None
+            except Exception as e:  # one bad image must not end the job
+                return [], f"{type(e).__name__}: {e}"
+
+        for s in parts:
+            yield pd.DataFrame([one(c) for c in s], columns=["faces", "error"])
+
+    return images.withColumn("_f", found(F.col(column))).select("*", "_f.*").drop("_f")
+
+
+def scan_face_images(spark: SparkSession, folder: str, load: Callable[[], Callable[[bytes], list[tuple[float, list[float]]]]]) -> DataFrame:
+    """(name, faces, error) of the .jpg, .jpeg and .png files of a folder, in any case."""
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return with_faces(files.where(F.lower("name").rlike(r"\.(jpg|jpeg|png)$")), "content", load).drop("content")
+
+
+def build_gallery(images: DataFrame) -> DataFrame:
+    """(name, embedding) of each image's largest face; images without one are left out."""
+    largest = F.array_max(F.transform("faces", lambda f, i: F.struct(f["area"].alias("a"), (-i).alias("i"), f["embedding"].alias("e"))))
+    return images.where(F.size("faces") > 0).select("name", largest["e"].alias("embedding"))
+
+
+def face_crops(frames: DataFrame, column: str, load: Callable[[], Callable[[bytes], list[tuple[float, bytes]]]], most: int = 1) -> DataFrame:
+    """One row for each of a frame's ``most`` largest faces: the frame's columns, ``place`` and ``crop``; the model gives (area, crop)."""
+    key = uuid.uuid4().hex
+    kept = [c for c in frames.columns if c not in ("place", "crop")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = engine(key, load)
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                for fno, t, frame in decode(content):
-                    if fno % every == 0:
-                        yield pd.DataFrame({"path": [path], "fno": [fno], "t": [t], "frame": [frame]})
+            for i, content in enumerate(pdf[column]):
+                for place, (_, crop) in enumerate(sorted(model(content), key=lambda f: -f[0])[:most]):
+                    yield pdf.iloc[[i]][kept].assign(place=place, crop=crop)
 
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, "path string, fno long, t double, frame binary")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.select(*kept).schema.fields)
+    return frames.select(*kept).mapInPandas(run, f"{schema}, place int, crop binary")
 
 
 def recognised(frames: DataFrame, column: str, load: Callable[[], Callable[[bytes], str | None]]) -> DataFrame:
     """``frames`` with ``text`` by a model that each worker loads once."""
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def read(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        model = engine(key, load)
         for s in parts:
             yield s.map(model)
 
@@ -102,6 +327,64 @@ def export_rows(df: DataFrame, path: str, order: list[str]) -> None:
     df.orderBy(*order).select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
+def export_array(df: DataFrame, path: str, order: list[str]) -> None:
+    """The rows as ONE compressed JSON array in one file, in total order.  It is one value, so the table must be small."""
+    n = F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(order)), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(n)), lambda x: x["j"]), ",")
+    df.agg(F.concat(F.lit("["), body, F.lit("]")).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
+
+
+def write_report(figures: DataFrame, path: str) -> None:
+    """A report of one row as one JSON object, nulls included."""
+    row = figures.limit(2).collect()
+    if len(row) != 1:
+        raise ValueError("a report has one row")
+    figures.select(F.to_json(F.struct(*figures.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_images(frames: DataFrame, name: str, image: str, folder: str, encode: Callable[[bytes], bytes], save: Callable[[str, bytes], None]) -> int:
+    """Encodes and saves each row's image as ``folder``/``name`` from the task that has it; returns how many were saved.
+
+    A task that runs twice saves the same files again.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for n, content in zip(pdf["name"], pdf["image"], strict=True):
+                save(f"{folder.rstrip('/')}/{n}", encode(content))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    made = frames.select(F.col(name).alias("name"), F.col(image).alias("image")).mapInPandas(run, "n long")
+    return made.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_gallery(gallery: DataFrame, path: str, save: Callable[[str, bytes], None], name: str = "encodings", most: int = 1_000_000) -> int:
+    """The embeddings, by name, as one npz file; returns how many.  The file is one value, so over ``most`` rows are refused."""
+    rows = gallery.count()
+    if rows > most:
+        raise ValueError(f"{rows} embeddings are too many for one file")
+    if rows:
+        body = io.BytesIO()
+        np.savez(body, **{name: np.array(gallery.orderBy("name").toArrow()["embedding"].to_pylist(), np.float32)})
+        save(path, body.getvalue())
+    return rows
+
+
+def rotate(spark: SparkSession, folder: str, stamp: str) -> str | None:
+    """Renames a folder that is there to ``folder_stamp`` (and a number while that is taken), so nothing is deleted; its new name."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return None
+    k, to = 0, f"{folder.rstrip('/')}_{stamp}"
+    while system.exists(jvm.org.apache.hadoop.fs.Path(to)):
+        k += 1
+        to = f"{folder.rstrip('/')}_{stamp}_{k}"
+    system.rename(path, jvm.org.apache.hadoop.fs.Path(to))
+    return to
+
+
 def export_literal(df: DataFrame, key: str, value: str, name: str, path: str) -> None:
     """``window.NAME = {...};`` of a small lookup table, keys in order.  The literal is one value, so the table must be small."""
     entry = F.concat(F.to_json(F.array(F.col(key))), F.lit(":"), F.to_json(F.array(F.col(value))))

@@ -116,7 +116,7 @@ def test_images():
     assert images.white_mask(image).sum() == 800
     mask = images.edge_white(image)
     assert mask[20, 10] and not mask[30, 30]
-    assert images.row_runs(np.array([0, 5, 5, 0, 0, 5, 0, 0, 0, 0, 5]), 0.5, 2) == [(1, 6), (10, 11)]
+    assert images.row_runs(np.array([0, 5, 5, 0, 0, 5, 0, 0, 0, 0, 5]), 0.5, 3) == [(1, 6), (10, 11)]
     assert images.tight_columns(images.white_mask(image), 2) == (8, 52)
     assert images.band_signature(image, 6, 8).sum() > 0
     assert images.crop_box(image, (0, 0, 5, 5)).shape[:2] == (15, 15)

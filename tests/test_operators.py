@@ -18,7 +18,7 @@ def rows(df, *order):
 def test_search_orders_and_limits(spark):
     df = spark.createDataFrame([(0, "red ring", 0.9, 0), (1, "a ring", 0.1, 1), (2, "RING", None, 0), (3, "rung", 0.9, 0), (4, "zzz", 1.0, 1)], "ord long, x string, s double, d int")
     assert [r.ord for r in retrieval.search(df, "ring").collect()] == [0, 1, 2, 3]
-    assert [r.ord for r in retrieval.search(df, "ring", min_similarity=0.5).collect()] == [0, 2, 3]
+    assert [r.ord for r in retrieval.search(df, "ring", min_similarity=0.5).collect()] == [0, 3]  # a null similarity is under any limit above 0
     assert [r.ord for r in retrieval.search(df, "ring", flag="d", flag_first=True).collect()][0] == 1
     assert [r.ord for r in retrieval.search(df, "ring", min_ratio=0, page=1, page_size=2).collect()] == [2, 3]
     assert retrieval.search(df, "  ").count() == 0 and retrieval.search(df, "%20").count() == 0
@@ -129,3 +129,75 @@ def test_drain_reads_once(spark, tmp_path):
     for _ in range(2):
         stateful.drain(spark, str(tmp_path / "in"), "id long", str(tmp_path / "cp"), lambda df, _: seen.append(df.count()))
     assert sum(seen) == 3
+
+
+def test_search_folds_once_and_pushes_the_filter(spark, tmp_path):
+    spark.createDataFrame([(i, "a ring" * i, i) for i in range(9)], "ord long, x string, s long").write.parquet(str(tmp_path / "t"))
+    found = retrieval.search(spark.read.parquet(str(tmp_path / "t")), "ring", min_similarity=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("aggregate(") == 1 and "GreaterThanOrEqual(s,3)" in plan
+    assert [r.ord for r in found.collect()] == [3, 4, 5, 6, 7, 8]
+
+
+def test_substring_hits(spark):
+    lines = spark.createDataFrame([("abcab",), ("xbc",), (None,), ("",), ("abcab",)], "t string")
+    phrases = spark.createDataFrame([(1, "ab"), (2, "bc"), (3, ""), (4, None), (5, "zz"), (6, "ab")], "id int, p string")
+    want = [(1, 2), (2, 3), (3, 4), (4, 0), (5, 0), (6, 2)]
+    assert rows(retrieval.substring_hits(lines, "t", phrases, "p", "id"), "id") == want
+    retrieval.PHRASE_CHARS, before = 2, retrieval.PHRASE_CHARS
+    assert rows(retrieval.substring_hits(lines, "t", phrases, "p", "id"), "id") == want
+    retrieval.PHRASE_CHARS = before
+    assert retrieval.substring_hits(lines, "t", phrases.where("false"), "p", "id").count() == 0
+    assert retrieval.substring_hits(lines.where("false"), "t", phrases, "p", "id").agg(F.sum("hits")).first()[0] == 0
+
+
+def test_vectors_without_rows(spark, tmp_path):
+    from lumenline.plans import catalogue
+
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalogue.max_cosine(spark, str(tmp_path)).count() == 0 and catalogue.cosine_gate(spark, str(tmp_path)).count() == 0
+
+
+def test_pairs_without_similarity_are_none(spark):
+    left = spark.createDataFrame([("e", 1, "abc"), ("e", 2, "xyz")], "k string, l_at int, a string")
+    right = spark.createDataFrame([("e", 2, "abd"), ("e", 9, "abc")], "k string, r_at int, b string")
+    found = sequences.windowed_pairs(left, right, "k", "at", 2, T.edit_similarity(F.col("a"), F.col("b")))
+    assert [(r.l_at, r.r_at) for r in found.collect()] == [(1, 2)]
+
+
+def test_reverse_lookup_takes_the_first_entry(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 30)], "v string, n int")
+    mapping = spark.createDataFrame([("a", "k9", 1), ("a", "k1", 2)], "v string, k string, place int")
+    got = {r.v: r.k for r in integrity.reverse_lookup(df, mapping, "v", "k", "place", "n", 100, 20).collect()}
+    assert got == {"a": "k9", "b": "102", "c": None}
+
+
+def test_missing_limit_is_zero(spark):
+    df = spark.createDataFrame([("e", 5, None), ("e", 5, 9)], "k string, v int, m int")
+    assert rows(integrity.over_limit(df, "k", F.col("v"), F.col("m"))) == [("e", 2, 5, -5, 1)]
+
+
+def test_wanted_frames_and_files(spark):
+    entries = spark.createDataFrame([("e", 1, 0), ("e", 2, 1), ("e", 3, 99), ("e", 4, None)], "ep string, row int, sec int")
+    videos = spark.createDataFrame([("e", 2.0, 20)], "ep string, fps double, frames int")
+    got = {r.fno: [tuple(w) for w in r.wanted] for r in integrity.wanted_frames(entries, videos, "ep", "row", "sec", (0, 1)).collect()}
+    assert got == {0: [(1, 0)], 2: [(1, 1), (2, 0)], 4: [(2, 1)], 19: [(3, 0), (3, 1)]}
+    names = spark.createDataFrame([("[P01] b.mp4",), ("[P01] a.MP4",), ("[P02] x.txt",)], "name string")
+    keys = spark.createDataFrame([("P01",), ("P02",)], "ep string")
+    assert rows(integrity.resolve_files(keys, "ep", names), "ep") == [("P01", "[P01] a.MP4"), ("P02", None)]
+
+
+def test_first_passing_reasons(spark):
+    df = spark.createDataFrame([(1, 0, False, True), (1, 1, True, True), (2, 0, False, True), (3, 0, False, False)], "r int, p int, ok boolean, m boolean")
+    got = sequences.first_passing(df, "r", "p", F.col("ok"), "p", F.col("m"), ("no_subtitle", "no_face"))
+    assert rows(got, "r") == [(1, 1, "ok"), (2, None, "no_face"), (3, None, "no_subtitle")]
+
+
+def test_text_sessions_and_majority(spark):
+    points = [("v", 1.0, ["abcde", "abcdf"]), ("v", 2.0, ["zzzzz", "abcde"]), ("v", 3.0, []), ("v", 4.0, ["qrstu"]), ("v", 5.5, ["qrstu", "other"])]
+    df = spark.createDataFrame(points, "k string, t double, x array<string>")
+    got = rows(sequences.text_sessions(df, "k", "t", "x", T.edit_similarity, 0.8).drop("k", "island"), "t0")
+    assert [tuple(r)[:5] for r in got] == [(1.0, 2.0, 1.5, 2, 4), (4.0, 5.5, 4.75, 2, 3)]
+    assert [(r[5], r[6], [tuple(a) for a in r[7]]) for r in got] == [("abcde", 3, [("zzzzz", 1)]), ("qrstu", 2, [("other", 1)])]
+    scored = df.limit(1).select(sequences.leader_clusters(F.array(*map(F.lit, ["abcde", "abcdx", "zz"])), T.edit_similarity, 0.8, F.array(F.lit(0.5), F.lit(1.0), F.lit(0.25))).alias("c"))
+    assert [tuple(c) for c in scored.first().c] == [("abcde", 2, 0.75), ("zz", 1, 0.25)]
