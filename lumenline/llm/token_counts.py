@@ -101,7 +101,8 @@ def count_tokens(df: DataFrame, text: str, path: str, cache: str, limit: int = 5
     kept = [c for c in df.columns if c not in (text, "n_bytes", "n_tokens", "over_limit", "_digest")]
     body = F.coalesce(F.col(text), F.lit(""))
     texts = df.select(F.sha2(body, 256).alias("digest"), body.alias("text"))
-    misses = texts.join(read_cache(df, cache, version).select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+    # one row a digest and task before rows of a digest meet, so that no task gets all copies of a text
+    misses = texts.dropDuplicates(["digest"]).join(read_cache(df, cache, version).select("digest"), "digest", "left_anti")
     encode_misses(misses, path, version).write.mode("append").partitionBy("version").parquet(cache)
     counts = read_cache(df, cache, version).withColumnRenamed("digest", "_digest")
     keyed = written(df.select(*kept, F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("_digest")), "digests")
