@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Names of HTML elements.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "title", "textarea", "select", "head_only", "object", "math")
+RAW = ("script", "style", "noscript", "template", "svg", "iframe", "title", "textarea", "select", "head_only", "object")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -56,8 +56,9 @@ HINT_OF = {w: k for k, words in HINTS.items() for w in words.split()}
 TAGS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "figure", "table", "ul", "ol", "dl", "li", "p", "blockquote", "pre", "button", "label", "fieldset", "dialog", "address", "div", "td")
 
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>%s)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z""" % "|".join(RAW),
+    # an svg that closes itself has no end tag; a tag with an open quote ends at its first >
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<svg\b(?:[^>"']|"[^"]*"|'[^']*')*+(?<=/)>|<(?P<raw>%s)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"""
+    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>"']*)[^<>]*>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z""" % "|".join(RAW),
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -116,13 +117,13 @@ def leaf_blocks(html: str | None) -> list[Block]:
     for m in _TAG.finditer(html):
         add(html[at : m.start()])
         at = m.end()
-        tag = m["tag"]
+        tag = m["tag"] or m["tag2"]
         if tag is None:
             if m[0].startswith("<![CDATA["):
                 add(m[0][9:-3])
             continue
         tag = tag.lower()
-        if m["end"]:
+        if m["end"] or m["end2"]:
             if tag == "a":
                 in_link = 0
             if tag in BLOCKS:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenline.llm import common, decontamination, license_scan, line_dedup, quality, simhash, token_counts
+from lumenline.llm import common, decontamination, html_extraction, license_scan, line_dedup, quality, simhash, token_counts
 from lumenline.llm.bpe import version_digest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -249,3 +249,41 @@ def test_op10_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, license int")
     got = license_scan.scan(df).collect()
     assert sorted((str(r.doc_id), r.license, r.n_missing) for r in got) == [("4", "MIT", 0), ("4", "MIT", 0), ("None", "MIT", 0)]
+
+
+# --- pages --------------------------------------------------------------------------------------------------------
+
+
+def test_op9_blocks_of_odd_markup():
+    blocks = lambda html: [b.text for b in html_extraction.leaf_blocks(html)]
+    assert blocks("<p>a</p><svg/><p>b</p>") == ["a", "b"] and blocks("<p>a<svg width='1' />b</p>") == ["ab"]
+    assert blocks("<p>a<svg><text>drop</text></svg>b</p>") == ["ab"]
+    assert blocks("<p>let <math><mi>x</mi></math> be</p>") == ["let x be"]
+    assert blocks("<p title=\"it's>one</p><p>two</p>") == ["one", "two"]
+    assert blocks('<p title="a > b">one</p>') == ["one"]
+    assert blocks("<script>if (a < b) x('</p>')</script><p>one &lt;two&gt; &#8364;</p>") == ["one <two> €"]
+    assert blocks("1 < 2 and 3 > 2") == ["1 < 2 and 3 > 2"]
+
+
+def page(title, paragraphs, extra=""):
+    """A page unlike those the field is trained on: no article element, own class names."""
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    return f"""<!DOCTYPE html><html><head><title>{title}</title><style>p {{ x }}</style></head><body><div class="wrap">
+    <ul class="nav"><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/c">Contact</a></li></ul>
+    <div class="post"><h1>{title}</h1>{body}</div>{extra}
+    <div id="footer"><p>Copyright 2020 Example. All rights reserved.</p></div></div><script>var a;</script></body></html>"""
+
+
+def test_op9_pages_of_another_make(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(["the", "river", "was", "slow", "and", "we", "walked", "along", "its", "bank", "until", "evening"]) for _ in range(n)).capitalize() + "."
+    comments = '<div class="comments"><h3>Comments</h3><div class="comment"><p>Nice post, thanks!</p></div></div>'
+    made = []
+    for i in range(40):
+        paragraphs = [prose(rng.randint(15, 60)) for _ in range(rng.randint(2, 6))]
+        made.append((i, "u", page(f"Walk {i}", paragraphs, comments if i % 2 else ""), paragraphs))
+    df = spark.createDataFrame([r[:3] for r in made], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html_extraction.extract(df).collect()}
+    wanted = sum(p in got[i] for i, _, _, ps in made for p in ps)
+    others = sum(x in got[i] for i, *_ in made for x in ("Home", "News", "Contact", "Nice post, thanks!", "Copyright 2020 Example. All rights reserved."))
+    assert wanted >= 0.95 * sum(len(ps) for *_, ps in made) and others <= 0.05 * 5 * len(made)
