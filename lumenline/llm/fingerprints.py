@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenline.llm.common import written
+
 # Common words of four languages.
 ANCHORS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "had", "has", "have", "he", "in", "is", "it", "not",
@@ -34,6 +36,10 @@ ANCHORS = (
 CHAIN = 2
 #: Documents a window partition of ``with_next`` holds on average, and the most partition bounds that are ever made.
 BUCKET_ROWS, MAX_BOUNDS = 512, 65_536
+#: A key of a join is hot if more than one in ``HOT`` rows have it.
+HOT = 10_000
+#: Rows of one partition and signature that meet each other at once.
+CELL = 2_000
 
 
 def _with_words(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -93,36 +99,72 @@ def length_partition(signatures: Column, threshold: float) -> Column:
     return F.floor(F.log(F.greatest(F.size(signatures), F.lit(1))) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
 
 
+def _looked_up(rows: DataFrame, known: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` that have their ``keys`` in ``known``, with its columns; ``known`` has one row a key and the number ``n_rows`` with it.
+
+    Keys of more than one in ``HOT`` of the ``total`` rows, so fewer than ``HOT`` keys, are looked up in a broadcast of that
+    bound; all other rows meet theirs by key.
+    """
+    hot = written(known.where(F.col("n_rows") > max(1, total // HOT)), "hot")
+    light = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(known, keys)
+    return light.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def near_duplicates(df: DataFrame, id_col: str, text: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Pairs of different fingerprints with Jaccard similarity ``threshold`` or more, and the members of each.
 
     Returns ``(pairs, members)``: ``pairs`` has rep_a < rep_b (smallest ids with those fingerprints) and similarity;
-    ``members`` has every id with the rep of its fingerprint.  Copies are never expanded into pairs.  Each set sends its
-    rarest signatures only (a set of n must share one of its rarest n - ceil(t*n) + 1 with any set that alike) to the
-    partition of its length and the next; what meets there is pruned by length, then compared exactly.
+    ``members`` has every id with the rep of its fingerprint.  Copies are never expanded into pairs.  Each set sends the
+    places of its rarest signatures only (a set of n must share one of its rarest n - ceil(t*n) + 1 with any set that
+    alike) to the partition of its length and the next; what meets there is pruned by length and by how many signatures
+    can still be common, and only then are the two sets fetched and compared exactly.  A cell of a partition and signature
+    with more than ``CELL`` rows is cut into pairs of blocks, so that no task gets all that share a signature.
+
+    Defined cases: rows with a null id are members (their rep is null if no other row has that fingerprint) but never
+    reps; the empty set is in no pair; of texts with one id and different fingerprints that are reps both, none are paired.
     """
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    sets = with_signatures(base, "t", "s").drop("t")
-    key = F.xxhash64("s")
-    members = sets.select("id", key.alias("k")).join(sets.groupBy(key.alias("k")).agg(F.min("id").alias("rep")), "k")
-    reps = sets.withColumn("k", key).groupBy("k").agg(F.min(F.struct("id", "s")).alias("r")).select("r.id", "r.s")
-    spread = reps.select("id", F.explode("s").alias("g"))
-    ranked = (
-        spread.join(spread.groupBy("g").count(), "g")
-        .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("count", "g"))).alias("o"))
-        .join(reps, "id")
+    keys = ["k1", "k2"]
+    made = with_signatures(base, "t", "s").select("id", "s", F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(1), "s").alias("k2"))
+    sets = written(made, "sets")
+    reps = written(sets.groupBy(*keys).agg(F.min("id").alias("rep"), F.count("*").alias("n_rows")), "reps")
+    members = _looked_up(sets.select("id", *keys), reps, keys, sets.count())
+    one = sets.where("id IS NOT NULL AND size(s) > 0").groupBy(*keys).agg(F.min(F.struct("id", "s")).alias("r"))
+    nodes = written(one.select(F.monotonically_increasing_id().alias("node"), "r.id", "r.s"), "nodes")
+
+    spread = nodes.select("node", F.explode("s").alias("g"))
+    counts = written(spread.groupBy("g").agg(F.count("*").alias("n_rows")), "counts")
+    total = counts.agg(F.sum("n_rows")).first()[0] or 0
+    ranked = _looked_up(spread, counts, ["g"], total).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n_rows", "g"))).alias("o"))
+    n = F.size("o")
+    first = F.slice("o", F.lit(1), n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1)
+    part = length_partition(F.col("o"), threshold)
+    sent = written(ranked.select("node", n.alias("n"), part.alias("p"), F.posexplode(first).alias("at", "x")).select("node", "n", "p", "at", "x.g"), "sent")
+
+    left = sent.select(
+        F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("p").alias("own"), "g", F.explode(F.array("p", F.col("p") + 1)).alias("p")
+    )
+    right = sent.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), "g", "p")
+    cells = written(left.groupBy("p", "g").agg(F.count("*").alias("n_rows")).where("n_rows > 1"), "cells")
+    total = 2 * sent.count()
+    blocks = F.ceil(F.col("n_rows") / CELL).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    own = lambda node: F.pmod(F.xxhash64(node), blocks).cast("int")
+    left = _looked_up(left, cells, ["p", "g"], total).withColumn("x", own("a")).withColumn("y", every).drop("n_rows")
+    right = _looked_up(right, cells, ["p", "g"], total).withColumn("y", own("b")).withColumn("x", every).drop("n_rows")
+    both = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    met = (
+        left.join(right, ["p", "g", "x", "y"])
+        .where((F.col("own") < F.col("p")) | (F.col("a") < F.col("b")))
+        .where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+        .where(both >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
+    )
+    held = [nodes.select(F.col("node").alias(x), F.col("id").alias(f"id_{x}"), F.col("s").alias(f"s_{x}")) for x in ("a", "b")]
+    pairs = met.select("a", "b").distinct().join(held[0], "a").join(held[1], "b").where("id_a <> id_b")
+    pairs = pairs.select(
+        F.least("id_a", "id_b").alias("rep_a"), F.greatest("id_a", "id_b").alias("rep_b"), jaccard(F.col("s_a"), F.col("s_b"), threshold).alias("similarity")
     )
-    n = F.size("s")
-    keep = n - F.ceil(F.lit(threshold) * n).cast("int") + 1
-    part = length_partition(F.col("s"), threshold)
-    sent = ranked.select("id", "s", part.alias("p"), F.explode(F.slice("o", F.lit(1), keep)).alias("x")).select("id", "s", "p", "x.g")
-    left = sent.select(F.col("id").alias("rep_a"), F.col("s").alias("sa"), F.explode(F.array("p", F.col("p") + 1)).alias("p"), "g", F.col("p").alias("own"))
-    right = sent.select(F.col("id").alias("rep_b"), F.col("s").alias("sb"), "p", "g")
-    met = left.join(right, ["p", "g"]).where((F.col("own") < F.col("p")) | (F.col("rep_a") < F.col("rep_b"))).where("rep_a <> rep_b")
-    met = met.select("rep_a", "rep_b", jaccard(F.col("sa"), F.col("sb"), threshold).alias("similarity")).where(F.col("similarity") >= threshold)
-    pairs = met.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), "similarity").distinct()
-    return pairs, members.select(F.col("id").alias(id_col), "rep")
+    return pairs.where(F.col("similarity") >= threshold).distinct(), members.select(F.col("id").alias(id_col), "rep")
 
 
 def with_next(df: DataFrame, id_col: str, carried: dict[str, str], prepared) -> DataFrame:

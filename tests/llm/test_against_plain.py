@@ -1,5 +1,6 @@
 """Operators and stages against plain versions, on small tables made here."""
 
+import itertools
 import math
 import random
 import textwrap
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenline.llm import common, decontamination, html_extraction, license_scan, line_dedup, quality, simhash, token_counts
+from lumenline.llm import common, decontamination, fingerprints, html_extraction, license_scan, line_dedup, quality, simhash, token_counts
 from lumenline.llm.bpe import version_digest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -45,6 +46,42 @@ def test_op5_cuts_a_place_that_most_fingerprints_share(spark):
         assert [got.get(i, i) for i in range(len(prints))] == labels.tolist()
 
 
+# --- spot signatures ----------------------------------------------------------------------------------------------
+
+
+def test_op1_near_duplicates_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "CELL", 7)
+    monkeypatch.setattr(fingerprints, "HOT", 20)
+    rng = random.Random(21)
+    made = lambda n: [rng.choice(["the", "of", *("".join(rng.choice("bcdfgk") for _ in range(4)) for _ in range(2))]) for _ in range(n)]
+    texts = [None, "", "", "the of", "word"]
+    for family in range(6):
+        base = made(60 + 40 * family)
+        for k in range(30):
+            other = list(base)
+            for _ in range(rng.randint(0, 12)):
+                other[rng.randrange(len(other))] = rng.choice(["the", f"new{k}"])
+            texts.append("same start " + " ".join(other[: len(other) - rng.choice([0, 0, 4])]))
+    texts += texts[5:25]
+    rows = [(None if i == 40 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    pairs, members = fingerprints.near_duplicates(df, "id", "t")
+    signed = fingerprints.with_signatures(df.fillna("", "t"), "t", "s").collect()
+    rep: dict[tuple, int] = {}
+    for r in signed:
+        if r.id is not None:
+            rep[tuple(r.s)] = min(r.id, rep.get(tuple(r.s), r.id))
+    found = {}
+    for (s, a), (t, b) in itertools.combinations(((k, v) for k, v in rep.items() if k), 2):
+        common = len({*s} & {*t})
+        if common / (len(s) + len(t) - common) >= 0.8:
+            found[min(a, b), max(a, b)] = common / (len(s) + len(t) - common)
+    got = pairs.collect()
+    assert len(got) == len(found) > 100
+    assert {(r.rep_a, r.rep_b): r.similarity for r in got} == found
+    assert sorted((str(r.id), str(r.rep)) for r in members.collect()) == sorted((str(r.id), str(rep.get(tuple(r.s)))) for r in signed)
+
+
 # --- benchmark ----------------------------------------------------------------------------------------------------
 
 
