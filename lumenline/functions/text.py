@@ -120,11 +120,25 @@ def norm_text(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\x{4e00}-\x{9fff}0-9A-Za-z]", "")
 
 
-def edit_similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / shorter length of the normed texts: 0 where either is empty, negative for very unlike ones."""
-    x, y = norm_text(a), norm_text(b)
+def edit_similarity(a: Column, b: Column, least: float | None = None) -> Column:
+    """1 - edit distance / shorter length of the normed texts: 0 where either is empty, negative for very unlike ones.
+
+    With ``least``, similarities under it are null: lengths that differ by too much already rule a pair out, and of the others
+    only a band of the distances is worked out.
+    """
+    return normed_similarity(norm_text(a), norm_text(b), least)
+
+
+def normed_similarity(x: Column, y: Column, least: float | None = None) -> Column:
+    """:func:`edit_similarity` of texts that are normed already."""
     n = F.least(F.length(x), F.length(y))
-    return F.when(n == 0, F.lit(0.0)).otherwise(1 - F.levenshtein(x, y) / n)
+    if least is None:
+        return F.when(n == 0, F.lit(0.0)).otherwise(1 - F.levenshtein(x, y) / n)
+    most = F.floor((1 - least) * n + 1e-9).cast("int")
+    # one edit over the bound is -1, which is above 1 here and so out of range
+    near = 1 - F.call_function("levenshtein", x, y, most) / n
+    empty = F.lit(0.0 if least <= 0 else None).cast("double")
+    return F.when(n == 0, empty).when(F.abs(F.length(x) - F.length(y)) <= most, F.when(near.between(least, 1.0), near))
 
 
 def kana_ratio(text: Column) -> Column:

@@ -43,7 +43,8 @@ def sessions(df: DataFrame, key: str, order: str, text: str, similarity: Callabl
     """
     w = Window.partitionBy(key).orderBy(order)
     before = F.lag(text).over(w)
-    joined = (before != "") & (F.col(text) != "") & (similarity(before, F.col(text)) >= least)
+    like = F.coalesce(similarity(before, F.col(text)) >= least, F.lit(False))
+    joined = (before != "") & (F.col(text) != "") & like
     runs = islands(df, key, [order], ~joined)
     mid = F.bround((F.min(order) + F.max(order)) / 2.0, 2)
     return runs.groupBy(key, "island").agg(

@@ -6,6 +6,7 @@ All queries read whole tables.  Computed doubles are rounded on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -298,9 +299,9 @@ _PAIRS = f"""
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
-    left = c.where("role = 'user'").select("conv_id", F.col("turn").alias("l_turn"), F.col("text").alias("l_text"))
-    right = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("r_turn"), F.col("text").alias("r_text"))
-    return sequences.windowed_pairs(left, right, "conv_id", "turn", 2, T.edit_similarity(F.col("l_text"), F.col("r_text")))
+    left = c.where("role = 'user'").select("conv_id", F.col("turn").alias("l_turn"), T.norm_text(F.col("text")).alias("l_text"))
+    right = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("r_turn"), T.norm_text(F.col("text")).alias("r_text"))
+    return sequences.windowed_pairs(left, right, "conv_id", "turn", 2, T.normed_similarity(F.col("l_text"), F.col("r_text"), 0.0))
 
 
 @query(f"SELECT conv_id, l_turn, r_turn, round(similarity, 6) AS similarity FROM ({_PAIRS})")
@@ -349,7 +350,7 @@ def verdict_histogram(spark: SparkSession, d: str) -> DataFrame:
     FROM i GROUP BY conv_id, island
 """)
 def similarity_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.sessions(read(spark, d, "conversations"), "conv_id", "turn", "text", T.edit_similarity, 0.3).drop("island")
+    return sequences.sessions(read(spark, d, "conversations"), "conv_id", "turn", "text", partial(T.edit_similarity, least=0.3), 0.3).drop("island")
 
 
 # --- sequences ---------------------------------------------------------------------------------------------------

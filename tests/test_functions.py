@@ -75,6 +75,12 @@ def test_edit_similarity_and_relations(spark):
     rows = [("abc", "abc!"), ("ab", "wxyz"), ("", "a"), ("A", "a"), ("blue ring", "blue bolt"), ("在年前的今天", "在15年前的今天")]
     got = column(spark, rows, T.edit_similarity(F.col("a"), F.col("b")), "a string, b string")
     assert got == pytest.approx([1.0, -1.0, 0.0, 0.0, 0.5, 0.6667], abs=1e-4)
+    words = ["", "a", "abcd", "abce", "xbcd", "abcdefgh", "abxdefgh", "hgfedcba", "同文字数", "同文字数多い"]
+    rows = [(a, b) for a in words for b in words]
+    full = column(spark, rows, T.edit_similarity(F.col("a"), F.col("b")), "a string, b string")
+    for least in (0.0, 0.3, 0.75, 1.0):
+        got = column(spark, rows, T.edit_similarity(F.col("a"), F.col("b"), least), "a string, b string")
+        assert got == [s if s >= least else None for s in full]
     rows = [("abc", "abc"), ("ace", "abcde"), ("abcde", "ace"), ("abc", "xyz"), ("", "a")]
     assert column(spark, rows, T.diff_relation(F.col("a"), F.col("b")), "a string, b string") == ["same", "add", "del", "diff", ""]
     assert column(spark, [("ac", "abc"), ("ca", "abc"), ("", "x"), ("aa", "a")], T.is_subsequence(F.col("a"), F.col("b")), "a string, b string") == [True, False, True, False]
