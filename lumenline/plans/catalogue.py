@@ -344,13 +344,13 @@ def verdict_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     WITH l AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
-    s AS (SELECT conv_id, turn, text, CASE WHEN before IS NOT NULL AND before <> '' AND text <> '' AND {_sql_edit('before', 'text')} >= 0.3 THEN 0 ELSE 1 END AS start FROM l),
+    s AS (SELECT conv_id, turn, text, CASE WHEN before IS NOT NULL AND before <> '' AND text <> '' AND {_sql_edit('before', 'text')} >= 0.1 THEN 0 ELSE 1 END AS start FROM l),
     i AS (SELECT *, sum(start) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM s)
     SELECT conv_id, min(turn) AS t0, max(turn) AS t1, round_even((min(turn) + max(turn)) / 2.0, 2)::DOUBLE AS mid, count(*) AS n_points, count(*) FILTER (WHERE text <> '') AS n_read
     FROM i GROUP BY conv_id, island
 """)
 def similarity_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.sessions(read(spark, d, "conversations"), "conv_id", "turn", "text", partial(T.edit_similarity, least=0.3), 0.3).drop("island")
+    return sequences.sessions(read(spark, d, "conversations"), "conv_id", "turn", "text", partial(T.edit_similarity, least=0.1), 0.1).drop("island")
 
 
 # --- sequences ---------------------------------------------------------------------------------------------------
