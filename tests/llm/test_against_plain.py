@@ -324,3 +324,30 @@ def test_op9_pages_of_another_make(spark):
     wanted = sum(p in got[i] for i, _, _, ps in made for p in ps)
     others = sum(x in got[i] for i, *_ in made for x in ("Home", "News", "Contact", "Nice post, thanks!", "Copyright 2020 Example. All rights reserved."))
     assert wanted >= 0.95 * sum(len(ps) for *_, ps in made) and others <= 0.05 * 5 * len(made)
+
+
+def test_window_fingerprints_with_repeats():
+    """Sums over overlapping windows are the fingerprints of the windows on their own, whatever repeats in them."""
+    rng = random.Random(5)
+    for _ in range(40):
+        words = [rng.choice("abc") if rng.random() < 0.7 else f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 90))]
+        words += ["so"] * rng.choice((0, 0, 30)) + words[:20]
+        length = rng.randrange(1, len(words) + 1)
+        starts = sorted({rng.randrange(len(words) - length + 1) for _ in range(25)})
+        got = list(decontamination.Benchmark._prints(words, length, starts))
+        assert got == [(s, decontamination.simhash(decontamination.shingles(words[s : s + length]))) for s in starts]
+
+
+def test_radius_finds_similar_windows_of_any_weights():
+    """Windows of similarity 0.8 lie within the radius, also where one shingle has a tenth of the weight."""
+    rng = random.Random(6)
+    for reps in (0, 8, 16, 40):
+        for n in range(40):
+            common = [f"w{rng.randrange(10**6)}" for _ in range(9 * reps + 50)]
+            changed = 1 + len(common) // 55
+            item = common + ["so"] * reps
+            text = [f"z{n}" if i % 55 == 25 and i // 55 < changed and not reps else w for i, w in enumerate(common)] + ["no"] * reps
+            looked_for = decontamination.Benchmark([(1, " ".join(item))])
+            similarity = decontamination.weighted_similarity(Counter(decontamination.shingles(item)), Counter(decontamination.shingles(text)))
+            assert similarity >= 0.8
+            assert [r[0] for r in looked_for.scan(" ".join(text))] == [1]
