@@ -88,3 +88,11 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
     finally:
         _SCRATCH.reset(token)
         _delete(spark, set(names))
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a string's UTF-8 bytes: bit by bit, as DuckDB has no such function."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT"
+    bits = f"flatten(list_transform(range(octet_length(encode({text}))), lambda i: list_transform(range(8), lambda k: ({byte} >> k) & 1)))"
+    step = "lambda c, b: xor(c >> 1, CASE WHEN (c & 1) <> b THEN 3988292384::BIGINT ELSE 0::BIGINT END)"
+    return f"xor(list_reduce({bits}, {step}, 4294967295::BIGINT), 4294967295::BIGINT)"

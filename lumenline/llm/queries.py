@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenline.llm import bpe, decontamination, fingerprints, html_extraction, language_model, license_scan, line_dedup, quality, simhash, token_counts
+from lumenline.llm import bpe, decontamination, fingerprints, html_extraction, language_model, license_scan, line_dedup, quality, resampling, simhash, token_counts
 from lumenline.llm.common import shared_folder, table, text_or_empty
 
 
@@ -93,6 +93,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document towards the benchmark's words, and the rank of those drawn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf_dir, "benchmark").select("text"), "doc_id", "text")
+
+
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_bpe_encoding": op2_bpe_encoding,
@@ -104,7 +110,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.oracle_sql(),
+    "op13_importance_resampling": resampling.oracle_sql(),
 }
