@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenline.llm import bpe, decontamination, fingerprints, html_extraction, language_model, license_scan, line_dedup, quality, resampling, simhash, token_counts
+from lumenline.llm import bpe, decontamination, fingerprints, html_extraction, language_model, license_scan, line_dedup, quality, resampling, simhash, token_counts, topk
 from lumenline.llm.common import shared_folder, table, text_or_empty
 
 
@@ -93,6 +93,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest integer inner products of every hundredth vector with all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised("embedding").alias("v"))
+    return topk.search(vectors, "vec_id", "v", F.col("id") % 100 == 0)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight and score of every document towards the benchmark's words, and the rank of those drawn."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -110,9 +116,11 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
+    "op12_exact_topk": op12_exact_topk,
     "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.oracle_sql(),
+    "op12_exact_topk": topk.oracle_sql(),
     "op13_importance_resampling": resampling.oracle_sql(),
 }
