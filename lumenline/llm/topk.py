@@ -38,6 +38,8 @@ from lumenline.llm.common import written
 
 #: Runs that the components are cut into.
 LISTS = 2
+#: Entries that a task sends of a list, times k: more give a higher cutoff.
+DEPTH = 4
 #: Bytes of the vectors of a block of queries.
 BLOCK_BYTES = 32_000_000
 #: Rows and queries whose scores are in memory at a time.
@@ -195,7 +197,7 @@ def search(vectors: DataFrame, id_column: str, vector: str, asks, k: int = 10, c
     top = k + 1  # a query's own class may be there for the query alone
     for part in _blocks(asking, size["n"], size["w"]):
         first = spark.sparkContext.broadcast(Block(part))
-        cut = {r["q"]: r["cutoff"] for r in cutoffs(local_lists(found, first, top), top).collect()}
+        cut = {r["q"]: r["cutoff"] for r in cutoffs(local_lists(found, first, DEPTH * top), top).collect()}
         second = spark.sparkContext.broadcast(Block(part, cut))
         best.append(written(sufficient(found, second, counter), "reached"))
         first.destroy()
