@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenline.llm import bpe, decontamination, fingerprints, html_extraction, language_model, license_scan, line_dedup, quality, resampling, simhash, token_counts, topk
+from lumenline.llm import bpe, conversations, decontamination, fingerprints, html_extraction, language_model, license_scan, line_dedup, quality, resampling, simhash, token_counts, topk
 from lumenline.llm.common import shared_folder, table, text_or_empty
 
 
@@ -93,6 +93,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair, and a digest of the repaired rows."""
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    found = conversations.repair(rows, "conv_id", "turn", "role", "text", ~F.col("dropped"))
+    lines = F.array_join(F.transform("repaired", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\n")
+    return found.withColumn("repaired_sha256", F.sha2(lines, 256)).drop("repaired")
+
+
 def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest integer inner products of every hundredth vector with all others."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised("embedding").alias("v"))
@@ -116,11 +124,13 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_exact_topk": op12_exact_topk,
     "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.oracle_sql(),
+    "op11_conversation_repair": conversations.oracle_sql(),
     "op12_exact_topk": topk.oracle_sql(),
     "op13_importance_resampling": resampling.oracle_sql(),
 }
