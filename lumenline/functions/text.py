@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Longest query of the bit-parallel score: two more bits keep its sums below the sign.
-MAX_BITS = 62
+#: Bits of a bit vector that are in one number: two more keep its sums below the sign.  Longer texts take several.
+BITS = 62
 #: Marks claimed characters; it can't stand in a query word.
 CLAIMED = "\0"
 
@@ -29,31 +29,61 @@ def query_words(query: str) -> list[str] | None:
     return re.sub("%20", " ", low).split()
 
 
-def _masks(query: str) -> dict[str, int]:
+def _masks(query: str, begin: int = 0) -> dict[str, int]:
     out: dict[str, int] = {}
-    for i, c in enumerate(query):
+    for i, c in enumerate(query[begin : begin + BITS]):
         out[c] = out.get(c, 0) | 1 << i
     return out
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it stands in the expression."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _long(x: int | Column) -> Column:
+    return (F.lit(x) if isinstance(x, int) else x).cast("long")
+
+
 def _lcs_step(v: Column, m: Column, full: Column) -> Column:
     both = v.bitwiseAND(m)
     return (v + both).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full)
 
 
+def _lcs_words(vector: Column, masks: Column) -> Column:
+    """One step of a bit vector in several numbers, lowest first; each hands its carry to the next."""
+    none = F.struct(_long(0).alias("carry"), F.array().cast("array<bigint>").alias("v"))
+    full = _long((1 << BITS) - 1)
+
+    def word(s: Column, x: Column) -> Column:
+        total = x["v"] + x["v"].bitwiseAND(x["m"]) + s["carry"]
+        left = total.bitwiseOR(x["v"].bitwiseAND(F.bitwise_not(x["m"]))).bitwiseAND(full)
+        return F.struct(F.shiftright(total, BITS).alias("carry"), F.array_append(s["v"], left).alias("v"))
+
+    return F.aggregate(F.zip_with(vector, masks, lambda v, m: F.struct(v.alias("v"), m.alias("m"))), none, word, lambda s: s["v"])
+
+
+def _cleared(vector: Column) -> Column:
+    """Bits that are no more set.  Bits beyond a text's end stay set, as no mask has them."""
+    return F.aggregate(vector, F.lit(0), lambda n, v: n + BITS - F.bit_count(v))
+
+
 def lcs_length(query: str, text: Column) -> Column:
-    """Length of the longest common subsequence with a literal, by one bit vector over its characters."""
-    if len(query) > MAX_BITS:
-        raise ValueError(f"the query has over {MAX_BITS} characters")
+    """Length of the longest common subsequence with a literal, by a bit vector over the literal's characters."""
     if not query:
         return F.lit(0)
-    full = F.lit((1 << len(query)) - 1).cast("long")
-    table = F.create_map(*(F.lit(x) for c, m in _masks(query).items() for x in (c, m)))
     # characters that the query lacks change nothing, so all that are left have a mask
     own = F.regexp_replace(text, f"[^{_class(query)}]+", "")
     chars = F.when(own == "", F.array().cast("array<string>")).otherwise(F.split(own, ""))
-    left = F.aggregate(F.transform(chars, lambda c: F.element_at(table, c).cast("long")), full, lambda v, m: _lcs_step(v, m, full))
-    return F.lit(len(query)) - F.bit_count(left)
+    if len(query) <= BITS:
+        full = _long((1 << len(query)) - 1)
+        table = F.create_map(*(F.lit(x) for c, m in _masks(query).items() for x in (c, m)))
+        left = F.aggregate(F.transform(chars, lambda c: F.element_at(table, c).cast("long")), full, lambda v, m: _lcs_step(v, m, full))
+        return F.lit(len(query)) - F.bit_count(left)
+    words = [_masks(query, i) for i in range(0, len(query), BITS)]
+    table = F.create_map(*(x for c in dict.fromkeys(query) for x in (F.lit(c), F.array(*(_long(w.get(c, 0)) for w in words)))))
+    start = F.array(*(_long((1 << BITS) - 1) for _ in words))
+    return _cleared(F.aggregate(chars, start, lambda v, c: _lcs_words(v, F.element_at(table, c))))
 
 
 def _class(chars: str) -> str:
@@ -67,26 +97,38 @@ def lcs_ratio(query: str, text: Column) -> Column:
     if not q:
         return F.lit(0.0)
     low = F.lower(text)
-    # whole query in order: one pass without backtracking, and no fold
-    whole = low.rlike("^" + "".join(f"[^{_class(c)}]*+[{_class(c)}]" for c in q))
-    return F.when(F.length(text) == 0, F.lit(0.0)).when(whole, F.lit(100.0)).otherwise(lcs_length(q, low) * 100.0 / len(q))
+    score = F.when(F.length(text) == 0, F.lit(0.0))
+    if len(q) <= BITS:  # whole query in order: one pass without backtracking, and no fold
+        score = score.when(low.rlike("^" + "".join(f"[^{_class(c)}]*+[{_class(c)}]" for c in q)), F.lit(100.0))
+    return score.otherwise(lcs_length(q, low) * 100.0 / len(q))
 
 
-def lcs_columns(a: Column, b: Column) -> Column:
-    """Share of ``a`` (case kept) that is a subsequence of ``b``; 0 where either is empty.
+def _lcs_of_columns(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts that are not empty.
 
-    An ``a`` of over 62 characters raises, as its bits have no place in a number.
+    The masks of ``a``'s distinct characters are worked out once a row; each character of ``b`` that is one of them is a step.
     """
+
+    def masks(chars: Column, c: Column) -> Column:
+        word = lambda i: F.aggregate(
+            F.transform(F.slice(chars, i * BITS + 1, F.lit(BITS)), lambda x, k: F.when(x == c, F.call_function("shiftleft", _long(1), k)).otherwise(_long(0))),
+            _long(0), lambda s, x: s + x,
+        )
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(chars) - 1) / BITS).cast("int")), word)
+
+    table = lambda chars: F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c.alias("c"), masks(chars, c).alias("m"))))
+    steps = lambda t: F.filter(F.transform(F.split(b, ""), lambda c: F.element_at(t, c)), lambda m: m.isNotNull())
+    start = F.array_repeat(_long((1 << BITS) - 1), F.ceil(F.length(a) / BITS).cast("int"))
+    one = lambda m: F.aggregate(m, _long((1 << BITS) - 1), lambda v, x: _lcs_step(v, F.get(x, 0), _long((1 << BITS) - 1)))
+    short = lambda t: BITS - F.bit_count(one(steps(t)))
+    many = lambda t: _cleared(F.aggregate(steps(t), start, _lcs_words))
+    return _let(table(F.split(a, "")), lambda t: F.when(F.length(a) <= BITS, short(t)).otherwise(many(t)))
+
+
+def lcs_columns(a: Column, b: Column) -> Column:
+    """Share of ``a`` (case kept) that is a subsequence of ``b``; 0 where either is empty."""
     n = F.length(a)
-    chars = F.split(a, "")
-    full = F.shiftleft(F.lit(1).cast("long"), 1) * 0 + (F.pow(F.lit(2.0), n).cast("long") - 1)
-    power = lambda i: F.pow(F.lit(2.0), i).cast("long")
-    mask = lambda c: F.aggregate(
-        F.transform(chars, lambda x, i: F.when(x == c, power(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x
-    )
-    left = F.aggregate(F.split(b, ""), full, lambda v, c: _lcs_step(v, mask(c), full))
-    long = F.raise_error(F.lit(f"a text of over {MAX_BITS} characters")).cast("double")
-    return F.when((n == 0) | (F.length(b) == 0), F.lit(0.0)).when(n > MAX_BITS, long).otherwise((n - F.bit_count(left)) / n)
+    return F.when((n == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(_lcs_of_columns(a, b) / n)
 
 
 def multiword_ratio(words: list[str], text: Column) -> Column:

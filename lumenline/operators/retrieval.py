@@ -35,21 +35,22 @@ def search(
 ) -> DataFrame:
     """Rows that match ``query``, best first, with match_ratio and exact_match.
 
-    The similarity filter reaches the scan (a null similarity passes limits up to 0 only); then a bound by length alone; then
+    The similarity filter reaches the scan (a null similarity passes limits up to 0 only, NaN none); then a bound by length alone; then
     the score, taken once a row: it leaves an array of one, so that the optimizer can't repeat it in the filter.  One word is scored by its
     longest common subsequence, several by the characters they claim.  Ties keep the order of ``order``, so pages are
-    stable.  A blank query matches nothing.  Limits default to 50 and 0; 0 is a limit like any other.
+    stable.  A blank query matches nothing.  Limits that are missing or not finite are 50 and 0; 0 is a limit like any other.
     """
-    ratio_limit = 50.0 if min_ratio is None else float(min_ratio)
-    similarity_limit = 0.0 if min_similarity is None else float(min_similarity)
+    ratio_limit = float(min_ratio) if min_ratio is not None and math.isfinite(min_ratio) else 50.0
+    similarity_limit = float(min_similarity) if min_similarity is not None and math.isfinite(min_similarity) else 0.0
     query = query.strip()
     words = T.query_words(query)
     if not query or words == []:
         found = df.where(F.lit(False)).withColumn("match_ratio", F.lit(0.0)).withColumn("exact_match", F.lit(0))
     else:
         # a whole limit is compared as a whole number, so that a whole column is not cast and the filter reaches the scan
-        whole = math.isfinite(similarity_limit) and similarity_limit.is_integer()
-        enough = F.col(similarity) >= (int(similarity_limit) if whole else similarity_limit)
+        enough = F.col(similarity) >= (int(similarity_limit) if similarity_limit.is_integer() else similarity_limit)
+        if df.schema[similarity].dataType.typeName() in ("double", "float"):
+            enough = enough & ~F.isnan(similarity)
         base = df.where(enough | F.col(similarity).isNull() if similarity_limit <= 0 else enough)
         if words is None:
             q = query.lower()

@@ -41,11 +41,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- SQL building blocks -----------------------------------------------------------------------------------------
 
 
-def _sql_lcs(q: str, text: str) -> str:
+def _sql_lcs(q: str, text: str, kind: str = "BIGINT") -> str:
     full = (1 << len(q)) - 1
     case = " ".join(f"WHEN '{c}' THEN {sum(1 << i for i, x in enumerate(q) if x == c)}" for c in dict.fromkeys(q))
-    masks = f"list_transform(string_split({text}, ''), lambda c: (CASE c {case} ELSE 0 END)::BIGINT)"
-    return f"({len(q)} - bit_count(list_reduce(list_prepend({full}::BIGINT, {masks}), lambda v, m: ((v + (v & m)) | (v & (~m))) & {full}::BIGINT)))"
+    masks = f"list_transform(string_split({text}, ''), lambda c: (CASE c {case} ELSE 0 END)::{kind})"
+    return f"({len(q)} - bit_count(list_reduce(list_prepend({full}::{kind}, {masks}), lambda v, m: ((v + (v & m)) | (v & (~m))) & {full}::{kind})))"
 
 
 def _sql_lcs_columns(a: str, b: str) -> str:
@@ -111,6 +111,20 @@ def fuzzy_search_boosted(spark: SparkSession, d: str) -> DataFrame:
     return _shown(retrieval.search(lines, NEEDLE, text="text", order=("doc_id",), flag="d", flag_first=True, page=0))
 
 
+#: Over 62 characters, so its bits are in two numbers here and in one of 128 bits in SQL; without spaces it is one word.
+LONG_NEEDLE = "thereforetheinternationaltransformationofinformationandcommunicationsystems"
+
+
+@query(f"""
+    WITH s AS (SELECT conv_id, turn, text, CASE WHEN text = '' THEN 0.0 ELSE {_sql_lcs(LONG_NEEDLE, "lower(text)", "HUGEINT")} * 100.0 / {len(LONG_NEEDLE)} END AS ratio FROM conversations)
+    SELECT conv_id, turn, round(ratio, 6) AS match_ratio, contains(lower(text), '{LONG_NEEDLE}')::INT AS exact_match FROM s WHERE ratio >= 60
+""")
+def fuzzy_search_long(spark: SparkSession, d: str) -> DataFrame:
+    turns = read(spark, d, "conversations").withColumn("s", F.lit(1.0))
+    found = retrieval.search(turns, LONG_NEEDLE, text="text", order=("conv_id", "turn"), min_ratio=60)
+    return found.select("conv_id", "turn", F.round("match_ratio", 6).alias("match_ratio"), "exact_match")
+
+
 @query("""
     WITH a AS (SELECT conv_id, turn, lower(text) AS t FROM conversations),
     b AS (SELECT *, instr(t, 'tion') AS p FROM a),
@@ -555,6 +569,23 @@ def column_lcs_ratio(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", F.round(T.lcs_columns(F.lower("p_name"), F.lower("p_type")), 6).alias("ratio"))
 
 
+@query("""
+    WITH RECURSIVE p AS (SELECT a.item_id, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE a.text <> ''),
+    w AS (
+      SELECT item_id, x, y, 0 AS k, j, 0 AS v FROM (SELECT *, unnest(range(1, length(x) + 1)) AS j FROM p)
+      UNION ALL
+      SELECT item_id, x, y, k + 1, j, max(c) OVER (PARTITION BY item_id ORDER BY j) FROM (
+        SELECT *, greatest(v, lag(v, 1, 0) OVER (PARTITION BY item_id ORDER BY j) + (substr(x, j::INT, 1) = substr(y, k + 1, 1))::INT) AS c FROM w WHERE k < length(y))
+    )
+    SELECT item_id, round(max(v) FILTER (WHERE k = length(y))::DOUBLE / any_value(length(x)), 6) AS ratio FROM w GROUP BY item_id
+""")
+def long_text_lcs_ratio(spark: SparkSession, d: str) -> DataFrame:
+    items = read(spark, d, "benchmark").select("item_id", "text")
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("after"))
+    pairs = items.where("text <> ''").join(after, "item_id")
+    return pairs.select("item_id", F.round(T.lcs_columns(F.col("text"), F.col("after")), 6).alias("ratio"))
+
+
 @query(f"""
     WITH t AS (SELECT p_brand, list_sort(list_distinct(list(p_name))) AS names FROM part GROUP BY p_brand),
     c AS (SELECT p_brand, list_reduce(list_transform(names, lambda t: {{'reps': [t], 'ns': [1]}}), lambda s, x:

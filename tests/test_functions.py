@@ -53,9 +53,17 @@ def test_lcs_random(spark):
     assert got == pytest.approx([lcs(a, b) / len(a) if a and b else 0.0 for a, b in pairs])
 
 
-def test_query_over_the_limit():
-    with pytest.raises(ValueError):
-        T.lcs_length("a" * 63, None)
+def test_lcs_of_any_length(spark):
+    rng = random.Random(6)
+    made = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    pairs = [(made(n, "abcdé日😀"), made(m, "abcdxé日😀")) for n in (0, 1, 61, 62, 63, 124, 125, 200) for m in (0, 1, 62, 63, 300)]
+    pairs += [("a" * 200, "a" * 130), ("a" * 63, "b" * 63), (made(5000, "abcdefgh"), made(2000, "abcdefgh"))]
+    got = column(spark, pairs, T.lcs_columns(F.col("a"), F.col("b")), "a string, b string")
+    assert got == pytest.approx([lcs(a, b) / len(a) if a and b else 0.0 for a, b in pairs])
+    for n in (62, 63, 200, 5000):
+        q = made(n, "abcdé")
+        texts = [b for _, b in pairs[:40]] + [q, q[:100] + "zz" + q[100:]]
+        assert column(spark, [(t,) for t in texts], T.lcs_ratio(q, F.col("t")), "t string") == pytest.approx([lcs(q, t) * 100 / n for t in texts])
 
 
 def test_multiword(spark):

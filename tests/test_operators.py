@@ -26,6 +26,14 @@ def test_search_orders_and_limits(spark):
     assert [r.ord for r in retrieval.search(df, "ring", flag="d", flag_only=True, min_ratio=0).collect()] == [1, 4]
 
 
+def test_limits_that_are_not_finite(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(0, "ring", 0.5), (1, "rixx", nan), (2, "rixx", None), (3, "rxxx", 0.5), (4, "ring", inf)], "ord long, x string, s double")
+    found = lambda **limits: [r.ord for r in retrieval.search(df, "ring", **limits).collect()]
+    assert found() == found(min_ratio=nan) == found(min_similarity=inf, min_ratio=-inf) == [0, 4, 2]
+    assert found(min_ratio=0, min_similarity=-5) == [0, 4, 2, 3] and found(min_ratio=0.0, min_similarity=0.5) == [0, 4, 3]
+
+
 def test_nearest_offset_prefers_order(spark):
     left = spark.createDataFrame([(1, "a", 10), (2, "a", 50), (3, "a", 0), (4, "a", 99)], "row int, ep string, sec int")
     right = spark.createDataFrame([("a", 9, "m1"), ("a", 11, "p1"), ("a", 47, "m3"), ("a", 1, "x"), ("a", 1, "y"), ("a", 95, "far")], "ep string, sec int, f string")
