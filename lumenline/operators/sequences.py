@@ -2,75 +2,141 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenline.operators.ordered import AT, BLOCK, SPANS, dealt, pinned, plain, running
 
-def drop_consecutive(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+
+def drop_consecutive(df: DataFrame, key: str, order: list[str], value: str, blocks: int | None = None) -> DataFrame:
     """Rows whose value differs from the row before (equal to the last kept one: dropped rows equal it)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    before = F.lag(value).over(w)
-    return df.withColumn("_b", before).withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | ~F.col("_b").eqNullSafe(F.col(value))).drop("_b", "_n")
+    rows = dealt(df, key, order, {"_b": F.col(value)}, blocks)
+    return plain(rows.where((F.col(AT) == 1) | ~F.col("_b").eqNullSafe(F.col(value)))).drop("_b")
+
+
+def before(df: DataFrame, key: str, order: list[str], value: str, name: str, blocks: int | None = None) -> DataFrame:
+    """``df`` with ``name``: ``value`` of the key's row before, null for its first."""
+    return plain(dealt(df, key, order, {name: F.col(value)}, blocks))
 
 
-def islands(df: DataFrame, key: str, order: list[str], starts: Column, name: str = "island") -> DataFrame:
-    """Numbers the runs of a key; a run starts where ``starts`` is true (it may use lag over the same window)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_s", F.when(F.coalesce(starts, F.lit(True)), 1).otherwise(0)).withColumn(name, F.sum("_s").over(w)).drop("_s")
+def islands(df: DataFrame, key: str, order: list[str], starts: Callable[..., Column], last: dict[str, Column], name: str = "island", blocks: int | None = None) -> DataFrame:
+    """Numbers the runs of a key; a run starts where ``starts`` is not false, a function of the columns of ``last`` in the row before."""
+    held = {f"_b{i}": value for i, value in enumerate(last.values())}
+    rows = dealt(df, key, order, held, blocks)
+    start = F.when((F.col(AT) == 1) | F.coalesce(starts(*map(F.col, held)), F.lit(True)), 1).otherwise(0)
+    return plain(running(rows, key, start, name)).drop(*held)
 
 
-def merge_runs(df: DataFrame, key: str, at: str, value: str, score: str, tie: str, step: int = 1) -> DataFrame:
+def merge_runs(df: DataFrame, key: str, at: str, value: str, score: str, tie: str, step: int = 1, blocks: int | None = None) -> DataFrame:
     """One row a run of equal values at most ``step`` apart: its bounds, size, and the row with the highest score.
 
     Of rows with that score the first by ``at`` and ``tie`` counts.
     """
-    w = Window.partitionBy(key).orderBy(at, tie)
-    starts = ~((F.lag(value).over(w) == F.col(value)) & (F.col(at) - F.lag(at).over(w) <= step))
-    runs = islands(df, key, [at, tie], starts)
+    starts = lambda v, t: ~((v == F.col(value)) & (F.col(at) - t <= step))
+    runs = islands(df, key, [at, tie], starts, {"value": F.col(value), "at": F.col(at)}, blocks=blocks)
     best = F.min(F.struct((-F.col(score)).alias("s"), F.col(at).alias("a"), F.col(tie).alias("t")))
     out = runs.groupBy(key, "island").agg(F.first(value).alias(value), F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"), best.alias("b"))
     return out.select(key, "island", value, "first", "last", "n", F.col("b.a").alias("best_at"), (-F.col("b.s")).alias("best_score"))
 
 
-def sessions(df: DataFrame, key: str, order: str, text: str, similarity: Callable[[Column, Column], Column], least: float = 0.8) -> DataFrame:
+def sessions(
+    df: DataFrame, key: str, order: str, text: str, similarity: Callable[[Column, Column], Column], least: float = 0.8, blocks: int | None = None
+) -> DataFrame:
     """One row a session: rows whose text is like the row before; an empty text on either side breaks it.
 
     Bounds, their mean (half to even, two digits), rows, and rows with text.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    before = F.lag(text).over(w)
-    like = F.coalesce(similarity(before, F.col(text)) >= least, F.lit(False))
-    joined = (before != "") & (F.col(text) != "") & like
-    runs = islands(df, key, [order], ~joined)
+    goes_on = lambda b: (b != "") & (F.col(text) != "") & F.coalesce(similarity(b, F.col(text)) >= least, F.lit(False))
+    runs = islands(df, key, [order], lambda b: ~goes_on(b), {"text": F.col(text)}, blocks=blocks)
     mid = F.bround((F.min(order) + F.max(order)) / 2.0, 2)
     return runs.groupBy(key, "island").agg(
         F.min(order).alias("t0"), F.max(order).alias("t1"), mid.alias("mid"), F.count("*").alias("n_points"), F.count_if(F.col(text) != "").alias("n_read")
     )
 
 
-def debounced(df: DataFrame, key: str, order: str, value: str, active: Column, least: float, gap: int) -> DataFrame:
+def _chains(flags: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that could fire, and for each the last place of the chain that begins there."""
+    places = np.flatnonzero(flags)
+    follow = np.searchsorted(places, places + max(1, gap))
+    last = places.copy()
+    for i in range(len(places) - 1, -1, -1):
+        if follow[i] < len(places):
+            last[i] = last[follow[i]]
+    return places, last
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of sorted batches, a key's part of a block at a time (column 0 numbers the rows of each from 1)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        cuts = [0, *np.flatnonzero(b.column(0).to_numpy() == 1).tolist(), b.num_rows]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            if end > begin:
+                if held and b.column(0)[begin].as_py() == 1:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(b.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def debounced(df: DataFrame, key: str, order: str, value: str, active: Column, least: float, gap: int, blocks: int | None = None) -> DataFrame:
     """Rows that fire: value differs from the row before by over ``least``, ``gap`` rows after the last that fired, active.
 
-    The row before is always the last one scanned, fired or not.  The state is folded over a key's ordered rows, so a key
-    must fit a task; split endless ones by period first.
+    The row before is always the last one scanned, fired or not.  What happens in a block hangs on the past only by how many
+    of its first rows are still too close to the last that fired, fewer than ``gap``.  So a first pass tells, for the places of a
+    block where a chain can begin, where it ends; these small tables are folded over a key's blocks, and a second pass fires.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"), active.alias("on"))))
-    none = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(None).cast("double").alias("prev"), F.lit(-(10**9)).cast("long").alias("last"), F.lit(0).cast("long").alias("n"), none.alias("fired"))
+    rows = dealt(df, key, [order], {"_b": F.col(value).cast("double")}, blocks)
+    on = (F.col("_b").isNull() | (F.abs(F.col(value) - F.col("_b")) > least)) & active
+    local = F.row_number().over(Window.partitionBy(key, BLOCK).orderBy(AT))
+    flagged = pinned(rows.select(F.col(key), F.col(order), BLOCK, AT, SPANS, F.coalesce(on, F.lit(False)).alias("_on")))
+    placed = flagged.withColumn("_n", local).select("_n", "_on", BLOCK, SPANS, F.col(key), F.col(order))
+    kind = flagged.schema[key].dataType.simpleString()
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            places, last = _chains(part["_on"].to_numpy(), gap)
+            near = int(np.searchsorted(places, gap)) + 1  # those that a chain can begin at, whatever came before
+            made = pa.array([{"n": part.num_rows, "places": places[:near].tolist(), "last": last[:near].tolist()}], TABLE)
+            yield pa.RecordBatch.from_arrays([part.column(4).combine_chunks().slice(0, 1), part[BLOCK].combine_chunks().slice(0, 1), made], names=["k", "b", "t"])
+
+    edges = placed.where(SPANS).sortWithinPartitions(key, BLOCK, "_n").mapInArrow(tables, f"k {kind}, b int, t struct<n:bigint,places:array<bigint>,last:array<bigint>>")
 
     def step(s: Column, x: Column) -> Column:
-        diff = F.when(s["prev"].isNull(), F.lit(float("inf"))).otherwise(F.abs(x["v"] - s["prev"]))
-        fire = (diff > least) & (s["n"] - s["last"] >= gap) & x["on"]
-        return F.struct(
-            x["v"].alias("prev"), F.when(fire, s["n"]).otherwise(s["last"]).alias("last"), (s["n"] + 1).alias("n"),
-            F.when(fire, F.array_append(s["fired"], x["o"].cast("long"))).otherwise(s["fired"]).alias("fired"),
-        )
+        hit = F.get(F.filter(F.zip_with(x["t"]["places"], x["t"]["last"], lambda p, e: F.struct(p.alias("p"), e.alias("e"))), lambda c: c["p"] >= s["skip"]), 0)
+        left = F.when(hit.isNotNull(), hit["e"] + gap - x["t"]["n"]).otherwise(s["skip"] - x["t"]["n"])
+        return F.struct(F.greatest(left, F.lit(0).cast("long")).alias("skip"), F.array_append(s["seen"], F.struct(x["b"].alias("b"), s["skip"].alias("skip"))).alias("seen"))
+
+    start = F.struct(F.lit(0).cast("long").alias("skip"), F.array().cast("array<struct<b:int,skip:bigint>>").alias("seen"))
+    folded = edges.groupBy("k").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("b", "t"))), start, step, lambda s: s["seen"]).alias("seen"))
+    skips = F.broadcast(folded.select(F.col("k").alias("_k"), F.inline("seen")))
+    met = placed.join(skips, placed[key].eqNullSafe(F.col("_k")) & (F.col(BLOCK) == F.col("b")), "left")
+    met = met.select("_n", "_on", F.coalesce("skip", F.lit(0)).cast("long").alias("_skip"), F.col(key), F.col(order), BLOCK)
+    met = met.sortWithinPartitions(key, BLOCK, "_n")  # the window has dealt them so already
+
+    def fire(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            flags = part["_on"].to_numpy().copy()
+            flags[: part["_skip"][0].as_py()] = False
+            places, hits, at = np.flatnonzero(flags), [], 0
+            while at < len(places):
+                hits.append(int(places[at]))
+                at = int(np.searchsorted(places, places[at] + max(1, gap)))
+            yield from part.select([key, order]).take(pa.array(hits, pa.int64())).to_batches()
 
-    return df.groupBy(key).agg(F.aggregate(rows, start, step, lambda s: s["fired"]).alias("f")).select(key, F.explode("f").alias(order))
+    return met.mapInArrow(fire, f"`{key}` {kind}, `{order}` {flagged.schema[order].dataType.simpleString()}")
+
+
+#: What a block tells of a key that goes on in others: its rows, the places where a chain can begin, and where that ends.
+TABLE = pa.struct([("n", pa.int64()), ("places", pa.list_(pa.int64())), ("last", pa.list_(pa.int64()))])
 
 
 def first_passing(
@@ -88,8 +154,9 @@ def first_passing(
 
 def until_first(df: DataFrame, key: str, order: str, hit: Column) -> DataFrame:
     """Each key's rows up to and with the first hit."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_h", F.coalesce(F.max(hit.cast("int")).over(w), F.lit(0))).where("_h = 0").drop("_h")
+    first = df.where(hit).groupBy(F.col(key).alias("_k")).agg(F.min(order).alias("_h"))
+    met = df.join(first, F.col(key).eqNullSafe(F.col("_k")), "left")
+    return met.where(F.col("_h").isNull() | (F.col(order) <= F.col("_h"))).drop("_k", "_h")
 
 
 def leader_clusters(texts: Column, similarity: Callable[[Column, Column], Column], least: float = 0.8, scores: Column | None = None) -> Column:
@@ -123,14 +190,15 @@ def majority_text(clusters: Column, alternatives: int = 3) -> Column:
     return F.struct(F.get(clusters, 0)["rep"].alias("text"), F.get(clusters, 0)["n"].alias("support"), others.alias("alts"))
 
 
-def text_sessions(df: DataFrame, key: str, order: str, texts: str, similarity: Callable[[Column, Column], Column], least: float = 0.8) -> DataFrame:
+def text_sessions(
+    df: DataFrame, key: str, order: str, texts: str, similarity: Callable[[Column, Column], Column], least: float = 0.8, blocks: int | None = None
+) -> DataFrame:
     """One row a session of points with several texts each: a point goes on if any of its texts is like any of the point before.
 
     No texts on either side break it.  Bounds, their mean, points, texts read, and the majority text; sessions without texts go.
     """
-    before = F.lag(texts).over(Window.partitionBy(key).orderBy(order))
-    like = F.array_max(F.flatten(F.transform(texts, lambda a: F.transform(before, lambda b: similarity(a, b)))))
-    runs = islands(df, key, [order], ~((F.size(texts) > 0) & (F.size(before) > 0) & (like >= least)))
+    like = lambda was: F.array_max(F.flatten(F.transform(texts, lambda a: F.transform(was, lambda b: similarity(a, b)))))
+    runs = islands(df, key, [order], lambda was: ~((F.size(texts) > 0) & (F.size(was) > 0) & (like(was) >= least)), {"texts": F.col(texts)}, blocks=blocks)
     read = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(texts).alias("x")))), lambda r: r["x"]))
     out = runs.groupBy(key, "island").agg(
         F.min(order).alias("t0"), F.max(order).alias("t1"), F.bround((F.min(order) + F.max(order)) / 2.0, 2).alias("mid"), F.count("*").alias("n_points"), read.alias("read")
@@ -152,23 +220,62 @@ def windowed_pairs(left: DataFrame, right: DataFrame, key: str, at: str, window:
     return met.withColumn("similarity", score).where("similarity > 0").drop("_b")
 
 
-def greedy_matching(pairs: DataFrame, key: str, i: str, j: str, similarity: str) -> DataFrame:
-    """One-to-one pairs of each key: the most similar first, ties by i then j; each i and j is used once."""
-    fields = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    schema = ", ".join(f"{c} {fields[c]}" for c in (key, i, j, similarity))
+#: Pairs that a task matches at a time.
+MATCH_ROWS = 200_000
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([similarity, i, j], ascending=[False, True, True])
-        used_i, used_j, keep = set(), set(), []
-        for a, b in zip(pdf[i], pdf[j], strict=True):
-            free = a not in used_i and b not in used_j
-            keep.append(free)
-            if free:
-                used_i.add(a)
-                used_j.add(b)
-        return pdf[keep]
 
-    return pairs.select(key, i, j, similarity).groupBy(key).applyInPandas(match, schema)
+def greedy_matching(pairs: DataFrame, key: str, i: str, j: str, similarity: str, rows: int = MATCH_ROWS) -> DataFrame:
+    """One-to-one pairs of each key: the most similar first, ties by i then j; each i and j is used once.
+
+    Pairs are cut into blocks by ranges of (key, i), so all pairs of an i are in one block.  A pair is decided there if no pair
+    that comes first may still take its i or j: of its block these are known, and of other blocks the first pair of each j is.
+    What is left (pairs near the ends of blocks, and those that hang on them) is cut anew, into half as many blocks at most,
+    until nothing is: a single block decides all its pairs.  So rounds are the logarithm of the blocks, even where all pairs
+    tie and each hangs on the one before.
+    """
+    own = pairs.select(F.col(key).alias("k"), F.col(i).alias("i"), F.col(j).alias("j"), F.col(similarity).alias("s"))
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    schema = f"k {kinds['k']}, i {kinds['i']}, j {kinds['j']}, s {kinds['s']}"
+    first = F.struct(F.col("s").isNull().alias("z"), (-F.col("s")).alias("s"), "i", "j")
+    same = lambda a, b, *names: reduce(and_, (a[c].eqNullSafe(b[c]) for c in names))
+    rest, matched, blocks = pinned(own), [], 0
+    while left := rest.count():
+        blocks = max(1, min(-(-left // rows), blocks // 2)) if matched else -(-left // rows)
+        cut = pinned(rest.repartitionByRange(blocks, "k", "i").withColumn("b", F.spark_partition_id()).withColumn("o", first))
+        # of each j in several blocks, the first pair of each block; a block needs the best of the others
+        ahead = cut.groupBy("k", "j", "b").agg(F.min("o").alias("o")).groupBy("k", "j").agg(F.slice(F.array_sort(F.collect_list(F.struct("o", "b"))), 1, 2).alias("two"))
+        shared = ahead.where(F.size("two") > 1)
+        met = cut.join(shared, same(cut, shared, "k", "j"), "left").select(cut["*"], "two")
+        other = F.when(F.col("two")[0]["b"] == F.col("b"), F.col("two")[1]["o"]).otherwise(F.col("two")[0]["o"])
+        met = met.select("b", "k", "i", "j", "s", "o", F.coalesce(other < F.col("o"), F.lit(False)).alias("late"))
+        met = met.repartition(blocks, "b").sortWithinPartitions("b", "k", "o").drop("o")
+
+        def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, used, open_ = (), set(), set()
+            for batch in batches:
+                verdicts = []
+                columns = [batch.column(c).to_pylist() for c in ("b", "k", "i", "j", "late")]
+                for b, k, x, y, late in zip(*columns, strict=True):
+                    if (b, k) != now:
+                        now, used, open_ = (b, k), set(), set()
+                    x, y = (0, x), (1, y)
+                    if x in used or y in used:
+                        verdicts.append(0)
+                    elif late or x in open_ or y in open_:
+                        open_ |= {x, y}
+                        verdicts.append(1)
+                    else:
+                        used |= {x, y}
+                        verdicts.append(2)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k", "i", "j", "s")), pa.array(verdicts, pa.int8())], names=["k", "i", "j", "s", "v"])
+
+        done = pinned(met.mapInArrow(decide, f"{schema}, v byte").where("v > 0"))
+        took = done.where("v = 2").drop("v")
+        matched.append(took)
+        open_pairs, gone = done.where("v = 1").drop("v"), took.select("k", "j")
+        rest = pinned(open_pairs.join(gone, same(open_pairs, gone, "k", "j"), "left_anti"))
+    found = reduce(DataFrame.union, matched) if matched else own
+    return found.select(F.col("k").alias(key), F.col("i").alias(i), F.col("j").alias(j), F.col("s").alias(similarity))
 
 
 def verdict(similarity: Column, kind: Column, support: Column, kana: Column) -> Column:

@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenline.functions import text as T
 from lumenline.functions import vectors as V
@@ -410,8 +409,7 @@ def debounced_trigger(spark: SparkSession, d: str) -> DataFrame:
     SELECT vec_id, round(CASE WHEN b IS NULL THEN 1.0 ELSE list_sum(list_transform(list_zip(e, b), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))) / len(e) END, 5) AS diff FROM l
 """)
 def signature_diff(spark: SparkSession, d: str) -> DataFrame:
-    before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
-    df = read(spark, d, "embeddings").withColumn("b", before)
+    df = sequences.before(read(spark, d, "embeddings"), "label", ["vec_id"], "embedding", "b")
     return df.select("vec_id", F.round(F.when(F.col("b").isNull(), 1.0).otherwise(V.mean_difference(F.col("embedding"), F.col("b"))), 5).alias("diff"))
 
 
@@ -423,7 +421,7 @@ def signature_diff(spark: SparkSession, d: str) -> DataFrame:
 """)
 def iou_dedup(spark: SparkSession, d: str) -> DataFrame:
     df = read(spark, d, "embeddings").select("vec_id", "label", V.sign_bits(F.col("embedding")).alias("bits"))
-    df = df.withColumn("b", F.lag("bits").over(Window.partitionBy("label").orderBy("vec_id")))
+    df = sequences.before(df, "label", ["vec_id"], "bits", "b")
     df = df.withColumn("v", F.when(F.col("b").isNotNull(), V.iou(F.col("bits"), F.col("b"))))
     return df.where("v is null or v < 0.4").select("vec_id", F.round("v", 6).alias("iou"))
 
@@ -464,8 +462,7 @@ def early_exit_window(spark: SparkSession, d: str) -> DataFrame:
 """)
 def hour_runs(spark: SparkSession, d: str) -> DataFrame:
     hours = read(spark, d, "events").select("user_id", F.floor(F.unix_timestamp("ts") / 3600).cast("long").alias("hour")).distinct()
-    gap = F.col("hour") - F.lag("hour").over(Window.partitionBy("user_id").orderBy("hour"))
-    runs = sequences.islands(hours, "user_id", ["hour"], gap > 8)
+    runs = sequences.islands(hours, "user_id", ["hour"], lambda last: F.col("hour") - last > 8, {"hour": F.col("hour")})
     return runs.groupBy("user_id", "island").agg(F.min("hour").alias("first"), F.max("hour").alias("last"), F.count("*").alias("n")).drop("island")
 
 
