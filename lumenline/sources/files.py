@@ -22,9 +22,6 @@ LINE = "timestamp string, similarity double, text string"
 SEARCH = "f string, t string, s double, x string, d int"
 POINT = "fno long, t double, white long, diff double, ocr boolean, segs array<struct<bin string, bin_score double, raw string, raw_score double, y0 int, y1 int, fill long, x0 int, x1 int>>"
 TIMELINE = f"ep string, fps double, step int, paths array<string>, points array<struct<{POINT}>>"
-#: A decoder gives (number, seconds, image) of a video's frames in order; a reader gives one frame at a time in seconds.
-Decoder = Callable[[bytes], Iterator[tuple[int, float, bytes]]]
-FRAME = "path string, fno long, t double, frame binary"
 
 
 def _or_none(read: Callable[[], DataFrame]) -> DataFrame | None:
@@ -155,72 +152,6 @@ def scan_frame_images(spark: SparkSession, folder: str, size: Callable[[bytes],
     return parse_sampled_name(files).withColumn("ok", fits("content"))
 
 
-def _frames(spark: SparkSession, glob: str, of: Callable[[str, bytes], Iterator[tuple[int, float, bytes]]], only: DataFrame | None = None) -> DataFrame:
-    """(path, fno, t, frame) of what ``of`` gives for each video; with ``only`` (path, wanted) of those videos."""
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    files = files if only is None else files.join(only, "path")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                for fno, t, frame in of(*row):
-                    yield pd.DataFrame({"path": [row[0]], "fno": [fno], "t": [t], "frame": [frame]})
-
-    return files.mapInPandas(run, FRAME)
-
-
-def sampled_frames(spark: SparkSession, glob: str, decode: Decoder, every: int) -> DataFrame:
-    """(path, fno, t, frame): each ``every``-th frame of each video, by the user's decoder, one pass, no seeks."""
-    return _frames(spark, glob, lambda _, content: (f for f in decode(content) if f[0] % every == 0))
-
-
-def frames_at_rate(
-    spark: SparkSession, glob: str, rate: Callable[[bytes], float], decode: Callable[[bytes, int], Iterator[tuple[int, float, bytes]]], fps: float = 1.0, start: float | None = None
-) -> DataFrame:
-    """(path, fno, t, frame) of about ``fps`` frames a second from second ``start`` on; ``decode`` begins at a frame number."""
-
-    def of(_: str, content: bytes) -> Iterator[tuple[int, float, bytes]]:
-        own = rate(content)
-        every = max(1, int(own / fps))
-        return (f for f in decode(content, 0 if start is None else int(start * own)) if f[0] % every == 0)
-
-    return _frames(spark, glob, of)
-
-
-def wanted_frames(spark: SparkSession, glob: str, decode: Decoder, wanted: DataFrame) -> DataFrame:
-    """(path, fno, t, frame) of the frames in ``wanted`` (path, fno), one pass over each video that has any, none over others."""
-    lists = wanted.groupBy("path").agg(F.array_sort(F.collect_set("fno")).alias("wanted"))
-
-    def of(_: str, content: bytes, numbers: np.ndarray) -> Iterator[tuple[int, float, bytes]]:
-        left, last = set(int(n) for n in numbers), int(numbers[-1])
-        for f in decode(content):
-            if f[0] in left:
-                yield f
-            if f[0] >= last:
-                return
-
-    return _frames(spark, glob, of, lists)
-
-
-def frames_at_times(spark: SparkSession, glob: str, seek: Callable[[bytes, float], tuple[int, bytes] | None], wanted: DataFrame) -> DataFrame:
-    """(path, fno, t, frame) of the frame that ``seek`` finds at each second in ``wanted`` (path, t); times before 0 have none."""
-    lists = wanted.where("t >= 0").groupBy("path").agg(F.array_sort(F.collect_set(F.col("t").cast("double"))).alias("wanted"))
-
-    def of(_: str, content: bytes, times: np.ndarray) -> Iterator[tuple[int, float, bytes]]:
-        for t in times:
-            if (found := seek(content, float(t))) is not None:
-                yield found[0], float(t), found[1]
-
-    return _frames(spark, glob, of, lists)
-
-
-def video_metadata(spark: SparkSession, glob: str, probe: Callable[[bytes], tuple[int, float]]) -> DataFrame:
-    """(path, name, frames, fps, duration): ``probe`` gives frames and rate; a rate of 0 has duration 0."""
-    probed = F.pandas_udf(lambda s: pd.DataFrame([probe(c) for c in s], columns=["frames", "fps"]), "frames long, fps double")
-    files = spark.read.format("binaryFile").load(glob).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), probed("content").alias("m"))
-    return files.select("path", "name", "m.*").withColumn("duration", F.coalesce(F.try_divide("frames", "fps"), F.lit(0.0)))
-
-
 # --- models ------------------------------------------------------------------------------------------------------
 
 _MODELS: dict[str, object] = {}

@@ -22,16 +22,6 @@ def rows(df, *order):
     return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
 
 
-def decode(content, start=0):
-    n, fps = pickle.loads(content)
-    return ((i, i / fps, b"f%d" % i) for i in range(start, n))
-
-
-def seek(content, t):
-    n, fps = pickle.loads(content)
-    return (int(t * fps), b"f%d" % int(t * fps)) if t * fps < n else None
-
-
 def model(content):
     if content == b"bad":
         raise ValueError("no image")
@@ -42,33 +32,6 @@ def crops(content):
     return [(float(c), bytes([c])) for c in content]
 
 
-@pytest.fixture
-def videos(tmp_path):
-    (tmp_path / "v").mkdir()
-    (tmp_path / "v" / "[P01] a.mp4").write_bytes(pickle.dumps((100, 10.0)))
-    (tmp_path / "v" / "[P02] b.mp4").write_bytes(pickle.dumps((7, 2.0)))
-    (tmp_path / "v" / "[P03] c.mp4").write_bytes(pickle.dumps((5, 0.0)))
-    return str(tmp_path / "v")
-
-
-def test_frames_of_videos(spark, videos):
-    one = f"{videos}/*P01*"
-    assert [r.fno for r in files.sampled_frames(spark, one, decode, 40).collect()] == [0, 40, 80]
-    rate = lambda c: pickle.loads(c)[1]
-    assert [r.fno for r in files.frames_at_rate(spark, one, rate, decode, 0.25, 5.0).collect()] == [80]
-    assert [r.fno for r in files.frames_at_rate(spark, f"{videos}/*P02*", rate, decode, 9).collect()] == list(range(7))
-    paths = {r.name[1:4]: r.path for r in files.video_metadata(spark, f"{videos}/*", lambda c: pickle.loads(c)).collect()}
-    wanted = spark.createDataFrame([(paths["P01"], 7), (paths["P01"], 3), (paths["P01"], 7), (paths["P02"], 99)], "path string, fno long")
-    assert sorted((r.fno, bytes(r.frame)) for r in files.wanted_frames(spark, f"{videos}/*", decode, wanted).collect()) == [(3, b"f3"), (7, b"f7")]
-    times = spark.createDataFrame([(paths["P01"], 2.0), (paths["P01"], -1.0), (paths["P02"], 60.0)], "path string, t double")
-    assert [(r.fno, r.t) for r in files.frames_at_times(spark, f"{videos}/*", seek, times).collect()] == [(20, 2.0)]
-
-
-def test_video_metadata(spark, videos):
-    got = rows(files.video_metadata(spark, f"{videos}/*", lambda c: pickle.loads(c)).select("frames", "fps", "duration"), "frames")
-    assert got == [(5, 0.0, 0.0), (7, 2.0, 3.5), (100, 10.0, 10.0)]
-
-
 def test_sampled_names(spark, tmp_path):
     df = spark.createDataFrame([("t", 65.9, 0.12345), ("t", 3.0, None)], "title string, s double, sim double")
     names = df.select(files.sampled_frame_name(F.col("title"), F.col("s"), F.col("sim")).alias("name"))
