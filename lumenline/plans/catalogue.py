@@ -5,17 +5,15 @@ All queries read whole tables.  Computed doubles are rounded on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import partial
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenline.functions import text as T
 from lumenline.functions import vectors as V
-from lumenline.operators import integrity, retrieval, sequences
+from lumenline.operators import gallery, integrity, retrieval, sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -651,44 +649,6 @@ def best_reading(spark: SparkSession, d: str) -> DataFrame:
 
 # --- vectors -----------------------------------------------------------------------------------------------------
 
-#: Gallery rows that are compared at a time.
-GALLERY_BLOCK = 8192
-
-
-def _against_gallery(df: DataFrame, gallery: DataFrame) -> DataFrame:
-    """(vec_id, best, best_id) of every row against a stated gallery, in blocks: one matrix product a batch and block.
-
-    The driver and the tasks hold one block of about ``GALLERY_BLOCK`` vectors, however many there are; each takes a scan of
-    the rows.  Rows have no result without a gallery.
-    """
-    spark = df.sparkSession
-    blocks = -(-gallery.count() // GALLERY_BLOCK)
-    out = None
-    for b in range(blocks):
-        part = gallery.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "embedding").orderBy("vec_id").toArrow()
-        if not part.num_rows:
-            continue
-        m = np.array(part["embedding"].to_pylist(), np.float64)
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        sent = spark.sparkContext.broadcast((np.array(part["vec_id"].to_pylist(), np.int64), np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, unit = sent.value
-            for b in batches:
-                if b.num_rows:
-                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                    n = np.linalg.norm(x, axis=1, keepdims=True)
-                    c = np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ unit.T
-                    k = c.argmax(1)
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c[np.arange(len(k)), k]), pa.array(ids[k])], names=["vec_id", "best", "best_id"])
-
-        made = df.select("vec_id", "embedding").where("embedding is not null").mapInArrow(run, "vec_id long, best double, best_id long")
-        out = made if out is None else out.union(made)
-    if out is None:
-        return spark.createDataFrame([], "vec_id long, best double, best_id long")
-    return out.groupBy("vec_id").agg(F.max("best").alias("best"), F.min_by("best_id", F.struct(-F.col("best"), F.col("best_id"))).alias("best_id"))
-
-
 _GALLERY = "SELECT * FROM embeddings WHERE vec_id % 20 = 0"
 
 
@@ -697,7 +657,21 @@ _GALLERY = "SELECT * FROM embeddings WHERE vec_id % 20 = 0"
 """)
 def max_cosine(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
-    return _against_gallery(e, e.where("vec_id % 20 = 0")).select("vec_id", F.round("best", 5).alias("best"))
+    return gallery.most_alike(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding").select("vec_id", F.round("best", 5).alias("best"))
+
+
+#: Rows of a cell of the gallery of known labels: small enough that there are several.
+CELL = 128
+
+
+@query("""
+    WITH c AS (SELECT p.vec_id, g.vec_id AS best_id, list_cosine_similarity(p.embedding::DOUBLE[], g.embedding::DOUBLE[]) AS c
+               FROM embeddings p JOIN embeddings g ON p.label >= 6 AND g.label < 6)
+    SELECT vec_id, round(max(c), 5) AS best, arg_max(best_id, c) AS best_id FROM c GROUP BY vec_id
+""")
+def nearest_known(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings")
+    return gallery.most_alike(e.where("label >= 6"), e.where("label < 6"), "vec_id", "embedding", CELL).withColumn("best", F.round("best", 5))
 
 
 @query(f"""
@@ -708,5 +682,5 @@ def max_cosine(spark: SparkSession, d: str) -> DataFrame:
 def cosine_gate(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
     probes = e.join(e.where("vec_id % 20 = 0").select("vec_id"), "vec_id", "left_anti")
-    best = _against_gallery(probes, e.where("vec_id % 20 = 0"))
+    best = gallery.most_alike(probes, e.where("vec_id % 20 = 0"), "vec_id", "embedding")
     return probes.select("vec_id", "label").join(best, "vec_id").groupBy("label").agg(F.count_if(F.col("best") >= 0.25).alias("passed"), F.count("*").alias("n"))
