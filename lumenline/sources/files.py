@@ -258,11 +258,47 @@ def export_rows(df: DataFrame, path: str, order: list[str]) -> None:
     df.orderBy(*order).select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
+def _one_file(lines: DataFrame, order: list[Column], path: str, name: str, head: str, tail: str, packed: bool) -> None:
+    """``lines`` (value, and what orders it) as one file ``path``/``name``: a head, the values with commas between, a tail.
+
+    The rows are sorted by range and each range is a part of its own, written by its task; so no task holds more than its
+    part.  The parts are then joined on the file system in order, with a comma between those that have rows; compressed
+    members join as they are.  The file takes its name when it is whole.
+    """
+    spark = lines.sparkSession
+    jvm, parts = spark.sparkContext._jvm, f"{path.rstrip('/')}/_parts-{uuid.uuid4().hex}"
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = lines.orderBy(*order).select("value", place.alias("at")).select(F.concat(F.when(F.col("at") == 0, "").otherwise(","), "value").alias("value"))
+    rows.write.option("compression", "gzip" if packed else "none").text(parts)
+    folder, to = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    system = folder.getFileSystem(conf)
+    made = sorted((f.getPath().getName(), f) for f in system.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    half = jvm.org.apache.hadoop.fs.Path(f"{parts}/whole")
+    out = system.create(half, True)
+    say = lambda text: out.write(bytearray(gzip.compress(text.encode(), mtime=0) if packed else text.encode()))
+    say(head)
+    # a part without rows is an empty file, or an empty member
+    empty, first = 20 if packed else 0, True
+    for _, f in made:
+        if f.getLen() > empty:
+            if not first:
+                say(",")
+            first = False
+            held = system.open(f.getPath())
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, 1 << 20, False)
+            held.close()
+    say(tail)
+    out.close()
+    system.delete(to, False)
+    system.rename(half, to)
+    system.delete(folder, True)
+
+
 def export_array(df: DataFrame, path: str, order: list[str]) -> None:
-    """The rows as ONE compressed JSON array in one file, in total order.  It is one value, so the table must be small."""
-    n = F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(order)), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(n)), lambda x: x["j"]), ",")
-    df.agg(F.concat(F.lit("["), body, F.lit("]")).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
+    """The rows as ONE compressed JSON array, the file ``path``/array.json.gz, in total order, nulls included."""
+    rows = df.withColumn("value", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    _one_file(rows, [F.col(c) for c in order], path, "array.json.gz", "[", "]", True)
 
 
 def write_report(figures: DataFrame, path: str) -> None:
@@ -317,8 +353,6 @@ def rotate(spark: SparkSession, folder: str, stamp: str) -> str | None:
 
 
 def export_literal(df: DataFrame, key: str, value: str, name: str, path: str) -> None:
-    """``window.NAME = {...};`` of a small lookup table, keys in order.  The literal is one value, so the table must be small."""
-    entry = F.concat(F.to_json(F.array(F.col(key))), F.lit(":"), F.to_json(F.array(F.col(value))))
-    bare = F.regexp_replace(F.regexp_replace(entry, r'^\[|\]$', ""), r'\]:\[', ":")
-    body = F.array_join(F.array_sort(F.collect_list(bare)), ",")
-    df.agg(F.concat(F.lit(f"window.{name} = {{"), body, F.lit("};")).alias("value")).write.mode("overwrite").text(path)
+    """``window.NAME = {...};`` of a lookup table, keys in order: the file ``path``/literal.txt."""
+    bare = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    _one_file(df.select(F.concat(bare(F.col(key).cast("string")), F.lit(":"), bare(F.col(value))).alias("value"), F.col(key).alias("k")), [F.col("k")], path, "literal.txt", f"window.{name} = {{", "};", False)

@@ -99,6 +99,9 @@ def test_sinks(spark, tmp_path):
     files.export_array(df, str(tmp_path / "array"), ["k"])
     part = next((tmp_path / "array").glob("*.gz"))
     assert json.loads(gzip.decompress(part.read_bytes())) == [{"k": "a", "n": 1, "t": "x"}, {"k": "b", "n": 2, "t": None}]
+    assert len(list((tmp_path / "array").iterdir())) <= 2  # the file and its checksum
+    files.export_array(df.limit(0), str(tmp_path / "none"), ["k"])
+    assert json.loads(gzip.decompress((tmp_path / "none" / "array.json.gz").read_bytes())) == []
     files.write_report(df.agg(F.count("*").alias("n"), F.max("t").alias("t")), str(tmp_path / "report"))
     assert json.loads(spark.read.text(str(tmp_path / "report")).first()[0]) == {"n": 2, "t": "x"}
     with pytest.raises(ValueError, match="one row"):
@@ -153,3 +156,22 @@ def test_image_kernels():
     np.savez(npz, encodings=np.ones((2, 3)))
     assert T.edit_kind_of("abc", "abXc") == ("add", "+1 insert:->X", 1, 0, 0) and T.edit_kind_of("a", "a") == ("same", "", 0, 0, 0)
     assert T.edit_kind_of("abcdef", "xbcdefyz") == ("mixed", "replace:a->x;insert:->yz", 2, 0, 1)
+
+
+def test_exports_of_many_parts(spark, tmp_path):
+    n = 300_000
+    df = spark.range(n).selectExpr("(id * 7919) % 300000 as k", "concat('v\"]:[', id) as v", "if(id % 3 = 0, null, id) as w").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.export_array(df, str(tmp_path / "a"), ["k"])
+        files.export_literal(df, "k", "v", "X", str(tmp_path / "l"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    with gzip.open(tmp_path / "a" / "array.json.gz") as f:
+        assert f.peek(1) and (got := json.load(f))
+    assert [r["k"] for r in got] == list(range(n)) and got[0] == {"k": 0, "v": 'v"]:[0', "w": None}
+    assert (tmp_path / "a" / "array.json.gz").read_bytes().count(b"\x1f\x8b\x08") >= 6  # members of several tasks
+    text = (tmp_path / "l" / "literal.txt").read_text()
+    found = json.loads(text.removeprefix("window.X = ").rstrip("; \n"))
+    assert len(found) == n and found["0"] == 'v"]:[0' and files.scan_literal(spark, str(tmp_path / "l" / "*.txt")).count() == n
+    assert files.scan_gzip_json(spark, str(tmp_path / "a" / "*.gz"), "k long, v string, w long").where("w is null").count() == n // 3
