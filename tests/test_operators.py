@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -131,6 +132,42 @@ def test_streams_equal_batch(spark, tmp_path):
         assert sorted(r.o for r in spark.table(name).collect()) == sorted(r.o for r in want.collect())
 
 
+def run(made, folder, name):
+    query = made.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(folder / name)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def test_streams_in_the_order_of_time(spark, tmp_path):
+    dice = random.Random(4)
+    rows = [(dice.choice("uuuv"), i, 1_700_000_000 + i, float(dice.choice([1, 1, 60, 80])), dice.random() < 0.7) for i in range(120)]
+    # within 20 seconds of disorder; what comes last closes the keys
+    shuffled = sorted(rows, key=lambda r: r[1] + dice.uniform(0, 15))
+    parts = [shuffled[i : i + 15] for i in range(0, 120, 15)] + [[(k, 1000, 1_700_001_000, 1.0, True) for k in "uv"], [("u", -1, 1_700_000_050, 99.0, True), ("u", 1001, 1_700_002_000, 1.0, True)]]
+    for i, part in enumerate(parts):
+        df = spark.createDataFrame(part, "k string, o long, s long, v double, act boolean").selectExpr("k", "o", "timestamp_seconds(s) as t", "v", "act")
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"{i:02d}"))
+    df = spark.createDataFrame(rows, "k string, o long, s long, v double, act boolean")
+    source = spark.readStream.schema("k string, o long, t timestamp, v double, act boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    stream = source.withWatermark("t", "20 seconds")
+    for name, made, want in (
+        ("repeats_by_time", stateful.drop_repeats(stream, "k", "o", "v", "t"), sequences.drop_consecutive(df, "k", ["o"], "v").select("k", "o")),
+        ("fires_by_time", stateful.debounced(stream, "k", "o", "v", 20.0, 3, F.col("act"), "t"), sequences.debounced(df, "k", "o", "v", F.col("act"), 20.0, 3)),
+    ):
+        query = run(made, tmp_path, name)
+        got = sorted((r.k, r.o) for r in spark.table(name).collect() if r.o < 1000)
+        assert got == sorted((r.k, r.o) for r in want.collect())
+        assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in query.recentProgress if p["stateOperators"]) == 1  # the late row
+
+
+def test_streamed_trigger_has_the_gate(spark, tmp_path):
+    df = spark.createDataFrame([("u", i, float(v), i != 2) for i, v in enumerate([0, 50, 0, 50, 0])], "k string, o long, v double, act boolean")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    run(stateful.debounced(stream, "k", "o", "v", 20.0, 1, F.col("act")), tmp_path, "gate")
+    assert sorted(r.o for r in spark.table("gate").collect()) == [0, 1, 3, 4]
+
+
 def test_drain_reads_once(spark, tmp_path):
     seen = []
     spark.range(3).write.parquet(str(tmp_path / "in"))
