@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -246,9 +247,37 @@ def strip_comments(html: Column) -> Column:
     return F.regexp_replace(html, r"(?s)<!--(?!\[if).*?-->", "")
 
 
+def _longest_first(phrases: Iterable[str]) -> str:
+    """A pattern that matches, of the phrases that begin at a place, the longest: a trie, each branch of it optional."""
+    trie: dict = {}
+    for phrase in phrases:
+        node = trie
+        for c in phrase:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def said(node: dict) -> str:
+        branches = [re.escape(c) + said(below) for c, below in node.items() if c]
+        return f"(?:{'|'.join(branches)}){'?' if '' in node else ''}" if branches else ""
+
+    return said(trie)
+
+
 def to_simplified(text: Column, pairs: dict[str, str] | None = None) -> Column:
-    """Characters mapped by ``pairs``; the text itself where there is no table."""
-    return F.translate(text, "".join(pairs), "".join(pairs.values())) if pairs else text
+    """The text with what ``pairs`` has replaced, the longest phrase that begins at a place first; itself without a table.
+
+    What was replaced is not looked at again.  A table of single characters is worked out without Python.
+    """
+    pairs = {k: v for k, v in (pairs or {}).items() if k}
+    if all(len(k) == 1 and len(v) == 1 for k, v in pairs.items()):
+        return F.translate(text, "".join(pairs), "".join(pairs.values())) if pairs else text
+    pattern = re.compile(_longest_first(pairs))
+
+    @F.pandas_udf("string")
+    def replaced(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else pattern.sub(lambda m: pairs[m[0]], t))
+
+    return replaced(text)
 
 
 def edit_kind_of(old: str, new: str) -> tuple[str, str, int, int, int]:

@@ -140,6 +140,13 @@ def counts_by(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.inline(pairs)).groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
+def histograms(df: DataFrame, group: str, value: Column, name: str) -> DataFrame:
+    """(``group``, ``name``, level, n): how often each value is in each group (level 0), in all (2), and all rows (3), in one pass."""
+    rows = df.select(F.col(group), value.alias(name))
+    sets = rows.groupingSets([[F.col(group), F.col(name)], [F.col(name)], []], F.col(group), F.col(name))
+    return sets.agg(F.grouping_id(group, name).cast("int").alias("level"), F.count("*").alias("n")).select(group, name, "level", "n")
+
+
 def search_totals(hits: DataFrame, frame: str) -> DataFrame:
     """One row: hits, hits with a frame and hits without."""
     return hits.agg(F.count("*").alias("hits"), F.count(frame).alias("with_frame"), F.count_if(F.col(frame).isNull()).alias("missing"))

@@ -353,6 +353,15 @@ def verdict_histogram(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
 
 
+@query(f"""
+    WITH v AS (SELECT conv_id, CASE WHEN similarity < 0.55 THEN 'unmatched' WHEN similarity >= 0.95 THEN 'confirmed' ELSE 'review' END AS verdict FROM ({_PAIRS}))
+    SELECT conv_id, verdict, grouping(conv_id, verdict)::INT AS level, count(*) AS n FROM v GROUP BY GROUPING SETS ((conv_id, verdict), (verdict), ())
+""")
+def verdict_rollup(spark: SparkSession, d: str) -> DataFrame:
+    v = sequences.verdict(F.col("similarity"), F.lit("diff"), F.lit(1), F.lit(0.0))
+    return retrieval.histograms(_pairs(spark, d), "conv_id", v, "verdict")
+
+
 @query(f"""
     WITH l AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
     s AS (SELECT conv_id, turn, text, CASE WHEN before IS NOT NULL AND before <> '' AND text <> '' AND {_sql_edit('before', 'text')} >= 0.1 THEN 0 ELSE 1 END AS start FROM l),
@@ -364,6 +373,25 @@ def similarity_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sequences.sessions(read(spark, d, "conversations"), "conv_id", "turn", "text", partial(T.edit_similarity, least=0.1), 0.1).drop("island")
 
 
+@query(f"""
+    WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, ' ')), lambda x: x <> '') AS ts FROM conversations),
+    l AS (SELECT *, lag(ts) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM p),
+    i AS (SELECT conv_id, turn, ts, sum(CASE WHEN len(ts) > 0 AND len(was) > 0
+            AND list_max(flatten(list_transform(ts, lambda a: list_transform(was, lambda b: {_sql_edit("a", "b")})))) >= 0.4 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM l),
+    s AS (SELECT conv_id, island, min(turn) AS t0, max(turn) AS t1, count(*) AS n_points, flatten(list(ts ORDER BY turn)) AS names FROM i GROUP BY conv_id, island),
+    c AS (SELECT *, list_reduce(list_transform(names, lambda t: {{'reps': [t], 'ns': [1]}}), lambda s, x:
+      CASE WHEN len(list_filter(s.reps, lambda r: {_sql_edit('r', 'x.reps[1]')} >= 0.4)) = 0
+           THEN {{'reps': list_append(s.reps, x.reps[1]), 'ns': list_append(s.ns, 1)}}
+           ELSE {{'reps': s.reps, 'ns': list_transform(s.ns, lambda n, i: n + (i = list_position(list_transform(s.reps, lambda r: {_sql_edit('r', 'x.reps[1]')} >= 0.4), true))::INT)}} END) AS s
+      FROM s WHERE len(names) > 0)
+    SELECT conv_id, t0, t1, round_even((t0 + t1) / 2.0, 2)::DOUBLE AS mid, n_points, len(names) AS n_read, s.reps[list_position(s.ns, list_max(s.ns))] AS text, list_max(s.ns) AS support FROM c
+""")
+def reading_sessions(spark: SparkSession, d: str) -> DataFrame:
+    pieces = F.filter(F.transform(F.split("text", r"\."), lambda x: F.trim(x)), lambda x: x != "")
+    points = read(spark, d, "conversations").select("conv_id", "turn", pieces.alias("ts"))
+    return sequences.text_sessions(points, "conv_id", "turn", "ts", T.edit_similarity, 0.4).drop("island", "alts")
+
+
 # --- sequences ---------------------------------------------------------------------------------------------------
 
 
@@ -514,6 +542,18 @@ def kana_ratio(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.round(T.kana_ratio(F.col("text")), 6).alias("kana"))
 
 
+#: A table of phrases that overlap: the longest that begins at a place is replaced.
+PHRASES = {"t": "T", "ti": "1", "tion": "2", "tions": "3", "on": "4", "ns": "5", "e": "E", "en": "6", "ent": ""}
+
+
+@query(f"""
+    WITH c AS (SELECT conv_id, turn, regexp_extract_all(text, '(?s){"|".join(sorted(PHRASES, key=len, reverse=True))}|.') AS parts FROM conversations)
+    SELECT conv_id, turn, md5(array_to_string(list_transform(parts, lambda p: CASE p {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PHRASES.items())} ELSE p END), '')) AS text_md5 FROM c
+""")
+def phrase_replacement(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "conversations").select("conv_id", "turn", F.md5(T.to_simplified(F.col("text"), PHRASES)).alias("text_md5"))
+
+
 @query("""
     SELECT event_id, printf('%dm%02ds', event_id // 60, event_id % 60) AS ts, event_id::INT AS seconds FROM events
 """)

@@ -66,6 +66,23 @@ def test_lcs_of_any_length(spark):
         assert column(spark, [(t,) for t in texts], T.lcs_ratio(q, F.col("t")), "t string") == pytest.approx([lcs(q, t) * 100 / n for t in texts])
 
 
+def test_longest_phrase_first(spark):
+    rng = random.Random(9)
+    tables = [{"ab": "1", "abc": "22", "b": "", "bcd": "x", "c": "c"}, {"頭髮": "头发", "髮": "发", "頭": "头", "發": "发", "理髮": "理发"}, {"a": "b", "b": "a"}, {}, {"": "x", "a.": "(", "\\": "s"}]
+    texts = ["", None, "abcdabcabbcd", "理髮頭髮發頭", "a.b\\a"] + ["".join(rng.choice("abcd.頭髮理") for _ in range(40)) for _ in range(60)]
+    for table in tables:
+
+        def plain(t, table=table):
+            out, i = "", 0
+            while i < len(t):
+                k = max((k for k in table if k and t.startswith(k, i)), key=len, default=None)
+                out, i = out + (t[i] if k is None else table[k]), i + (1 if k is None else len(k))
+            return out
+
+        got = column(spark, [(t,) for t in texts], T.to_simplified(F.col("t"), table), "t string")
+        assert got == [None if t is None else plain(t) for t in texts]
+
+
 def test_multiword(spark):
     rng = random.Random(4)
     texts = ["aba", "abba", "a", "bar foo", *("".join(rng.choice("aBb o") for _ in range(rng.randint(0, 14))) for _ in range(150))]
