@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
-Words within reach of a cue (a word of licenses) are a candidate region, whatever lines they stand on.  In it the spans that
-hold nearly all words of a template in order, and all its numbers, are found by an exact alignment; templates whose words
-the region lacks are passed over first, which loses none.  Each span is compressed by zstandard alone and once more with each
-template as a raw dictionary: of overlapping spans the one with the fewest differences in wording stands, then the longest
-template, then the one that shortens it most.
+Words within reach of a cue (a word of licenses) are a candidate region, whatever lines they stand on; templates whose words
+a region lacks are passed over, which loses none.  Stretches of it that a template may stand in are candidate blocks, those
+that overlap as one.  A block's words are compressed by zstandard alone and once more with each template as a raw dictionary, and the
+templates are ranked by how much shorter they make it.  Down that ranking, a template is confirmed by its exact wording: nearly all its
+words in order, and all its numbers.  The first that is confirmed has its place; those after it have what is left of the block.
 
 Defined cases: null and empty texts have no regions; a row's block is the text from the span's first to its last word; a
 region that no template is confirmed in has a row with a null license only if ``unconfirmed`` is set.
@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -149,10 +149,28 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
         "OTHER DEALINGS IN THE SOFTWARE.",
     ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+        "available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    "EUPL-1.2": (
+        "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the "
+        'EUPL (the "Licence"); You may not use this work except in compliance with the Licence.',
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
+    "PostgreSQL": (
+        "Released under the PostgreSQL License.",
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a "
+        "written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two "
+        "paragraphs appear in all copies. IN NO EVENT SHALL THE AUTHORS BE LIABLE TO ANY PARTY FOR DIRECT, INDIRECT, SPECIAL, INCIDENTAL, "
+        "OR CONSEQUENTIAL DAMAGES, INCLUDING LOST PROFITS, ARISING OUT OF THE USE OF THIS SOFTWARE AND ITS DOCUMENTATION, EVEN IF THE "
+        "AUTHORS HAVE BEEN ADVISED OF THE POSSIBILITY OF SUCH DAMAGE. THE AUTHORS SPECIFICALLY DISCLAIM ANY WARRANTIES, INCLUDING, BUT "
+        "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE. THE SOFTWARE PROVIDED HEREUNDER "
+        'IS ON AN "AS IS" BASIS, AND THE AUTHORS HAVE NO OBLIGATIONS TO PROVIDE MAINTENANCE, SUPPORT, UPDATES, ENHANCEMENTS, OR MODIFICATIONS.',
+    ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain.",
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
@@ -191,16 +209,46 @@ def words_of(text: str) -> list[str]:
     return [BROKEN.sub("", w) for w in WORDS.findall(text.lower())]
 
 
-def candidate_regions(text: str | None) -> list[list[re.Match]]:
+class Templates:
+    """Templates made ready: their words, and a compressor with each as a raw dictionary."""
+
+    def __init__(self, texts: Mapping[str, Sequence[str]]):
+        self.all: list[tuple[str, int, list[str], Counter[str], zstandard.ZstdCompressor]] = []
+        for name, own in sorted(texts.items()):
+            for i, t in enumerate(own):
+                words = words_of(t)
+                raw = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False)
+                self.all.append((name, i, words, Counter(words), packer))
+        self.longest = max((len(w) for _, _, w, *_ in self.all), default=0)
+
+    def rank(self, block: Sequence[str], among: Iterable[int] | None = None) -> list[tuple[float, int]]:
+        """(reduction, place in ``all``) of each template, or of those ``among``, best first; ties by name.
+
+        A block is its words, so line breaks and comment marks don't count.
+        """
+        data = " ".join(block).encode()
+        alone = len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress(data))
+        places = range(len(self.all)) if among is None else among
+        return sorted(((1 - len(self.all[k][4].compress(data)) / alone, k) for k in places), key=lambda x: (-x[0], x[1]))
+
+
+@lru_cache(4)
+def _ready(texts: tuple[tuple[str, tuple[str, ...]], ...] | None) -> Templates:
+    return Templates(TEMPLATES if texts is None else dict(texts))
+
+
+def candidate_regions(text: str | None, longest: int | None = None) -> list[list[re.Match]]:
     """The words of each region: all within reach of a cue, twice the longest template, on both sides."""
     if not text or not CUES.search(text):
         return []
+    reach = 2 * (_ready(None).longest if longest is None else longest)
     words = list(WORDS.finditer(text))
     starts = [w.start() for w in words]
     out: list[list[int]] = []
     for cue in CUES.finditer(text):
         at = bisect_right(starts, cue.start())
-        low, high = max(0, at - 2 * _longest()), min(len(words), at + 2 * _longest())
+        low, high = max(0, at - reach), min(len(words), at + reach)
         if out and low <= out[-1][1]:
             out[-1][1] = high
         else:
@@ -208,27 +256,10 @@ def candidate_regions(text: str | None) -> list[list[re.Match]]:
     return [words[a:b] for a, b in out if a < b]
 
 
-@lru_cache(1)
-def _longest() -> int:
-    return max(len(words_of(t)) for texts in TEMPLATES.values() for t in texts)
-
-
-@lru_cache(1)
-def _compressors() -> list[tuple[str, int, list[str], zstandard.ZstdCompressor]]:
-    out = []
-    for name, texts in sorted(TEMPLATES.items()):
-        for i, t in enumerate(texts):
-            raw = zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            out.append((name, i, words_of(t), zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False)))
-    return out
-
-
 def rank(block: str) -> list[tuple[float, str, int, list[str]]]:
-    """(reduction, license, template, words) of each template, best first."""
-    data = block.encode()
-    alone = len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress(data))
-    found = [(1 - len(c.compress(data)) / alone, name, i, w) for name, i, w, c in _compressors()]
-    return sorted(found, key=lambda x: (-x[0], x[1], x[2]))
+    """(reduction, license, template, words) of each of ``TEMPLATES``, best first."""
+    ready = _ready(None)
+    return [(r, *ready.all[k][:3]) for r, k in ready.rank(words_of(block))]
 
 
 def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
@@ -274,57 +305,73 @@ def _spans(template: list[int], region: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(1)
-def _words_by_template() -> list[tuple[str, int, list[str], Counter[str]]]:
-    return [(name, i, w, Counter(w)) for name, i, w, _ in _compressors()]
+def _blocks(spans: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Spans (start, end, template) that overlap, directly or through others, as one block each."""
+    out: list[list[tuple[int, int, int]]] = []
+    reach = -1
+    for span in sorted(spans):
+        if span[0] >= reach:
+            out.append([])
+        out[-1].append(span)
+        reach = max(reach, span[1])
+    return out
 
 
-def notices(text: str, region: list[re.Match]) -> list[tuple[int, int, str, int, float, int, int, str]]:
+def confirmed(template: list[str], words: list[str]) -> tuple[list[str], list[str]] | None:
+    """The differences in wording, or None if there are too many or a number is missing."""
+    missing, extra = differences(template, words)
+    digits = any(c.isdigit() for w in missing for c in w)
+    return None if len(missing) > (1 - COVERAGE) * len(template) + 1e-9 or len(extra) > len(template) or digits else (missing, extra)
+
+
+def notices(text: str, region: list[re.Match], ready: Templates | None = None) -> list[tuple[int, int, str, int, float, int, int, str]]:
     """(start, end, license, template, reduction, n_missing, n_extra, differences) of each confirmed notice, by place."""
+    ready = ready or _ready(None)
     words = [BROKEN.sub("", w.group().lower()) for w in region]
     counts = Counter(words)
     ids = {w: k for k, w in enumerate(counts)}
     coded = np.array([ids[w] for w in words])
-    found = []
-    for name, i, template, needed in _words_by_template():
-        n = len(template)
-        if sum(min(k, counts[w]) for w, k in needed.items()) < COVERAGE * n - 1e-9:
-            continue
-        for a, b in _spans([ids.get(w, -1) for w in template], coded):
-            missing, extra = differences(template, words[a:b])
-            digits = any(c.isdigit() for w in missing for c in w)
-            if len(missing) <= (1 - COVERAGE) * n + 1e-9 and len(extra) <= n and not digits:
-                found.append((len(missing) + len(extra), -n, a, b, name, i, missing, extra))
-    if not found:
-        return []
-    reductions: dict[tuple[int, int], dict[tuple[str, int], float]] = {}
-    for _, _, a, b, *_ in found:
-        if (a, b) not in reductions:
-            reductions[a, b] = {(name, i): r for r, name, i, _ in rank(text[region[a].start() : region[b - 1].end()])}
+    spans = []
+    for k, (_, _, template, needed, _) in enumerate(ready.all):
+        if sum(min(m, counts[w]) for w, m in needed.items()) >= COVERAGE * len(template) - 1e-9:
+            spans += [(a, b, k) for a, b in _spans([ids.get(w, -1) for w in template], coded)]
     out = []
-    for _, _, a, b, name, i, missing, extra in sorted(found, key=lambda x: (*x[:2], -reductions[x[2:4]][x[4:6]], x[4], x[2])):
-        if not any(a < y and x < b for x, y, *_ in out):
-            said = " ".join([*(f"-{w}" for w in missing), *(f"+{w}" for w in extra)])
-            out.append((a, b, name, i, reductions[a, b][name, i], len(missing), len(extra), said))
-    return sorted((region[a].start(), region[b - 1].end(), *rest) for a, b, *rest in out)
+    for block in _blocks(spans):
+        begin, end = block[0][0], max(b for _, b, _ in block)
+        taken: list[tuple[int, int]] = []
+        for reduction, k in ready.rank(words[begin:end], {k for _, _, k in block}):
+            name, i, template, *_ = ready.all[k]
+            for a, b, _ in (s for s in block if s[2] == k):
+                if not any(a < y and x < b for x, y in taken) and (found := confirmed(template, words[a:b])) is not None:
+                    taken.append((a, b))
+                    said = " ".join([*(f"-{w}" for w in found[0]), *(f"+{w}" for w in found[1])])
+                    out.append((region[a].start(), region[b - 1].end(), name, i, reduction, len(found[0]), len(found[1]), said))
+    return sorted(out)
+
 
+def scan(
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", unconfirmed: bool = False, templates: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """One row for each confirmed notice: ``id_col`` and the columns of ``RESULT``.
 
-def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", unconfirmed: bool = False) -> DataFrame:
-    """One row for each confirmed notice: ``id_col`` and the columns of ``RESULT``."""
+    ``templates`` has the texts of each license, whole bodies or notices, instead of ``TEMPLATES``; they are sent to all tasks.
+    """
+    texts = None if templates is None else tuple((name, tuple(own)) for name, own in sorted(templates.items()))
     kind = dict(df.dtypes)[id_col]
     types = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.string())
     names = [x.split(" ")[0] for x in RESULT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = _ready(texts)
         for b in batches:
             places, rows = [], []
             for i, t in enumerate(b.column(1)):
                 said = t.as_py()
-                for region in candidate_regions(said):
-                    found = notices(said, region)
-                    if not found and unconfirmed:
+                for region in candidate_regions(said, ready.longest):
+                    found = notices(said, region, ready)
+                    if not found and unconfirmed and ready.all:
                         start, end = region[0].start(), region[-1].end()
-                        found = [(start, end, None, None, rank(said[start:end])[0][0], None, None, None)]
+                        found = [(start, end, None, None, ready.rank(words_of(said[start:end]))[0][0], None, None, None)]
                     for start, end, *rest in found:
                         places.append(i)
                         rows.append((said.count("\n", 0, start), said.count("\n", start, end) + 1, said[start:end], *rest))
