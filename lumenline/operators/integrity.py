@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,18 @@ def pending(work: DataFrame, done: DataFrame, on: str) -> DataFrame:
     return work.join(done.select(on), on, "left_anti")
 
 
+def ledger(rounds: list[tuple[str, DataFrame]], columns: list[str]) -> DataFrame:
+    """The rounds of a ledger as one table: ``columns``, ``src`` (the round's tag) and ``round`` (its place, from 0)."""
+    parts = [df.select(*columns, F.lit(src).alias("src"), F.lit(n).alias("round")) for n, (src, df) in enumerate(rounds)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def last_round(entries: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """Of each key of a ledger the ``values``, src and round of the last round that has it; ties within one by ``values``."""
+    last = F.max_by(F.struct(*values, "src", "round"), F.struct("round", *values)).alias("x")
+    return entries.groupBy(*key).agg(last, F.count("*").alias("entries")).select(*key, "x.*", "entries")
+
+
 def reconcile(fixes: DataFrame, current: DataFrame, dropped: DataFrame, retimed: DataFrame, reverted: DataFrame) -> DataFrame:
     """Status of each fix (ep, ts, old, new, src): removed, applied, reverted or problem, with the current text.
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +82,8 @@ def substring_hits(lines: DataFrame, text: str, phrases: DataFrame, phrase: str,
         sent = spark.sparkContext.broadcast((rows.column(0).combine_chunks(), rows.column(1).to_pylist()))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick  # only here, so that the rest does without
+
             ids, said = sent.value
             places: dict[str, list[int]] = {}
             for i, t in enumerate(said):
@@ -108,8 +109,9 @@ def substring_hits(lines: DataFrame, text: str, phrases: DataFrame, phrase: str,
 
         part = lines.select(text).mapInArrow(run, f"id {kind}, hits long")
         found = part if found is None else found.union(part)
-    totals = found.groupBy(F.col("id").alias(phrase_id)).agg(F.sum("hits").alias("hits"))
-    return known.select(phrase_id).join(totals, phrase_id, "left").select(phrase_id, F.coalesce("hits", F.lit(0)).alias("hits"))
+    totals = found.groupBy("id").agg(F.sum("hits").alias("hits"))
+    met = known.select(phrase_id).join(totals, F.col(phrase_id).eqNullSafe(F.col("id")), "left")
+    return met.select(phrase_id, F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def archive_stats(df: DataFrame, group: str, flag: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenline.functions import text as T
 from lumenline.operators.ordered import AT, BLOCK, SPANS, dealt, pinned, plain, running
 
 
@@ -184,6 +185,62 @@ def leader_clusters(texts: Column, similarity: Callable[[Column, Column], Column
     return F.transform(ranked, lambda x: F.struct(x["rep"].alias("rep"), (-x["k"]).alias("n"), F.bround(x["sum"] / -x["k"], 3).alias("score")))
 
 
+def cluster_rows(df: DataFrame, key: str, order: str, text: str, least: float = 0.8, score: str | None = None) -> DataFrame:
+    """(``key``, leader, rep, n, score) of the clusters that :func:`leader_clusters` by edit similarity makes, for groups of any size.
+
+    ``leader`` is the ``order`` of a cluster's first row, ``rep`` its text.  Equal texts are one.  Texts can be alike only if
+    they share one of their rarest pairs of characters (characters, for ``least`` up to 0.75), as many as the edits allowed may
+    change and one more; only such pairs of like lengths are compared.  A text without an earlier one like it that may lead
+    leads, those like a leader follow, and so on by rounds; a follower belongs to the first leader in order that it is like.
+    Texts that are empty when normed are like none.  ``order`` must be unique within a key; null keys are one.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and up to 1")
+    k, q = F.col("k"), 2 if least > 0.75 else 1
+    points = F.lit(0.0) if score is None else F.coalesce(F.col(score).cast("double"), F.lit(0.0))
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).alias("t"), T.norm_text(F.coalesce(F.col(text), F.lit(""))).alias("x"), points.alias("p"))
+    same = F.when(F.col("x") == "", F.col("o"))  # empty ones stay apart
+    nodes = rows.groupBy("k", "x", same.alias("e")).agg(F.min("o").alias("o"), F.min_by("t", "o").alias("t"), F.count("*").alias("n"), F.sum("p").alias("p"))
+    nodes = pinned(nodes.drop("e"))
+    size = F.length("x")
+    edits = F.floor((1 - least) * size + 1e-9)
+    grams = F.transform(F.sequence(F.lit(1), size - (q - 1)), lambda i: F.substring(F.col("x"), i, F.lit(q)))
+    # the second of two equal pairs of characters is another one than the first
+    told = F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
+    held = nodes.where(size >= q).select("k", "o", "x", (q * edits + 1).alias("m"), F.explode(told).alias("g"))
+    often = held.groupBy(k.alias("_k"), F.col("g").alias("_g")).agg(F.count("*").alias("c"))
+    rare = held.join(often, k.eqNullSafe(F.col("_k")) & (F.col("g") == F.col("_g"))).select("k", "o", "x", "m", "g", "c")
+    rare = rare.withColumn("r", F.row_number().over(Window.partitionBy("k", "o").orderBy("c", "g"))).where(F.col("r") <= F.col("m"))
+    rare = pinned(rare.select("k", "g", "o", "x"))
+    a, b = rare.alias("a"), rare.alias("b")
+    shorter, longer = F.least(F.length("a.x"), F.length("b.x")), F.greatest(F.length("a.x"), F.length("b.x"))
+    near = F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.o") < F.col("b.o")) & (longer - shorter <= F.floor((1 - least) * shorter + 1e-9))
+    met = a.join(b, near).select(F.col("a.k").alias("k"), F.col("a.o").alias("a"), F.col("b.o").alias("b"), F.col("a.x").alias("x"), F.col("b.x").alias("y"))
+    met = met.dropDuplicates(["k", "a", "b"])
+    edges = pinned(met.where(T.normed_similarity(F.col("x"), F.col("y"), least) >= least).select("k", "a", "b"))
+
+    def of(left: DataFrame, at: str, right: DataFrame, how: str) -> DataFrame:
+        named = right.select(k.alias("_k"), F.col("o").alias("_o"))
+        return left.join(named, k.eqNullSafe(F.col("_k")) & (F.col(at) == F.col("_o")), how)
+
+    left, open_edges, lead = nodes.select("k", "o"), edges, []
+    while True:
+        waiting = open_edges.select("k", F.col("b").alias("o")).distinct()
+        leaders = pinned(of(left, "o", waiting, "left_anti"))
+        lead.append(leaders)
+        if open_edges.isEmpty():
+            break
+        follow = pinned(of(open_edges, "a", leaders, "left_semi").select("k", F.col("b").alias("o")).distinct())
+        left = pinned(of(of(left, "o", leaders, "left_anti"), "o", follow, "left_anti"))
+        open_edges = pinned(of(of(open_edges, "a", left, "left_semi"), "b", left, "left_semi"))
+    leaders = reduce(DataFrame.union, lead)
+    first = of(edges, "a", leaders, "left_semi").groupBy("k", F.col("b").alias("o")).agg(F.min("a").alias("l"))
+    owned = nodes.alias("m").join(first.alias("f"), F.col("m.k").eqNullSafe(F.col("f.k")) & (F.col("m.o") == F.col("f.o")), "left")
+    owned = owned.select("m.k", "m.o", "m.t", "m.n", "m.p", F.coalesce("f.l", "m.o").alias("l"))
+    out = owned.groupBy("k", "l").agg(F.min_by("t", "o").alias("rep"), F.sum("n").alias("n"), F.bround(F.sum("p") / F.sum("n"), 3).alias("score"))
+    return out.select(k.alias(key), F.col("l").alias("leader"), "rep", "n", "score")
+
+
 def majority_text(clusters: Column, alternatives: int = 3) -> Column:
     """Struct (text, support, alts) of clusters as :func:`leader_clusters` gives them: the largest, and the next ones as (text, n)."""
     others = F.transform(F.slice(clusters, 2, alternatives), lambda c: F.struct(c["rep"].alias("text"), c["n"].alias("n")))

@@ -278,6 +278,18 @@ def ledger_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return _ledger(spark, d).groupBy("src", "status").agg(F.count("*").alias("n"))
 
 
+@query("""
+    WITH r AS (SELECT o_custkey AS ep, o_orderpriority AS new, 'auto' AS src, 0 AS round, o_orderkey AS ts FROM orders WHERE o_totalprice <= 200000
+               UNION ALL SELECT o_custkey, o_orderpriority, 'manual', 1, o_orderkey FROM orders WHERE o_totalprice > 200000
+               UNION ALL SELECT o_custkey, o_orderstatus, 'audit', 2, o_orderkey FROM orders WHERE o_totalprice < 30000)
+    SELECT ep, arg_max(ts, (round, ts)) AS ts, arg_max(new, (round, ts)) AS new, arg_max(src, (round, ts)) AS src, max(round) AS round, count(*) AS entries FROM r GROUP BY ep
+""")
+def ledger_rounds(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("ep"), F.col("o_orderkey").alias("ts"), F.col("o_orderpriority").alias("new"), "o_orderstatus", "o_totalprice")
+    rounds = [("auto", o.where("o_totalprice <= 200000")), ("manual", o.where("o_totalprice > 200000")), ("audit", o.where("o_totalprice < 30000").withColumn("new", F.col("o_orderstatus")))]
+    return integrity.last_round(integrity.ledger(rounds, ["ep", "ts", "new"]), ["ep"], ["ts", "new"])
+
+
 @query("""
     SELECT 'o_orderpriority' AS dimension, o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 2
     UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2
@@ -635,6 +647,19 @@ def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     return found.select("p_brand", F.size("c").alias("clusters"), F.get("c", 0)["rep"].alias("rep"), F.get("c", 0)["n"].alias("n"))
 
 
+@query(f"""
+    WITH t AS (SELECT p_brand, list(p_name || ' ' || p_type ORDER BY p_partkey) AS names, list(p_partkey ORDER BY p_partkey) AS ids FROM part GROUP BY p_brand),
+    c AS (SELECT p_brand, list_reduce(list_transform(names, lambda t, i: {{'reps': [t], 'ids': [ids[i]], 'ns': [1]}}), lambda s, x:
+      CASE WHEN len(list_filter(s.reps, lambda r: {_sql_edit('r', 'x.reps[1]')} >= 0.8)) = 0
+           THEN {{'reps': list_append(s.reps, x.reps[1]), 'ids': list_append(s.ids, x.ids[1]), 'ns': list_append(s.ns, 1)}}
+           ELSE {{'reps': s.reps, 'ids': s.ids, 'ns': list_transform(s.ns, lambda n, i: n + (i = list_position(list_transform(s.reps, lambda r: {_sql_edit('r', 'x.reps[1]')} >= 0.8), true))::INT)}} END) AS s FROM t)
+    SELECT p_brand, unnest(s.ids) AS leader, unnest(s.reps) AS rep, unnest(s.ns)::BIGINT AS n FROM c
+""")
+def text_clusters(spark: SparkSession, d: str) -> DataFrame:
+    parts = read(spark, d, "part").withColumn("said", F.concat_ws(" ", "p_name", "p_type"))
+    return sequences.cluster_rows(parts, "p_brand", "p_partkey", "said", 0.8).drop("score")
+
+
 @query("""
     SELECT c_custkey, regexp_extract(c_name, '([0-9]+)', 1)::BIGINT AS number, left(c_name, 4) AS prefix, c_mktsegment || '|' || c_name AS key
     FROM customer WHERE trim(c_name) <> '' AND c_acctbal >= 0

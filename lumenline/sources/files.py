@@ -155,18 +155,25 @@ def scan_frame_images(spark: SparkSession, folder: str, size: Callable[[bytes],
 # --- models ------------------------------------------------------------------------------------------------------
 
 _MODELS: dict[str, object] = {}
+#: Models that a worker keeps: of earlier queries those used last, so that a worker that lives on doesn't fill up.
+MOST_MODELS = 2
 
 
 def engine(key: str, load: Callable[[], object], warm: Callable[[object], object] | None = None) -> object:
     """The worker's only model of this ``key``, made by ``load`` at its first use; ``warm`` is called on it once, before any row."""
-    if key not in _MODELS:
-        _MODELS[key] = load()
-        if warm is not None:
-            warm(_MODELS[key])
-    return _MODELS[key]
-
-
-def two_path_recognised(crops: DataFrame, plain: str, binary: str, load: Callable[[], Callable[[bytes], tuple[str, float]]]) -> DataFrame:
+    if key in _MODELS:
+        _MODELS[key] = _MODELS.pop(key)  # used last
+        return _MODELS[key]
+    while len(_MODELS) >= MOST_MODELS:
+        del _MODELS[next(iter(_MODELS))]
+    model = load()
+    if warm is not None:
+        warm(model)
+    _MODELS[key] = model
+    return model
+
+
+def two_path_recognised(crops: DataFrame, plain: str, binary: str, load: Callable[[], Callable[[bytes], tuple[str, float]]], warm: Callable[[object], object] | None = None) -> DataFrame:
     """``crops`` with ``read``: (bin, bin_score, raw, raw_score), what a model reads in the binarised and the plain crop.
 
     A null crop has no text and score 0.
@@ -175,7 +182,7 @@ def two_path_recognised(crops: DataFrame, plain: str, binary: str, load: Callabl
 
     @F.pandas_udf("bin string, bin_score double, raw string, raw_score double")
     def read(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        model = engine(key, load)
+        model = engine(key, load, warm)
         one = lambda c: (None, 0.0) if c is None else model(c)
         for b, p in parts:
             yield pd.DataFrame([(*one(x), *one(y)) for x, y in zip(b, p, strict=True)], columns=["bin", "bin_score", "raw", "raw_score"])
@@ -183,13 +190,15 @@ def two_path_recognised(crops: DataFrame, plain: str, binary: str, load: Callabl
     return crops.withColumn("read", read(F.col(binary), F.col(plain)))
 
 
-def with_faces(images: DataFrame, column: str, load: Callable[[], Callable[[bytes], list[tuple[float, list[float]]]]]) -> DataFrame:
+def with_faces(
+    images: DataFrame, column: str, load: Callable[[], Callable[[bytes], list[tuple[float, list[float]]]]], warm: Callable[[object], object] | None = None
+) -> DataFrame:
     """``images`` with ``faces`` (area, embedding) and ``error``: an image that the model fails on has no faces and a message."""
     key = uuid.uuid4().hex
 
     @F.pandas_udf("faces array<struct<area: double, embedding: array<float>>>, error string")
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = engine(key, load)
+        model = engine(key, load, warm)
 
         def one(content: bytes) -> tuple[list, str | None]:
             try:
@@ -203,10 +212,12 @@ def with_faces(images: DataFrame, column: str, load: Callable[[], Callable[[byte
     return images.withColumn("_f", found(F.col(column))).select("*", "_f.*").drop("_f")
 
 
-def scan_face_images(spark: SparkSession, folder: str, load: Callable[[], Callable[[bytes], list[tuple[float, list[float]]]]]) -> DataFrame:
+def scan_face_images(
+    spark: SparkSession, folder: str, load: Callable[[], Callable[[bytes], list[tuple[float, list[float]]]]], warm: Callable[[object], object] | None = None
+) -> DataFrame:
     """(name, faces, error) of the .jpg, .jpeg and .png files of a folder, in any case."""
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return with_faces(files.where(F.lower("name").rlike(r"\.(jpg|jpeg|png)$")), "content", load).drop("content")
+    return with_faces(files.where(F.lower("name").rlike(r"\.(jpg|jpeg|png)$")), "content", load, warm).drop("content")
 
 
 def build_gallery(images: DataFrame) -> DataFrame:
@@ -215,13 +226,13 @@ def build_gallery(images: DataFrame) -> DataFrame:
     return images.where(F.size("faces") > 0).select("name", largest["e"].alias("embedding"))
 
 
-def face_crops(frames: DataFrame, column: str, load: Callable[[], Callable[[bytes], list[tuple[float, bytes]]]], most: int = 1) -> DataFrame:
+def face_crops(frames: DataFrame, column: str, load: Callable[[], Callable[[bytes], list[tuple[float, bytes]]]], most: int = 1, warm: Callable[[object], object] | None = None) -> DataFrame:
     """One row for each of a frame's ``most`` largest faces: the frame's columns, ``place`` and ``crop``; the model gives (area, crop)."""
     key = uuid.uuid4().hex
     kept = [c for c in frames.columns if c not in ("place", "crop")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = engine(key, load)
+        model = engine(key, load, warm)
         for pdf in batches:
             for i, content in enumerate(pdf[column]):
                 for place, (_, crop) in enumerate(sorted(model(content), key=lambda f: -f[0])[:most]):
@@ -231,13 +242,13 @@ def face_crops(frames: DataFrame, column: str, load: Callable[[], Callable[[byte
     return frames.select(*kept).mapInPandas(run, f"{schema}, place int, crop binary")
 
 
-def recognised(frames: DataFrame, column: str, load: Callable[[], Callable[[bytes], str | None]]) -> DataFrame:
-    """``frames`` with ``text`` by a model that each worker loads once."""
+def recognised(frames: DataFrame, column: str, load: Callable[[], Callable[[bytes], str | None]], warm: Callable[[object], object] | None = None) -> DataFrame:
+    """``frames`` with ``text`` by a model that each worker loads, and warms, once."""
     key = uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def read(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = engine(key, load)
+        model = engine(key, load, warm)
         for s in parts:
             yield s.map(model)
 

@@ -130,3 +130,53 @@ def test_nothing_to_order(spark):
     assert sequences.drop_consecutive(df, "k", ["o"], "t").count() == 0
     assert sequences.debounced(df, "k", "o", "v", F.col("act"), 1.0, 2).count() == 0
     assert sequences.greedy_matching(df.selectExpr("k", "o as i", "o as j", "v as s"), "k", "i", "j", "s").count() == 0
+
+
+def folded(rows, least):
+    """Clusters by the plain fold: (key, leader, rep, n)."""
+    import re
+
+    def alike(a, b):
+        a, b = (re.sub(r"[^一-鿿0-9A-Za-z]", "", x or "") for x in (a, b))
+        if not a or not b:
+            return 0.0
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[:], i
+            for j, y in enumerate(b, 1):
+                row[j] = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y))
+        return 1 - row[-1] / min(len(a), len(b))
+
+    out = {}
+    for k, o, t in sorted(rows, key=lambda r: r[1]):
+        for c in out.setdefault(k, []):
+            if alike(c[1], t) >= least - 1e-12:
+                c[2] += 1
+                break
+        else:
+            out[k].append([o, t, 1])
+    return sorted(((k, o, t, n) for k, cs in out.items() for o, t, n in cs), key=repr)
+
+
+@pytest.mark.parametrize("least", [0.8, 0.5, 1.0])
+def test_clusters_of_rows_equal_the_fold(spark, least):
+    dice = random.Random(11)
+    base = ["".join(dice.choice("abcdefgh") for _ in range(dice.choice([1, 2, 3, 5, 10, 20]))) for _ in range(25)]
+    rows = []
+    for o in range(260):
+        t = list(dice.choice(base))
+        for _ in range(dice.choice([0, 0, 1, 2])):
+            t[dice.randrange(len(t))] = dice.choice(["", "a", "x", "xy"])
+        rows.append((dice.choice(["hot", "hot", "k", None]), o, dice.choice(["".join(t)] * 9 + ["", None, "?!"])))
+    df = spark.createDataFrame([(*r, float(r[1])) for r in rows], "k string, o long, t string, s double").repartition(3)
+    got = sequences.cluster_rows(df, "k", "o", "t", least, "s")
+    assert sorted((tuple(r)[:4] for r in got.collect()), key=repr) == folded(rows, least)
+
+
+def test_clusters_of_a_large_group(spark):
+    dice = random.Random(12)
+    base = ["".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)) for _ in range(400)]
+    rows = [("hot", o, base[o % 400][: dice.randrange(22, 25)], 1.0) for o in range(10_000)]
+    found = sequences.cluster_rows(spark.createDataFrame(rows, "k string, o long, t string, s double"), "k", "o", "t", 0.8, "s").collect()
+    assert sorted(r["leader"] for r in found) == list(range(400)) and {r["n"] for r in found} == {25} and {r["score"] for r in found} == {1.0}
+    assert sequences.cluster_rows(spark.createDataFrame([], "k string, o long, t string"), "k", "o", "t").count() == 0
