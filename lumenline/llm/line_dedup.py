@@ -48,19 +48,19 @@ def _keys(text: Column, min_words: int) -> Column:
 
 
 def line_keys(df: DataFrame, id_col: str, text: str, site: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, site, h, g): the keys of each document's different lines."""
-    return df.select(
-        F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("id"),
-        F.coalesce(F.col(site), F.lit("\0")).alias("site"),
-        F.explode(F.array_distinct(F.array_compact(_keys(F.col(text), min_words)))).alias("k"),
-    ).select("id", "site", "k.h", "k.g")
+    """(id, of, site, pos, h, g): the keys of each document's lines; ``of`` tells texts that share an id apart."""
+    ident, place = F.coalesce(F.col(id_col), F.lit(-(2**63))), F.coalesce(F.col(site), F.lit("\0"))
+    # made before the lines are dealt out, so that no line carries its text
+    named = df.select(ident.alias("id"), F.xxhash64(text).alias("of"), place.alias("site"), F.col(text).alias("t"))
+    keyed = named.select("id", "of", "site", F.posexplode(_keys(F.col("t"), min_words)).alias("pos", "k"))
+    return keyed.where("k is not null").select("id", "of", "site", "pos", "k.h", "k.g")
 
 
 def spread_lines(keys: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(h, g, keeper): keys of the lines on at least ``min_sites`` sites, and the smallest id that has each."""
     sketched = keys.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("id").alias("keeper"), F.hll_sketch_agg("site", LG_K).alias("s"))
     band = 4 * ERROR * min_sites + 1
-    # a line of fewer documents can't be on more sites
+    # a line that stands fewer times can't be on more sites
     estimate = sketched.where(F.col("n") >= min_sites).select("h", "g", "keeper", F.hll_sketch_estimate("s").alias("est"))
     estimate = written(estimate.where(F.col("est") >= min_sites - band), "estimates")
     near = estimate.where(F.col("est") <= min_sites + band)
@@ -79,15 +79,16 @@ def remove_spread_lines(
     lines_of = written(line_keys(df, id_col, text, site, min_words), "lines")
     spread = spread_lines(lines_of, min_sites)
     ident = F.coalesce(F.col(id_col), F.lit(-(2**63)))
-    held = lines_of.select(F.col("id").alias("_id"), "h", "g").join(spread, ["h", "g"]).where("_id <> keeper")
-    gone = written(held.groupBy("_id").agg(F.collect_set(F.struct("h", "g")).alias("_gone")), "gone")
+    held = lines_of.select(F.col("id").alias("_id"), F.col("of").alias("_of"), "pos", "h", "g").join(spread, ["h", "g"]).where("_id <> keeper")
+    # a line that stands twice in rows of one id and text has each place once
+    gone = written(held.groupBy("_id", "_of").agg(F.collect_set("pos").alias("_gone")), "gone")
     forget(df.sparkSession, lines_of, spread)
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    out = df.select(*kept, ident.alias("_id")).join(gone, "_id", "left")
+    out = df.select(*kept, ident.alias("_id"), F.xxhash64(text).alias("_of")).join(gone, ["_id", "_of"], "left")
     lines = F.split(F.col(text), "\n")
-    # zipped, so that keys are made once a document and not once a line
-    zipped = F.arrays_zip(lines.alias("line"), _keys(F.col(text), min_words).alias("key"))
-    kept_lines = F.transform(F.filter(zipped, lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), x["key"]), F.lit(False))), lambda x: x["line"])
+    # by place, through a hash set, so the work is in proportion to the lines; the array of one binds the split lines
+    places = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone"))
+    kept_lines = F.get(F.transform(F.array(lines), lambda x: F.transform(places(x), lambda p: F.get(x, p))), 0)
     out = out.withColumn("_stays", F.when(F.col("_gone").isNull(), lines).otherwise(kept_lines))
     new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join("_stays", "\n"))
     n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
