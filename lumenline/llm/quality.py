@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenline.llm.common import written
+from lumenline.llm.common import forget, written
 
 TRUSTED, MOST_WORDS, SHARDS, QUANTILE, LEAST = 4000, 4_000_000, 16, 0.99, 20
 START, END = "\x02", "\x03"
@@ -275,9 +275,12 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     sample = sample.groupBy("_chosen").agg(F.min(F.struct(text, "_lang")).alias("r")).select("_chosen", F.col(f"r.{text}").alias(text), "r._lang")
     # whole texts in the order of the hash, as long as their words fit; at most ``trusted`` rows
     words = F.size(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"\s+"))
-    sample = sample.withColumn("_words", words).where(F.col("_words") <= MOST_WORDS // 10)
-    sample = sample.withColumn("_words", F.sum("_words").over(Window.orderBy(F.xxhash64("_chosen"), "_chosen"))).where(F.col("_words") <= MOST_WORDS)
-    sample = written(sample.select("_chosen", text, "_lang", is_back.alias("back")), "trusted")
+    sized = written(sample.withColumn("_words", words).where(F.col("_words") <= MOST_WORDS // 10), "sized")
+    # the running sum is over ids and numbers, at most ``trusted`` of them; texts don't go through its one task
+    up_to = F.sum("_words").over(Window.orderBy(F.xxhash64("_chosen"), "_chosen"))
+    fits = sized.select("_chosen", "_words").withColumn("_words", up_to).where(F.col("_words") <= MOST_WORDS).select("_chosen")
+    sample = written(sized.join(F.broadcast(fits), "_chosen").select("_chosen", text, "_lang", is_back.alias("back")), "trusted")
+    forget(df.sparkSession, sized)
     chosen = sample.select("_chosen")
     kept = [c for c in df.columns if c not in ("n_tokens", "perplexity", "threshold", "accepted")]
     df = df.select(*kept)
