@@ -566,6 +566,23 @@ def phrase_replacement(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").select("conv_id", "turn", F.md5(T.to_simplified(F.col("text"), PHRASES)).alias("text_md5"))
 
 
+#: Letters of the tables as characters at the ends of the ranges of kana and of Chinese characters, and beside them.
+KANA, CHINESE = ("aeiot", "ぁヿアーぷ"), ("aeiot ", "一鿿龥ぁㄅ　")
+
+
+@query(f"""
+    SELECT doc_id, round((length(t) - length(regexp_replace(t, '[ぁ-ヿ]', '', 'g')))::DOUBLE / length(t), 6) AS kana FROM (SELECT doc_id, translate(text, '{KANA[0]}', '{KANA[1]}') AS t FROM documents)
+""")
+def kana_share(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.round(T.kana_ratio(F.translate("text", *KANA)), 6).alias("kana"))
+
+
+@query(f"SELECT doc_id, md5({_sql_norm('t')}) AS normed, length({_sql_norm('t')})::INT AS n FROM (SELECT doc_id, translate(text, '{CHINESE[0]}', '{CHINESE[1]}') AS t FROM documents)")
+def norm_chinese_text(spark: SparkSession, d: str) -> DataFrame:
+    normed = T.norm_text(F.translate("text", *CHINESE))
+    return read(spark, d, "documents").select("doc_id", F.md5(normed).alias("normed"), F.length(normed).alias("n"))
+
+
 @query("""
     SELECT event_id, printf('%dm%02ds', event_id // 60, event_id % 60) AS ts, event_id::INT AS seconds FROM events
 """)
@@ -705,11 +722,13 @@ def flatten_readings(spark: SparkSession, d: str) -> DataFrame:
     SELECT conv_id, round(max(similarity), 6) AS similarity, first(turn ORDER BY similarity DESC, turn) AS turn FROM s GROUP BY conv_id
 """)
 def best_reading(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "conversations")
-    first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("expected"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("r"))
-    sim = F.transform("r", lambda x, i: F.struct(T.edit_similarity(F.col("expected"), x["text"]).alias("s"), (-i).alias("i"), x["turn"].alias("turn")))
-    best = F.array_max(F.filter(sim, lambda x: x["i"] < 0))
-    return first.select("conv_id", F.round(best["s"], 6).alias("similarity"), best["turn"].alias("turn"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("expected"), F.min("turn").alias("t0"))
+    later = c.join(first, "conv_id").where(F.col("turn") > F.col("t0"))
+    # the best of a key's readings without holding them: the most alike, then the first
+    best = F.min(F.struct((-T.edit_similarity(F.col("expected"), F.col("text"))).alias("s"), "turn"))
+    found = later.groupBy("conv_id").agg(best.alias("b"))
+    return found.select("conv_id", F.round(-F.col("b.s"), 6).alias("similarity"), F.col("b.turn").alias("turn"))
 
 
 # --- vectors -----------------------------------------------------------------------------------------------------
