@@ -194,6 +194,10 @@ def _path_features(path: tuple[tuple[str, frozenset[str]], ...]) -> tuple[int, .
     return tuple(PLACE[n] for n in names)
 
 
+#: A mark of copyright, and its word with a year near it or all rights reserved.
+_RIGHTS = re.compile(r"©|\(c\)|\bcopyright\b.{0,40}\b(?:19|20)\d\d\b|\ball rights reserved\b", re.I)
+
+
 def features(block: Block) -> list[int]:
     """The places of the features that a block has."""
     n = block.text.count(" ") + 1
@@ -203,7 +207,7 @@ def features(block: Block) -> list[int]:
     out = [*_path_features(block.path), PLACE[f"words:{size}"], PLACE[f"links:{links}"]]
     if block.text[-1] in ".!?…:;\"'”»":
         out.append(PLACE["ends:stop"])
-    if "©" in block.text or "(c)" in block.text.lower():
+    if _RIGHTS.search(block.text):
         out.append(PLACE["has:copyright"])
     return out
 
@@ -334,11 +338,13 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     if rng.random() < 0.85:
         tag = rng.choice(("footer", "footer", "div"))
         labels.append(0)
-        body = ("&copy; " if rng.random() < 0.6 else "") + words(rng.randint(2, 25))
+        mark = rng.choice(("&copy; ", "&copy; ", "(c) ", f"Copyright {rng.randint(1990, 2029)} ", "All rights reserved. ")) if rng.random() < 0.7 else ""
+        body = mark + words(rng.randint(2, 25))
         if rng.random() < 0.3:
             extra = leaf("p", 0, rng.randint(1, 12), link=0.4)
             body = f"{body}{extra}"
-        parts.append(f"<{tag}{named('foot', 0.3 if tag == 'footer' else 1)}>{body}</{tag}>")
+        # a footer that nothing but its mark tells apart
+        parts.append(f"<{tag}{named('foot', 0.3 if tag == 'footer' else 0.6 if mark else 1)}>{body}</{tag}>")
     page = "<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>" + "".join(parts) + "<script>var t='</p>';</script></body></html>"
     return page, labels
 
@@ -438,8 +444,12 @@ def trained() -> Field:
     return train(labelled_pages(TRAIN_PAGES, TRAIN_SEED))
 
 
+#: Elements whose text is a control's, wherever they stand.
+CONTROLS = frozenset(("button", "option"))
+
+
 def main_text(html: str | None, field: Field) -> str:
-    blocks = leaf_blocks(html)
+    blocks = [b for b in leaf_blocks(html) if not any(t in CONTROLS for t, _ in b.path)]
     return "\n".join(b.text for b, label in zip(blocks, field.decode(blocks), strict=True) if label)
 
 
