@@ -109,7 +109,11 @@ def _gamma(d: tuple[float, float, float]) -> Column:
 
 def model_terms(docs: DataFrame) -> tuple[DataFrame, float]:
     """((key, value) terms of natural log probabilities, the term of an unknown word)."""
-    c3 = written(trigrams(docs), "trigrams")
+    return terms_of(written(trigrams(docs), "trigrams"))
+
+
+def terms_of(c3: DataFrame) -> tuple[DataFrame, float]:
+    """:func:`model_terms` of the written counts of trigrams, which are deleted in the end."""
     c2 = written(c3.groupBy("b", "c").agg(F.count("*").alias("n")), "bigrams")
     c1 = c2.groupBy("c").agg(F.count("*").alias("n"))
     d3, d2, d1 = discounts(c3), discounts(c2), discounts(c1)
@@ -120,14 +124,14 @@ def model_terms(docs: DataFrame) -> tuple[DataFrame, float]:
     g2 = _sums(c2, "b").select("b", _gamma(d2).alias("g2"), F.col("total").alias("t2"))
     g3 = _sums(c3, "a", "b").select("a", "b", _gamma(d3).alias("g3"), F.col("total").alias("t3"))
     p2 = c2.join(g2, "b").join(p1, "c").select("b", "c", "g2", "p1", (_off(F.col("n"), d2) / F.col("t2") + F.col("g2") * F.col("p1")).alias("p2"))
-    p2 = written(p2, "pairs")
+    p2 = written(p2.select("b", "c", "p2", (F.log("p2") - F.log("g2") - F.log("p1")).cast("float").alias("v")), "pairs")
     p3 = c3.join(g3, ["a", "b"]).join(p2.select("b", "c", "p2"), ["b", "c"])
     p3 = p3.select("a", "b", "c", "g3", "p2", (_off(F.col("n"), d3) / F.col("t3") + F.col("g3") * F.col("p2")).alias("p3"))
     none = F.lit(0).cast("long")
     parts = [
         p1.select(F.lit("word").alias("kind"), F.col("c").alias("x"), none.alias("y"), none.alias("z"), F.log("p1").alias("v")),
         g2.select(F.lit("context1"), "b", none, none, F.log("g2")),
-        p2.select(F.lit("pair"), "b", "c", none, F.log("p2") - F.log("g2") - F.log("p1")),
+        p2.select(F.lit("pair"), "b", "c", none, F.col("v").cast("double")),
         g3.select(F.lit("context2"), "a", "b", none, F.log("g3")),
         p3.select(F.lit("triple"), "a", "b", "c", F.log("p3") - F.log("g3") - F.log("p2")),
     ]
@@ -147,7 +151,9 @@ def model_terms(docs: DataFrame) -> tuple[DataFrame, float]:
                     key[at] = ngram_key(kind, *(c[at] for c in cols[:n]))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(4).cast(pa.float32())], names=["key", "value"])
 
-    return written(rows.mapInArrow(keyed, "key long, value float"), "terms"), math.log(spare)
+    terms = written(rows.mapInArrow(keyed, "key long, value float"), "terms")
+    forget(c3.sparkSession, c3, c2, p2)
+    return terms, math.log(spare)
 
 
 class Terms:
@@ -281,13 +287,18 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     fits = sized.select("_chosen", "_words").withColumn("_words", up_to).where(F.col("_words") <= MOST_WORDS).select("_chosen")
     sample = written(sized.join(F.broadcast(fits), "_chosen").select("_chosen", text, "_lang", is_back.alias("back")), "trusted")
     forget(df.sparkSession, sized)
-    chosen = sample.select("_chosen")
+    ids = written(sample.select("_chosen", "back"), "ids")
+    chosen = ids.select("_chosen")
     kept = [c for c in df.columns if c not in ("n_tokens", "perplexity", "threshold", "accepted")]
     df = df.select(*kept)
-    if not sample.where("not back").head(1):
+    if not ids.where("not back").head(1):
         made = df.drop(text).withColumn("n_tokens", F.lit(None).cast("long"))
         return made.withColumns({"perplexity": F.lit(None).cast("double"), "threshold": F.lit(None).cast("double"), "accepted": F.lit(True)})
-    terms = Terms(*model_terms(sample.where("not back")))
+    counts = written(trigrams(sample.where("not back")), "trigrams")
+    forget(df.sparkSession, sample)  # texts are no longer needed
+    table, unknown = terms_of(counts)
+    terms = Terms(table, unknown)
+    forget(df.sparkSession, table)
     scored = written(perplexity(df, terms, text), "scored")
     others = all_trusted.join(F.broadcast(chosen.where(~is_back)), "_chosen", "left_anti")
     of_lang = F.coalesce(F.col(lang), F.lit(""))
