@@ -109,8 +109,8 @@ def substring_hits(lines: DataFrame, text: str, phrases: DataFrame, phrase: str,
 
         part = lines.select(text).mapInArrow(run, f"id {kind}, hits long")
         found = part if found is None else found.union(part)
-    totals = found.groupBy("id").agg(F.sum("hits").alias("hits"))
-    met = known.select(phrase_id).join(totals, F.col(phrase_id).eqNullSafe(F.col("id")), "left")
+    totals = found.groupBy(F.col("id").alias("_id")).agg(F.sum("hits").alias("hits"))
+    met = known.select(phrase_id).join(totals, F.col(phrase_id).eqNullSafe(F.col("_id")), "left")
     return met.select(phrase_id, F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
