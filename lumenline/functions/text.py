@@ -37,7 +37,7 @@ def _masks(query: str, begin: int = 0) -> dict[str, int]:
     return out
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """``use`` of a value that is worked out once, however often it stands in the expression."""
     return F.get(F.transform(F.array(value), use), 0)
 
@@ -123,7 +123,7 @@ def _lcs_of_columns(a: Column, b: Column) -> Column:
     one = lambda m: F.aggregate(m, _long((1 << BITS) - 1), lambda v, x: _lcs_step(v, F.get(x, 0), _long((1 << BITS) - 1)))
     short = lambda t: BITS - F.bit_count(one(steps(t)))
     many = lambda t: _cleared(F.aggregate(steps(t), start, _lcs_words))
-    return _let(table(F.split(a, "")), lambda t: F.when(F.length(a) <= BITS, short(t)).otherwise(many(t)))
+    return let(table(F.split(a, "")), lambda t: F.when(F.length(a) <= BITS, short(t)).otherwise(many(t)))
 
 
 def lcs_columns(a: Column, b: Column) -> Column:

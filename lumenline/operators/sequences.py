@@ -160,25 +160,34 @@ def until_first(df: DataFrame, key: str, order: str, hit: Column) -> DataFrame:
     return met.where(F.col("_h").isNull() | (F.col(order) <= F.col("_h"))).drop("_k", "_h")
 
 
-def leader_clusters(texts: Column, similarity: Callable[[Column, Column], Column], least: float = 0.8, scores: Column | None = None) -> Column:
+def leader_clusters(
+    texts: Column, similarity: Callable[[Column, Column], Column], least: float = 0.8, scores: Column | None = None, prepare: Callable[[Column], Column] | None = None
+) -> Column:
     """Clusters of an ordered array: each text joins the first cluster whose leader is like it, else leads a new one.
 
     Array of (rep, n, score), largest first; ties in order of leaders.  ``score`` is the mean of the members' ``scores``, to
-    three digits (0 without any).
+    three digits (0 without any).  ``prepare`` is applied to each text once; ``similarity`` then gets what it gives.
     """
-    empty = F.array().cast("array<struct<rep:string,n:int,sum:double>>")
-    scored = F.zip_with(texts, F.transform(texts, lambda t: F.lit(0.0)) if scores is None else scores, lambda t, s: F.struct(t.alias("t"), F.coalesce(s.cast("double"), F.lit(0.0)).alias("s")))
+    empty = F.array().cast("array<struct<rep:string,x:string,n:int,sum:double>>")
+    scored = F.zip_with(
+        texts,
+        F.transform(texts, lambda t: F.lit(0.0)) if scores is None else scores,
+        lambda t, s: F.struct(t.alias("t"), (prepare(t) if prepare else t).alias("x"), F.coalesce(s.cast("double"), F.lit(0.0)).alias("s")),
+    )
 
     def put(state: Column, x: Column) -> Column:
-        hits = F.filter(F.transform(state, lambda c, i: F.when(similarity(c["rep"], x["t"]) >= least, i)), lambda i: i.isNotNull())
-        at = F.get(hits, 0)
-        more = F.transform(
-            state,
-            lambda c, i: F.struct(
-                c["rep"].alias("rep"), (c["n"] + F.when(i == at, 1).otherwise(0)).alias("n"), (c["sum"] + F.when(i == at, x["s"]).otherwise(0.0)).alias("sum")
-            ),
-        )
-        return F.when(at.isNull(), F.array_append(state, F.struct(x["t"].alias("rep"), F.lit(1).alias("n"), x["s"].alias("sum")))).otherwise(more)
+        hit = F.array_position(F.transform(state, lambda c: F.coalesce(similarity(c["x"], x["x"]) >= least, F.lit(False))), True)
+
+        def added(at: Column) -> Column:
+            more = F.transform(
+                state,
+                lambda c, i: F.struct(
+                    c["rep"].alias("rep"), c["x"].alias("x"), (c["n"] + F.when(i + 1 == at, 1).otherwise(0)).alias("n"), (c["sum"] + F.when(i + 1 == at, x["s"]).otherwise(0.0)).alias("sum")
+                ),
+            )
+            return F.when(at == 0, F.array_append(state, F.struct(x["t"].alias("rep"), x["x"].alias("x"), F.lit(1).alias("n"), x["s"].alias("sum")))).otherwise(more)
+
+        return T.let(hit, added)  # else each of the cluster's fields would compare all leaders anew
 
     found = F.aggregate(scored, empty, put)
     ranked = F.array_sort(F.transform(found, lambda c, i: F.struct((-c["n"]).alias("k"), i.alias("i"), c["rep"].alias("rep"), c["sum"].alias("sum"))))
@@ -243,24 +252,37 @@ def cluster_rows(df: DataFrame, key: str, order: str, text: str, least: float =
 
 def majority_text(clusters: Column, alternatives: int = 3) -> Column:
     """Struct (text, support, alts) of clusters as :func:`leader_clusters` gives them: the largest, and the next ones as (text, n)."""
-    others = F.transform(F.slice(clusters, 2, alternatives), lambda c: F.struct(c["rep"].alias("text"), c["n"].alias("n")))
-    return F.struct(F.get(clusters, 0)["rep"].alias("text"), F.get(clusters, 0)["n"].alias("support"), others.alias("alts"))
+
+    def told(found: Column) -> Column:
+        others = F.transform(F.slice(found, 2, alternatives), lambda c: F.struct(c["rep"].alias("text"), c["n"].alias("n")))
+        return F.struct(F.get(found, 0)["rep"].alias("text"), F.get(found, 0)["n"].alias("support"), others.alias("alts"))
+
+    return T.let(clusters, told)
 
 
 def text_sessions(
-    df: DataFrame, key: str, order: str, texts: str, similarity: Callable[[Column, Column], Column], least: float = 0.8, blocks: int | None = None
+    df: DataFrame,
+    key: str,
+    order: str,
+    texts: str,
+    similarity: Callable[[Column, Column], Column],
+    least: float = 0.8,
+    blocks: int | None = None,
+    prepare: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """One row a session of points with several texts each: a point goes on if any of its texts is like any of the point before.
 
     No texts on either side break it.  Bounds, their mean, points, texts read, and the majority text; sessions without texts go.
+    ``prepare`` is applied to each text once before it is compared.
     """
-    like = lambda was: F.array_max(F.flatten(F.transform(texts, lambda a: F.transform(was, lambda b: similarity(a, b)))))
-    runs = islands(df, key, [order], lambda was: ~((F.size(texts) > 0) & (F.size(was) > 0) & (like(was) >= least)), {"texts": F.col(texts)}, blocks=blocks)
+    compared = F.transform(texts, prepare) if prepare else F.col(texts)
+    like = lambda was: F.exists(compared, lambda a: F.exists(was, lambda b: similarity(a, b) >= least))
+    runs = islands(df, key, [order], lambda was: ~((F.size(texts) > 0) & (F.size(was) > 0) & like(was)), {"texts": compared}, blocks=blocks)
     read = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(texts).alias("x")))), lambda r: r["x"]))
     out = runs.groupBy(key, "island").agg(
         F.min(order).alias("t0"), F.max(order).alias("t1"), F.bround((F.min(order) + F.max(order)) / 2.0, 2).alias("mid"), F.count("*").alias("n_points"), read.alias("read")
     )
-    out = out.where(F.size("read") > 0).withColumn("c", majority_text(leader_clusters(F.col("read"), similarity, least)))
+    out = out.where(F.size("read") > 0).withColumn("c", majority_text(leader_clusters(F.col("read"), similarity, least, prepare=prepare)))
     return out.select(key, "island", "t0", "t1", "mid", "n_points", F.size("read").alias("n_read"), "c.*")
 
 

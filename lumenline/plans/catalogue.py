@@ -401,7 +401,7 @@ def similarity_sessions(spark: SparkSession, d: str) -> DataFrame:
 def reading_sessions(spark: SparkSession, d: str) -> DataFrame:
     pieces = F.filter(F.transform(F.split("text", r"\."), lambda x: F.trim(x)), lambda x: x != "")
     points = read(spark, d, "conversations").select("conv_id", "turn", pieces.alias("ts"))
-    return sequences.text_sessions(points, "conv_id", "turn", "ts", T.edit_similarity, 0.4).drop("island", "alts")
+    return sequences.text_sessions(points, "conv_id", "turn", "ts", partial(T.normed_similarity, least=0.4), 0.4, prepare=T.norm_text).drop("island", "alts")
 
 
 # --- sequences ---------------------------------------------------------------------------------------------------

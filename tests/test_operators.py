@@ -238,6 +238,16 @@ def test_first_passing_reasons(spark):
     assert rows(got, "r") == [(1, 1, "ok"), (2, None, "no_face"), (3, None, "no_subtitle")]
 
 
+def test_majority_compares_each_leader_once(spark):
+    df = spark.createDataFrame([(["abcde!", "zz", "abcdx", "zz?", "zz"],)], "x array<string>")
+    clusters = sequences.leader_clusters(F.col("x"), T.normed_similarity, 0.8, prepare=T.norm_text)
+    got = df.withColumn("c", sequences.majority_text(clusters)).select("c.*")
+    assert [tuple(r) for r in got.collect()] == [("zz", 3, [("abcde!", 2)])]
+    assert [tuple(r) for r in df.select(clusters.alias("c")).first().c] == [("zz", 3, 0.0), ("abcde!", 2, 0.0)]
+    for made in (got, df.select(sequences.majority_text(sequences.leader_clusters(F.col("x"), T.edit_similarity, 0.8)).alias("c")).select("c.*")):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("levenshtein") == 1
+
+
 def test_text_sessions_and_majority(spark):
     points = [("v", 1.0, ["abcde", "abcdf"]), ("v", 2.0, ["zzzzz", "abcde"]), ("v", 3.0, []), ("v", 4.0, ["qrstu"]), ("v", 5.5, ["qrstu", "other"])]
     df = spark.createDataFrame(points, "k string, t double, x array<string>")
