@@ -52,6 +52,8 @@ CHUNK, COUNTED, SPLIT = 3_000_000, 4_000_000, 16 << 20
 RATE = 0.01
 #: The end symbol, and the end's name among counted tokens, which no token can have.
 END, END_TOKEN = 0, " "
+#: Symbols in tables: their number is under 65,536.
+SYMBOL = np.dtype("<u2")
 LOG10 = np.log(10.0)
 
 
@@ -63,12 +65,14 @@ def split_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndarr
     while at < len(texts):
         before = int(sizes[at - 1]) if at else 0
         to = max(at + 1, int(np.searchsorted(sizes, before + SPLIT, side="right")))
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, to - at)))
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.slice(at, to - at))))
         ends = lists.offsets.to_numpy()
         words = lists.flatten()
-        real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at the ends of a text makes empty ones
-        counts = np.diff(np.r_[0, np.cumsum(real)][ends - ends[0]])
-        yield at, words.filter(pa.array(real)), counts
+        counts, real = np.diff(ends), pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+        if not real.all():  # a text of white space only makes an empty one
+            counts = np.diff(np.r_[0, np.cumsum(real)][ends - ends[0]])
+            words = words.filter(pa.array(real))
+        yield at, words, counts
         at = to
 
 
@@ -96,28 +100,30 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     names = ["token", "c", "a", "bucket"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, list[pa.Array]] = {True: [], False: []}
-        rows = {True: 0, False: 0}
+        held: list[pa.Table] = []
+        size = 0
+
+        def counted(words: pa.Array, c: np.ndarray, a: np.ndarray) -> None:
+            held.append(pa.table([words, pa.array(c, pa.int64()), pa.array(a, pa.int64())], names=names[:3]))
 
         def out() -> Iterator[pa.RecordBatch]:
-            for back, parts in held.items():
-                if rows[back]:
-                    found = pc.value_counts(pa.concat_arrays([*parts, pa.array([END_TOKEN] * rows[back], pa.string())]))
-                    words, n = found.field(0), found.field(1)
-                    c = pa.array(np.zeros(len(n), np.int64)) if back else n
-                    yield pa.RecordBatch.from_arrays([words, c, n, pa.array(buckets_of(words).astype(np.int32))], names=names)
-                    rows[back] = 0
-                    parts.clear()
+            if held:
+                found = pa.concat_tables(held).group_by("token").aggregate([("c", "sum"), ("a", "sum")]).combine_chunks()
+                words = found["token"].combine_chunks()
+                words = words if isinstance(words, pa.Array) else pa.concat_arrays(words.chunks)
+                sums = [found[c].combine_chunks() for c in ("c_sum", "a_sum")]
+                yield from pa.table([words, *sums, pa.array(buckets_of(words).astype(np.int32))], names=names).to_batches()
+                held.clear()
 
-        size = 0
         for batch in batches:
             back = np.array([is_held_out(i) for i in batch.column(0).to_pylist()], bool)
             for at, words, counts in split_texts(batch):
                 here = back[at : at + len(counts)]
-                mask = np.repeat(here, counts)
-                for side in (True, False):
-                    rows[side] += int((here == side).sum())
-                    held[side].append(words.filter(pa.array(mask == side)))
+                told = words.dictionary_encode()
+                which = told.indices.to_numpy()
+                different = len(told.dictionary)
+                counted(told.dictionary, np.bincount(which[~np.repeat(here, counts)], minlength=different), np.bincount(which, minlength=different))
+                counted(pa.array([END_TOKEN], pa.string()), [int((~here).sum())], [len(here)])
                 size += len(words) + len(counts)
                 if size >= COUNTED:
                     yield from out()
@@ -171,46 +177,48 @@ class Network:
         self.m, self.v, self.steps = np.zeros(size, np.float32), np.zeros(size, np.float32), 0
         self.part = np.empty(size, np.float32)
 
-    def gate_inputs(self) -> np.ndarray:
-        """(3, symbols, HIDDEN): what each symbol adds to each gate; halved for the sigmoids, which are taken by tanh."""
-        made = (self.w["embed"] @ self.w["wx"] + self.w["b"]).reshape(-1, 3, HIDDEN).transpose(1, 0, 2).copy()
-        made[:2] *= np.float32(0.5)
-        return made
-
-    def states(
-        self, x: np.ndarray, start: np.ndarray, h: np.ndarray, inputs: np.ndarray | None = None, keep: bool = False
-    ) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    def states(self, x: np.ndarray, start: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         """States after each step of a window: x (T, k) symbols, start (T, k) whether a document starts.
 
-        With ``keep`` also what backpropagation needs, each (T, k, HIDDEN): the state before, its part in the new
-        gate, the reset, update and new gates.
+        The gates' sums are halved for the sigmoids, which are taken by tanh.  Inside, units come before lanes, so that the
+        gates of a step are one product and each gate is a piece of it without gaps.  With ``keep`` also what backpropagation
+        needs, each (T, units, k): the inputs' embeddings, the state before, its part in the new gate, the reset, update and
+        new gates.
         """
-        gx = np.take(self.gate_inputs() if inputs is None else inputs, x, axis=1)
-        wh = self.w["wh"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2).copy()
-        wh[:2] *= np.float32(0.5)
-        out = np.empty((*x.shape, HIDDEN), np.float32)
-        kept = tuple(np.empty_like(out) for _ in range(5)) if keep else ()
-        going, any_start = (~start).astype(np.float32)[..., None], start.any(1).tolist()
-        gh = np.empty((3, x.shape[1], HIDDEN), np.float32)
-        rz, n = np.empty_like(gh[:2]), np.empty_like(gh[0])
-        for t in range(len(x)):
+        steps, k = x.shape
+        half = np.repeat(np.array([0.5, 0.5, 1.0], np.float32), HIDDEN)[:, None]
+        wh = self.w["wh"].T * half
+        inputs = self.w["embed"].take(x, axis=0).transpose(0, 2, 1)
+        gx = np.matmul(self.w["wx"].T * half, inputs)
+        gx += self.w["b"][:, None] * half
+        out = np.empty((steps, HIDDEN, k), np.float32)
+        held = steps if keep else 1
+        befores = np.empty_like(out) if keep else None
+        gh = np.empty((held, 3 * HIDDEN, k), np.float32)
+        rz = np.empty((held, 2 * HIDDEN, k), np.float32)
+        new = np.empty((held, HIDDEN, k), np.float32)
+        going, any_start = (~start).astype(np.float32), start.any(1).tolist()
+        h = np.ascontiguousarray(h.T)
+        for t in range(steps):
+            at = t if keep else 0
             before = h * going[t] if any_start[t] else h
-            np.matmul(before, wh, out=gh)
-            np.add(gx[:2, t], gh[:2], out=rz)
-            np.tanh(rz, out=rz)
-            rz *= np.float32(0.5)
-            rz += np.float32(0.5)
-            np.multiply(rz[0], gh[2], out=n)
-            n += gx[2, t]
+            g, gates, n = gh[at], rz[at], new[at]
+            np.matmul(wh, before, out=g)
+            np.add(gx[t, : 2 * HIDDEN], g[: 2 * HIDDEN], out=gates)
+            np.tanh(gates, out=gates)
+            gates *= np.float32(0.5)
+            gates += np.float32(0.5)
+            np.multiply(gates[:HIDDEN], g[2 * HIDDEN :], out=n)
+            n += gx[t, 2 * HIDDEN :]
             np.tanh(n, out=n)
             h = out[t]
             np.subtract(before, n, out=h)
-            h *= rz[1]
+            h *= gates[HIDDEN:]
             h += n
-            if keep:
-                for to, value in zip(kept, (before, gh[2], rz[0], rz[1], n), strict=True):
-                    to[t] = value
-        return out, kept
+            if befores is not None:
+                befores[t] = before
+        kept = (inputs, befores, gh[:, 2 * HIDDEN :], rz[:, :HIDDEN], rz[:, HIDDEN:], new) if keep else ()
+        return out.transpose(0, 2, 1), kept
 
     def log_probs(self, hs: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of the probability of each symbol y (n,) after each state hs (n, HIDDEN).
@@ -224,7 +232,7 @@ class Network:
         ends = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
         cls, place = cls[order], (y % CLASS)[order]
         h = np.ones((len(y), HIDDEN + 1), np.float32)
-        h[:, :HIDDEN] = hs[order]
+        h[:, :HIDDEN] = hs.take(order, axis=0)
         weight = None if weight is None else weight[order]
         lp = np.empty(len(y), np.float32)
         dh = None if weight is None else np.empty((len(y), HIDDEN), np.float32)
@@ -232,93 +240,97 @@ class Network:
         reach = max(1.0, float(np.abs(hs).max(initial=0))) * max(float(np.abs(wc).sum(0).max()), float(np.abs(wo).sum(1).max()))
         within = np.empty((min(BLOCK, len(y)), CLASS), np.float32)
         back = np.empty((len(within), HIDDEN), np.float32)
+        within_back = wo[:, :HIDDEN].transpose(0, 2, 1)
+
+        def softmax(e: np.ndarray, chosen: np.ndarray, rows: slice) -> tuple[np.ndarray, np.ndarray | None]:
+            """The log probability of the chosen; e turns from logits into exps.
 
-        def softmax(e: np.ndarray, chosen: np.ndarray, rows: slice) -> np.ndarray:
-            """Turns logits into their exps or, with weights, their gradient; returns the log probability of the chosen."""
-            every = np.arange(len(e))
+            With weights, into the gradient but for a factor of each row, which is given too.
+            """
+            at = np.arange(len(e)) * e.shape[1] + chosen
             if reach > 80:
                 e -= e.max(1, keepdims=True)
-            picked = e[every, chosen]
+            flat = e.reshape(-1)
+            picked = flat.take(at)
             np.exp(e, out=e)
             total = e @ np.ones(e.shape[1], np.float32)
-            if weight is not None:
-                e *= (weight[rows] / total)[:, None]
-                e[every, chosen] -= weight[rows]
-            return picked - np.log(total)
+            if weight is None:
+                return picked - np.log(total), None
+            flat[at] -= total
+            return picked - np.log(total), (weight[rows] / total)[:, None]
 
+        whole = len(y) <= BLOCK  # then each class has one run of rows, and its gradient is written once
         for at in range(0, len(y), BLOCK):
             rows = slice(at, min(at + BLOCK, len(y)))
             hb, size = h[rows], rows.stop - at
             e = hb @ wc
-            got = softmax(e, cls[rows], rows)
-            if weight is not None:
-                g["wc"] += hb.T @ e
-                np.matmul(e, wc[:HIDDEN].T, out=dh[rows])
+            got, factor = softmax(e, cls[rows], rows)
+            if factor is not None:
+                g["wc"] += (hb * factor).T @ e
+                np.multiply(e @ wc[:HIDDEN].T, factor, out=dh[rows])
             e = within[:size]
             first, last = int(cls[at]), int(cls[rows.stop - 1])
-            spans = [(c, slice(max(ends[c], at) - at, min(ends[c + 1], rows.stop) - at)) for c in range(first, last + 1) if ends[c] < ends[c + 1]]
-            for c, span in spans:
-                np.matmul(hb[span], wo[c], out=e[span])
-            lp[rows] = got + softmax(e, place[rows], rows)
-            if weight is not None:
-                for c, span in spans:
-                    g["wo"][c] += hb[span].T @ e[span]
-                    np.matmul(e[span], wo[c, :HIDDEN].T, out=back[span])
+            spans = [(c, max(ends[c], at) - at, min(ends[c + 1], rows.stop) - at) for c in range(first, last + 1) if ends[c] < ends[c + 1]]
+            for c, begin, end in spans:
+                np.dot(hb[begin:end], wo[c], out=e[begin:end])
+            more, factor = softmax(e, place[rows], rows)
+            np.add(got, more, out=lp[rows])
+            if factor is not None:
+                scaled = hb * factor
+                for c, begin, end in spans:
+                    if whole:
+                        np.dot(scaled[begin:end].T, e[begin:end], out=g["wo"][c])
+                    else:
+                        g["wo"][c] += scaled[begin:end].T @ e[begin:end]
+                    np.dot(e[begin:end], within_back[c], out=back[begin:end])
+                back[:size] *= factor
                 dh[rows] += back[:size]
-        unsorted = np.empty_like(lp)
-        unsorted[order] = lp
-        if dh is not None:
-            dh[order] = dh.copy()
-        return unsorted, dh
+        place_of = np.empty_like(order)
+        place_of[order] = np.arange(len(order))
+        return lp.take(place_of), None if dh is None else dh.take(place_of, axis=0)
 
     def learn(self, x: np.ndarray, y: np.ndarray, start: np.ndarray, valid: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One step of truncated backpropagation; returns the state to carry on."""
-        hs, (before, ghn, r, z, n) = self.states(x, start, h, keep=True)
+        hs, (inputs, before, in_new, r, z, n) = self.states(x, start, h, keep=True)
         steps, k = x.shape
         self.grad[:] = 0
         weight = (valid / max(1, valid.sum())).astype(np.float32).ravel()
         _, dh = self.log_probs(hs.reshape(-1, HIDDEN), y.ravel(), weight)
-        dh = dh.reshape(steps, k, HIDDEN)
-        # what each step's gradient is multiplied with, for all steps at once: for the gates' sums reset, update,
-        # the state's part in new, new
-        d = np.empty((4, steps, k, HIDDEN), np.float32)
-        np.multiply(1 - z, 1 - n * n, out=d[3])
-        np.multiply(d[3], r, out=d[2])
-        np.multiply(d[2], ghn * (1 - r), out=d[0])
-        np.multiply(before - n, z * (1 - z), out=d[1])
-        back = np.zeros((k, HIDDEN), np.float32)
-        wh = self.w["wh"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0).copy()
-        going, any_start = (~start).astype(np.float32)[..., None], start.any(1).tolist()
+        dh = np.ascontiguousarray(dh.reshape(steps, k, HIDDEN).transpose(0, 2, 1))
+        # what each step's gradient is multiplied with, for all steps at once: for the state's part in the new gate, the
+        # sums of the reset and update gates, and the new gate; the state is in the first three, the inputs in the last three
+        d = np.empty((steps, 4, HIDDEN, k), np.float32)
+        np.multiply(1 - z, 1 - n * n, out=d[:, 3])
+        np.multiply(d[:, 3], r, out=d[:, 0])
+        np.multiply(d[:, 0], in_new * (1 - r), out=d[:, 1])
+        np.multiply(before - n, z * (1 - z), out=d[:, 2])
+        back, more = np.zeros((HIDDEN, k), np.float32), np.empty((HIDDEN, k), np.float32)
+        wh = np.roll(self.w["wh"], HIDDEN, axis=1)
+        going, any_start = (~start).astype(np.float32), start.any(1).tolist()
+        by_state, by_input = d.reshape(steps, 4 * HIDDEN, k)[:, : 3 * HIDDEN], d.reshape(steps, 4 * HIDDEN, k)[:, HIDDEN:]
         for t in range(steps - 1, -1, -1):
             back += dh[t]
-            d[:, t] *= back
+            d[t] *= back
             back *= z[t]
-            for gate in range(3):
-                back += d[gate, t] @ wh[gate]
+            np.matmul(wh, by_state[t], out=more)
+            back += more
             if any_start[t]:
                 back *= going[t]
-        d = d.reshape(4, -1, HIDDEN)
-        by_gate = {"wh": (before.reshape(-1, HIDDEN), (0, 1, 2)), "wx": (self.w["embed"][x.ravel()], (0, 1, 3))}
-        for name, (left, gates) in by_gate.items():
-            self.g[name] += np.concatenate([left.T @ d[i] for i in gates], axis=1)
-        self.g["b"] += np.concatenate([d[i].sum(0) for i in (0, 1, 3)])
-        wx = self.w["wx"].reshape(EMBED, 3, HIDDEN).transpose(1, 2, 0)
-        dx = d[0] @ wx[0] + d[1] @ wx[1] + d[3] @ wx[2]
-        symbols = x.ravel().astype(np.min_scalar_type(self.symbols))
-        order = np.argsort(symbols, kind="stable")
-        seen, first = np.unique(symbols[order], return_index=True)
-        self.g["embed"][seen] = np.add.reduceat(dx[order], first, axis=0)
+        self.g["wh"] += np.roll(np.matmul(before, by_state.transpose(0, 2, 1)).sum(0), -HIDDEN, axis=1)
+        by_input = by_input.transpose(0, 2, 1)
+        self.g["wx"] += np.matmul(inputs, by_input).sum(0)
+        self.g["b"] += by_input.sum((0, 1))
+        dx = np.matmul(by_input, self.w["wx"].T).reshape(-1)
+        places = (x.reshape(-1, 1) * EMBED + np.arange(EMBED)).ravel()
+        self.g["embed"] += np.bincount(places, dx, self.g["embed"].size).reshape(-1, EMBED)
         norm = math.sqrt(float(self.grad @ self.grad))
-        if norm > 1:
-            self.grad *= np.float32(1 / norm)
         self.steps += 1
         part = self.part
-        np.subtract(self.grad, self.m, out=part)
-        part *= np.float32(0.1)
+        np.multiply(self.grad, np.float32(0.1 / max(1.0, norm)), out=part)
+        self.m *= np.float32(0.9)
         self.m += part
-        np.multiply(self.grad, self.grad, out=part)
-        part -= self.v
-        part *= np.float32(0.01)
+        part *= part
+        self.v *= np.float32(0.99)
         self.v += part
         scale = RATE / (1 + self.steps / 2000) * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         np.sqrt(self.v, out=part)
@@ -344,7 +356,7 @@ class Lanes:
         order = [i for lane in lanes for i in lane]
         self.length = np.array([int(sizes[x].sum()) for x in lanes])
         self.offset = np.r_[0, np.cumsum(self.length)[:-1]]
-        self.y = np.concatenate([docs[i] for i in order])
+        self.y = np.concatenate([docs[i] for i in order]).astype(np.int32)
         self.doc = np.repeat(order, sizes[order])
         self.first = np.r_[True, self.doc[1:] != self.doc[:-1]]
         self.x = np.where(self.first, END, np.r_[END, self.y[:-1]])
@@ -363,7 +375,7 @@ def train_on(net: Network, docs: list[np.ndarray]) -> int:
 
     A document that is cut at the end of a lane goes on in the next lane from the zero state.
     """
-    y = np.concatenate(docs)
+    y = np.concatenate(docs).astype(np.intp)
     n = len(y)
     first = np.zeros(n, bool)
     first[np.r_[0, np.cumsum([len(d) for d in docs])[:-1]]] = True
@@ -386,9 +398,8 @@ def score(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     lanes = Lanes(docs, SCORED)
     h = np.zeros((len(lanes.length), HIDDEN), np.float32)
     out = np.zeros(len(docs))
-    inputs = net.gate_inputs()
     for places, valid in lanes.windows():
-        hs, _ = net.states(lanes.x[places], lanes.first[places], h[: places.shape[1]], inputs)
+        hs, _ = net.states(lanes.x[places], lanes.first[places], h[: places.shape[1]])
         h = hs[-1]
         at = places[valid]
         lp, _ = net.log_probs(hs[valid], lanes.y[at])
@@ -448,7 +459,8 @@ def encoded_documents(docs: DataFrame, sent) -> DataFrame:
     """Each row of ``docs`` (id, text) once in numbers: symbols, and what its tokens' counts give.
 
     ``part`` is -1 for held-out documents, else the training round that takes the document.  ``n_known`` and ``base``
-    cover the frequent tokens, ``bucketed`` is their probability within buckets; ``rare`` has the other tokens.
+    cover the frequent tokens, ``bucketed`` is their probability within buckets; ``rare`` has the other tokens.  Symbols are
+    numbers of ``SYMBOL`` as bytes, which Spark moves and sorts as they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,37 +478,43 @@ def encoded_documents(docs: DataFrame, sent) -> DataFrame:
                 part = np.where(held, -1, [crc32(b"%r" % (x,)) % ROUNDS for x in i.to_pylist()])
                 # each document's symbols, its end after them
                 ends = np.cumsum(counts + 1)
-                symbols = np.full(int(ends[-1]), END, np.int32)
+                symbols = np.full(int(ends[-1]), END, SYMBOL)
                 symbols[np.arange(len(ids)) + doc] = table.symbols_of(words, ids)
                 rare = np.r_[0, np.cumsum(np.bincount(doc[~known], minlength=rows))]
                 yield pa.RecordBatch.from_arrays([
                     i, pa.array(held), pa.array(part, pa.int32()), pa.array(counts + 1, pa.int64()), pa.array(add(table.c[here] > 0).astype(np.int64)),
-                    pa.array(add(table.base[here])), pa.array(add(table.in_bucket[here])),
-                    pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), pa.array(symbols)),
+                    pa.array(add(table.base[here]), pa.float64()), pa.array(add(table.in_bucket[here]), pa.float64()),
+                    pa.Array.from_buffers(pa.binary(), rows, [None, *map(pa.py_buffer, (np.r_[0, ends * SYMBOL.itemsize].astype(np.int32), symbols))]),
                     pa.ListArray.from_arrays(rare.astype(np.int32), words.filter(pa.array(~known))),
                 ], names=names)
 
     names = ["id", "held_out", "part", "n_tokens", "n_known", "base", "bucketed", "symbols", "rare"]
     schema = (
         f"id {docs.dtypes[0][1]}, held_out boolean, part int, n_tokens long, n_known long, base double, bucketed double, "
-        "symbols array<int>, rare array<string>"
+        "symbols binary, rare array<string>"
     )
     return docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
+def _symbols(column: pa.Array) -> Iterator[np.ndarray]:
+    """The symbols of each document, without a copy."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    ends = ends.tolist()
+    for begin, end in zip(ends, ends[1:], strict=False):
+        yield values[begin:end].view(SYMBOL)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """(rows, symbols) of about ``CHUNK`` tokens of documents at a time; the batches hold (row, symbols)."""
     rows: list[int] = []
     docs: list[np.ndarray] = []
     size = 0
     for b in batches:
-        rows_here, lists = b.column(0).to_pylist(), b.column(1)
-        ends = lists.offsets.to_numpy().tolist()
-        values = lists.values.to_numpy()
-        for row, begin, end in zip(rows_here, ends, ends[1:], strict=False):
+        for row, doc in zip(b.column(0).to_pylist(), _symbols(b.column(1)), strict=True):
             rows.append(row)
-            docs.append(values[begin:end])
-            size += end - begin
+            docs.append(doc)
+            size += len(doc)
             if size >= CHUNK:
                 yield rows, docs
                 rows, docs, size = [], [], 0
@@ -523,14 +541,12 @@ def _trained(docs: DataFrame, groups: int, symbols: int, weights: np.ndarray) ->
             n = 0
 
         for b in batches:
-            lists = b.column(2)
-            ends, values = lists.offsets.to_numpy().tolist(), lists.values.to_numpy()
-            for group, begin, end in zip(b.column(0).to_pylist(), ends, ends[1:], strict=False):
+            for group, doc in zip(b.column(0).to_pylist(), _symbols(b.column(2)), strict=True):
                 if group != now:
                     yield from out()
                     now, net = group, Network(symbols, weights)
-                held.append(values[begin:end])
-                size += end - begin
+                held.append(doc)
+                size += len(doc)
                 if size >= CHUNK:
                     n += train_on(net, held)
                     held, size = [], 0

@@ -187,6 +187,19 @@ def test_op4_level_keeps_the_most_frequent(spark):
     assert language_model.frequent_level(words, 5000) == 0
 
 
+def test_op4_symbols_travel_as_bytes(spark):
+    docs = spark.createDataFrame([(1, " The cat\tsat "), (2, None), (3, "the rare"), (4, " \n ")], "id long, text string")
+    counts = {r.token: (r.c, r.a) for r in language_model.count_tokens(docs).collect()}
+    trained = [i for i in (1, 2, 3, 4) if not language_model.is_held_out(i)]
+    assert counts[" "] == (len(trained), 4) and counts["the"] == (len({1, 3} & set(trained)), 2) and len(counts) == 5
+    table = language_model.Table([("the", 2, 2, 0), ("cat", 1, 1, 0), ("sat", 1, 1, 0)], 8, 5, {0: (1, 1)})
+    made = language_model.encoded_documents(docs, spark.sparkContext.broadcast(table))
+    assert dict(made.dtypes)["symbols"] == "binary"
+    got = {r.id: (np.frombuffer(r.symbols, language_model.SYMBOL).tolist(), r.rare) for r in made.collect()}
+    the, cat, sat = table.symbol.tolist()
+    assert got[1] == ([the, cat, sat, 0], []) and got[2] == got[4] == ([0], []) and got[3] == ([the, int(table.bucket_symbol[0]), 0], ["rare"])
+
+
 def test_op4_gradient():
     rng = np.random.default_rng(0)
     net = language_model.Network(100, logits=np.log(rng.dirichlet(np.ones(100))))
