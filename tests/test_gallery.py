@@ -50,6 +50,21 @@ def test_probes_visit_few_cells_of_clustered_vectors(spark):
     assert own.groupBy("cell", "chunk").count().agg({"count": "max"}).first()[0] < 200
 
 
+def test_probes_are_sent_once_a_group_not_once_a_cell(spark, monkeypatch):
+    probes, known = made(4, 200, 300, 1.0), made(4, 200, 2000, 1.0)  # nothing to prune
+    named = lambda df: df.select(df["vec_id"].alias("id"), df["embedding"].alias("v")).where("v is not null")
+    own, listed, sizes = gallery._placed(named(frame(spark, probes)), named(frame(spark, known)), 10, 2000, 4)
+    sent = listed.selectExpr("sum(size(groups)) g", "sum(size(cells)) c").first()
+    assert sent.g <= 4 * 300 < 20 * 300 < sent.c and sum(sizes) == 2000
+    assert {r["group"] for r in own.collect()} == {0, 1, 2, 3} and own.groupBy("group").count().agg({"count": "max"}).first()[0] < 700
+    monkeypatch.setattr(gallery, "HELD", 150)  # cells in several groups, and several cells in a group
+    known[:700] = known[0]  # a cell of equal vectors lies in several groups
+    want = plain(probes, known, 1000)
+    for block in (10, 400):
+        got = {r["vec_id"]: (r["best"], r["best_id"]) for r in gallery.most_alike(frame(spark, probes), frame(spark, known, 1000), "vec_id", "embedding", block, 100).collect()}
+        assert set(got) == set(want) and all(got[i][0] == best and got[i][1] in ids for i, (best, ids) in want.items())
+
+
 def test_without_gallery(spark):
     some = frame(spark, made(3, 2, 10, 1.0))
     assert gallery.most_alike(some, some.limit(0), "vec_id", "embedding").count() == 0
